@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, tokens
+from lodestone.llm import chat, decontamination, mixing, secrets, tokens, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
+    "op3_chat_perspectives": chat.query,
+    "op4_template_decontamination": decontamination.query,
+    "op5_secret_spans": secrets.query,
     "op8_token_files": tokens.query,
     "op9_source_mixing": mixing.query,
 }
 ORACLE_SQL = {
+    "op3_chat_perspectives": chat.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
 }

@@ -17,8 +17,7 @@ without rows; other columns are left alone; a text of any length is coded whole.
 
 from __future__ import annotations
 
-import re
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,23 +26,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import shared_dir, shuffle_partitions, table, written
-from lodestone.llm.words import byte_slices
+from lodestone.llm.words import mix, words
 
 END_ID = 1
 BLOCK_IDS = 1 << 16
-CHECKPOINT = 512
-LIMIT = 16
-CACHE_WORDS = 400_000
+CHECKPOINT = 128
 SLICE_IDS = 1 << 20
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+LIMIT = 16
+CACHE_WORDS = 1_000_000
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+_CLOSING = np.array([chr(b) in ".,;:!?" for b in range(256)])
+_MARK_HASH = mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(32))
+#: One for each Python worker, kept from task to task.
+_TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
     """A tokenizers file whose pre-tokeniser drops white space: the ids of a text are those of its words, end to end.
 
-    Ids of words are kept, up to CACHE_WORDS of them; then the store starts anew.
+    Words are told apart by a 64-bit hash in an open-addressing table of up to CACHE_WORDS, which
+    then starts anew; only words not met before go to the tokenizer. A closing mark after a letter
+    is a word of its own to this end: letters and marks never share a pre-token.
     """
 
+    SLOTS = 1 << 21
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -51,35 +58,94 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.at = np.zeros(1, np.int64)
-
-    def add(self, fresh: list[str]) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        n = len(self.place)
-        self.place.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+        self.keys, self.values = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.ids, self.at, self.n = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where it is not known."""
+        slot = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        out = np.full(len(hashes), -1, np.int64)
+        open_ = np.arange(len(hashes))
+        while len(open_):
+            key = self.keys[slot[open_]]
+            hit = key == hashes[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (key != 0)]
+            slot[open_] = (slot[open_] + 1) % self.SLOTS
+        return out
+
+    def add(self, hashes: np.ndarray, fresh: list[str]) -> None:
+        """hashes: distinct, none of them known."""
+        number = np.arange(self.n, self.n + len(fresh), dtype=np.int32)
+        slot = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        open_ = np.arange(len(fresh))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == 0]
+            self.keys[slot[free]] = hashes[free]
+            won = free[self.keys[slot[free]] == hashes[free]]
+            self.values[slot[won]] = number[won]
+            done = np.zeros(len(fresh), bool)
+            done[won] = True
+            open_ = open_[~done[open_]]
+            slot[open_] = (slot[open_] + 1) % self.SLOTS
+        made = [x for i in range(0, len(fresh), 8192) for x in self.encode_words(fresh[i : i + 8192])]
         size = np.fromiter(map(len, made), np.int64, len(made))
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in made for i in x), np.uint32, int(size.sum()))])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and how many each text has."""
-        split = [[w for w in _SPACE.split(t) if w] if t else [] for t in texts]
-        if len(self.place) > CACHE_WORDS:
-            self.clear()
-        fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in self.place))
-        if fresh:
-            self.add(fresh)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.place.__getitem__
-        word = np.fromiter((get(w) for ws in split for w in ws), np.int64, int(counts.sum()))
-        size = (self.at[1:] - self.at[:-1])[word]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        take = np.arange(total) + np.repeat(self.at[word] - (ends - size), size)
-        per = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.ids[take], np.diff(per)
+        self.n += len(fresh)
+
+    def encode_words(self, fresh: list[str]) -> list[list[int]]:
+        """Words of letters alone are one pre-token each, so many of them can be encoded as one text."""
+        out: list[list[int] | None] = [None] * len(fresh)
+        plain = [i for i, w in enumerate(fresh) if w.isalpha()]
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        joined = self.tokenizer.encode_batch_fast([" ".join(fresh[i] for i in g) for g in groups], add_special_tokens=False)
+        for group, code in zip(groups, joined, strict=True):
+            ids, word = code.ids, code.word_ids
+            starts = [k for k in range(len(word)) if not k or word[k] != word[k - 1]]
+            if len(starts) == len(group):
+                for i, a, b in zip(group, starts, [*starts[1:], len(ids)], strict=True):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, code in zip(rest, self.tokenizer.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = code.ids
+        return out
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Rows, all their ids end to end, and how many each row has."""
+        for part in words(column, without_last=True):
+            start, end, hashes, data = part.start, part.end, part.hashes, part.data
+            if len(start):
+                # a word with a closing mark is two pieces
+                mark = closes(data, start, end)
+                hashes = np.stack([np.where(mark, part.without_last, hashes), np.where(mark, _MARK_HASH[data[end - 1]], np.uint64(0))], 1).ravel()
+                real = np.stack([np.ones(len(mark), bool), mark], 1).ravel()
+                start, end = np.stack([start, end - 1], 1).ravel()[real], np.stack([end - mark, end], 1).ravel()[real]
+                hashes, owner = hashes[real], np.repeat(part.row_of_word(), 1 + mark)
+                if self.n > CACHE_WORDS:
+                    self.clear()
+                word = self.find(hashes)
+                if (lost := np.flatnonzero(word < 0)).size:
+                    fresh, first = np.unique(hashes[lost], return_index=True)
+                    raw = data.tobytes()
+                    self.add(fresh, [raw[start[i] : end[i]].decode("utf-8", "replace") for i in lost[first]])
+                    word[lost] = self.find(hashes[lost])
+                size = self.at[word + 1] - self.at[word]
+                ends = np.cumsum(size)
+                take = np.arange(int(ends[-1])) + np.repeat(self.at[word] - (ends - size), size)
+                ids, per = self.ids[take], np.bincount(owner, size, len(part)).astype(np.int64)
+            else:
+                ids, per = np.zeros(0, np.uint32), np.zeros(len(part), np.int64)
+            yield part.rows, ids, per
+
+
+def closes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which words end in one of .,;:!? right after a letter (ASCII, or of the Latin-1 supplement)."""
+    long = end - start >= 2
+    last, before = data[end - 1], data[np.maximum(end - 2, start)]
+    lead = data[np.maximum(end - 3, start)]
+    latin = (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (end - start >= 3)
+    return long & _CLOSING[last] & (_LETTER[before] | latin)
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, wide: bool) -> DataFrame:
@@ -87,11 +153,9 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, wide: bool) -
     kind = np.dtype("<u4" if wide else "<u2")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = _TOKENIZERS.get(tokenizer_path) or _TOKENIZERS.setdefault(tokenizer_path, WordTokenizer(tokenizer_path))
         for batch in batches:
-            text = batch.column("text")
-            for rows, _, _ in byte_slices(text):
-                ids, size = tokenizer.encode(text.slice(rows.start, rows.stop - rows.start).to_pylist())
+            for rows, ids, size in tokenizer.encode(batch.column("text")):
                 at = np.cumsum(size)
                 out = np.insert(ids, at, end_id).astype(kind)
                 offsets = np.concatenate([[0], at + np.arange(1, len(at) + 1)]) * kind.itemsize
@@ -173,13 +237,12 @@ def pack(ids: np.ndarray, code: np.ndarray, size: np.ndarray) -> tuple[bytes, np
     """The bit stream of ``ids``, and the bit offset of every CHECKPOINT-th of them."""
     n = size[ids].astype(np.int64)
     end = np.cumsum(n)
-    total, at = int(end[-1]), end - n
-    bits = np.zeros(total, np.uint8)
-    codes = code[ids].astype(np.int64)
-    for k in range(int(n.max())):
-        has = n > k
-        bits[at[has] + k] = (codes[has] >> (n[has] - 1 - k)) & 1
-    return np.packbits(bits).tobytes(), at[::CHECKPOINT]
+    at = end - n
+    # a code of 16 bits or fewer lies in three bytes; codes never share a bit, so sums are unions
+    value = code[ids].astype(np.int64) << (24 - n - (at & 7))
+    byte, total = at >> 3, (int(end[-1]) + 7) // 8 + 2
+    stream = sum(np.bincount(byte + k, (value >> (16 - 8 * k)) & 255, total) for k in range(3))
+    return stream.astype(np.uint8)[: total - 2].tobytes(), at[::CHECKPOINT]
 
 
 def unpack(stream: np.ndarray, at: np.ndarray, count: np.ndarray, symbol: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
@@ -200,7 +263,7 @@ def unpack(stream: np.ndarray, at: np.ndarray, count: np.ndarray, symbol: np.nda
     return out
 
 
-BLOCK_SCHEMA = "part int, block long, doc_ids array<bigint>, n_tokens array<bigint>, n_ids long, bit_offsets array<bigint>, bits binary"
+BLOCK_SCHEMA = "part int, block long, first long, doc_ids array<bigint>, n_tokens array<bigint>, n_ids long, bit_offsets array<bigint>, bits binary"
 
 
 def encode_blocks(tokens: DataFrame, lengths: dict[int, int], wide: bool, partitions: int) -> DataFrame:
@@ -211,14 +274,14 @@ def encode_blocks(tokens: DataFrame, lengths: dict[int, int], wide: bool, partit
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, before = TaskContext.get().partitionId(), 0, 0
 
         def row(docs: list, parts: list[np.ndarray]) -> pa.RecordBatch:
             ids = np.concatenate(parts)
             bits, at = pack(ids, code, size)
-            values = [part, block, docs, [len(p) for p in parts], len(ids), at.tolist(), bits]
-            kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            names = ["part", "block", "doc_ids", "n_tokens", "n_ids", "bit_offsets", "bits"]
+            values = [part, block, before, docs, [len(p) for p in parts], len(ids), at.tolist(), bits]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            names = ["part", "block", "first", "doc_ids", "n_tokens", "n_ids", "bit_offsets", "bits"]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
         docs: list = []
@@ -229,7 +292,7 @@ def encode_blocks(tokens: DataFrame, lengths: dict[int, int], wide: bool, partit
                 ids = np.frombuffer(value.as_buffer(), kind)
                 if docs and held + len(ids) > BLOCK_IDS:
                     yield row(docs, parts)
-                    docs, parts, held, block = [], [], 0, block + 1
+                    docs, parts, before, held, block = [], [], before + held, 0, block + 1
                 docs.append(doc)
                 parts.append(ids)
                 held += len(ids)
@@ -241,37 +304,46 @@ def encode_blocks(tokens: DataFrame, lengths: dict[int, int], wide: bool, partit
 
 
 def decode_blocks(blocks: DataFrame, lengths: dict[int, int], limit: int) -> DataFrame:
-    """doc_id, start within its part, n_tokens, ids (32-bit little-endian) for each document of the files."""
+    """part, place within the part, doc_id, n_tokens, ids (32-bit little-endian) for each document of the files."""
     symbol, size = decode_table(lengths, limit)
+    names = ["part", "place", "doc_id", "n_tokens", "ids"]
+
+    def several(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """All blocks of the batch, decoded side by side."""
+        streams = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("bits")]
+        base = np.concatenate([[0], np.cumsum([len(x) for x in streams])]) * 8
+        n_ids = batch.column("n_ids").to_numpy()
+        offsets = batch.column("bit_offsets")
+        stretches = offsets.value_lengths().to_numpy()
+        own = np.repeat(np.arange(len(n_ids)), stretches)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+        at = offsets.flatten().to_numpy() + base[own]
+        count = np.minimum(CHECKPOINT, n_ids[own] - nth * CHECKPOINT)
+        ids = unpack(np.concatenate(streams), at, count, symbol, size, limit).astype("<u4")
+        per = batch.column("n_tokens").flatten().to_numpy()
+        docs = batch.column("n_tokens").value_lengths().to_numpy()
+        ends = np.cumsum(per)
+        place = np.repeat(batch.column("first").to_numpy() - (np.cumsum(n_ids) - n_ids), docs) + ends - per
+        at = np.concatenate([[0], ends]) * 4
+        binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(per), [None, pa.py_buffer(at), pa.py_buffer(ids)]).cast(pa.binary())
+        part = np.repeat(batch.column("part").to_numpy(), docs)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(place, pa.int64()), batch.column("doc_ids").flatten(), pa.array(per, pa.int64()), binary], names)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "block", "place", "doc_id", "n_tokens", "ids"]
         for batch in batches:
-            for i in range(batch.num_rows):
-                get = lambda name, i=i: batch.column(name)[i]
-                n = get("n_ids").as_py()
-                at = np.array(get("bit_offsets").as_py(), np.int64)
-                count = np.minimum(CHECKPOINT, n - np.arange(len(at)) * CHECKPOINT)
-                ids = unpack(np.frombuffer(get("bits").as_buffer(), np.uint8), at, count, symbol, size, limit).astype("<u4")
-                per = np.array(get("n_tokens").as_py(), np.int64)
-                offsets = np.concatenate([[0], np.cumsum(per)]) * 4
-                k = len(per)
-                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), k, [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([get("part").as_py()] * k, pa.int32()), pa.array([get("block").as_py()] * k, pa.int64()), pa.array((offsets[:-1] // 4), pa.int64()), pa.array(get("doc_ids").as_py(), pa.int64()), pa.array(per, pa.int64()), binary], names)
-
-    columns = ["part", "block", "doc_ids", "n_tokens", "n_ids", "bit_offsets", "bits"]
-    return blocks.select(columns).mapInArrow(decode, "part int, block long, place long, doc_id long, n_tokens long, ids binary")
-
-
-def block_starts(blocks: DataFrame) -> DataFrame:
-    """part, block, block_start: the ids of all blocks before. A window within each part and one over the parts."""
-    sizes = blocks.select("part", "block", "n_ids")
-    within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+            group = np.cumsum(batch.column("n_ids").to_numpy()) // SLICE_IDS
+            for edge in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(group)) + 1):
+                yield several(batch.slice(int(edge[0]), len(edge)))
+
+    columns = ["part", "first", "doc_ids", "n_tokens", "n_ids", "bit_offsets", "bits"]
+    return blocks.select(columns).mapInArrow(decode, "part int, place long, doc_id long, n_tokens long, ids binary")
+
+
+def part_starts(blocks: DataFrame) -> DataFrame:
+    """part, part_start: the ids of all parts before. One row per range partition of the writer."""
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("part_start", F.coalesce(F.sum("n").over(over), F.lit(0)))
-    sizes = sizes.withColumn("in_part", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
-    return sizes.join(parts.select("part", "part_start"), "part").select("part", "block", (F.col("part_start") + F.col("in_part")).alias("block_start"))
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    return parts.select("part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("part_start"))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, vocabulary: int = 49_408, limit: int = LIMIT) -> dict[int, int]:
@@ -290,8 +362,9 @@ def read_token_files(spark: SparkSession, path: str, limit: int = LIMIT) -> Data
     lengths = {r["id"]: r["bits"] for r in spark.read.schema("id long, bits int").parquet(f"{path}/code").toLocalIterator()}
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     decoded = decode_blocks(blocks, lengths, limit)
-    out = decoded.join(block_starts(blocks), ["part", "block"])
-    return out.select("doc_id", (F.col("block_start") + F.col("place")).alias("start"), "n_tokens", "ids")
+    # the writer's partitions are few however large the corpus: a broadcast of two numbers each
+    out = decoded.join(F.broadcast(part_starts(blocks)), "part")
+    return out.select("doc_id", (F.col("part_start") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
 def tokenizer_file() -> str:
@@ -302,8 +375,6 @@ def tokenizer_file() -> str:
 
 def digest(docs: DataFrame) -> DataFrame:
     """Write ``docs`` as token files in the shared folder, read them back, and give each document's digest."""
-    import uuid
-
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/lodestone/token-files-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer_file())

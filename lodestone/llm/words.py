@@ -8,7 +8,7 @@ a single text longer than a slice makes a slice of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ def inverse(a: np.uint64) -> np.uint64:
 _BYTE_INVERSE, _WORD_INVERSE = inverse(_BYTE_BASE), inverse(_WORD_BASE)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything but ASCII letters and bytes of longer characters.
+NOT_LETTER = ~np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 _VALUE_LOWER = _VALUE.copy()
 _VALUE_LOWER[65:91] = _VALUE[97:123]
@@ -57,6 +59,8 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hashes: np.ndarray
+    prefixes: list[np.ndarray] = field(default_factory=list)
+    without_last: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -87,15 +91,19 @@ def byte_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[sli
         lo = hi
 
 
-def words(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of each slice of a text column, with a 64-bit hash of each word's bytes."""
+def words(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES, between: np.ndarray = _SPACE, prefixes: tuple[int, ...] = (), without_last: bool = False) -> Iterator[Words]:
+    """The words of each slice of a text column, with a 64-bit hash of each word's bytes.
+
+    between: which bytes part words. prefixes: lengths in bytes; for each, hashes of the words'
+    beginnings (0 for a word that is not longer). without_last: also hash each word less its last byte.
+    """
     for rows, data, at in byte_slices(column, most):
         n = len(data)
         if not n:
             none = np.zeros(0, np.int64)
-            yield Words(rows, data, at, none, none, np.zeros(len(at), np.int64), none.astype(np.uint64))
+            yield Words(rows, data, at, none, none, np.zeros(len(at), np.int64), none.astype(np.uint64), [none.astype(np.uint64) for _ in prefixes])
             continue
-        space = _SPACE[data]
+        space = between[data]
         edge = at[:-1][at[:-1] < n]
         before = np.empty(n, bool)
         before[0], before[1:] = True, space[:-1]
@@ -110,8 +118,11 @@ def words(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> Ite
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(value, out=total[1:])
-        value = (total[end] - total[start]) * powers(_BYTE_INVERSE, n)[start]
-        yield Words(rows, data, at, start, end, np.searchsorted(start, at), mix(value ^ (end - start).astype(np.uint64)))
+        back = powers(_BYTE_INVERSE, n)[start]
+        hashes = mix((total[end] - total[start]) * back ^ (end - start).astype(np.uint64))
+        short = [np.where(start + k < end, mix((total[np.minimum(start + k, n)] - total[start]) * back + _U(k)), _U(0)) for k in prefixes]
+        less = mix((total[end - 1] - total[start]) * back ^ (end - 1 - start).astype(np.uint64)) if without_last else None
+        yield Words(rows, data, at, start, end, np.searchsorted(start, at), hashes, short, less)
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
