@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table, written
 
 SEED = 17
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 BLOCK_WORDS = 16
 MOST_ROUNDS = 3
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, decontamination, mixing, secrets, tokens, toxicity
+from lodestone.llm import chat, decontamination, mixing, ngram_join, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op3_chat_perspectives": chat.query,
     "op4_template_decontamination": decontamination.query,
     "op5_secret_spans": secrets.query,
+    "op6_ngram_join": ngram_join.query,
     "op8_token_files": tokens.query,
     "op9_source_mixing": mixing.query,
 }
