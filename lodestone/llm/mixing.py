@@ -136,8 +136,13 @@ def take_documents(docs: DataFrame, **options) -> DataFrame:
         F.when(F.col("mix_part") > 0, F.array("mix_part")).otherwise(F.array().cast("array<bigint>")),
     )
     out = out.withColumn("mix_cut", F.explode(parts))
-    cut = F.expr(r"""regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*+){', mix_cut, '}'), 0)""")
-    out = out.withColumn("text", F.when(F.col("mix_cut") < 0, F.col("text")).otherwise(F.rtrim(cut)))
+    # a split into so many pieces leaves what follows the last word taken in the last piece
+    space = r"[\x20\x09-\x0D]+"
+    pieces = F.col("mix_cut") + 1 + F.col("text").rlike(f"^{space}").cast("long")
+    split = F.split("text", space, pieces.cast("int"))
+    rest = F.when(F.size(split) == pieces, F.element_at(split, -1)).otherwise(F.lit(""))
+    cut = F.regexp_replace(F.left("text", F.length("text") - F.length(rest)), f"{space}$", "")
+    out = out.withColumn("text", F.when(F.col("mix_cut") < 0, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
