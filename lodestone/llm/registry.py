@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import anchors, chat, decontamination, mixing, ngram_join, secrets, tokens, toxicity
+from lodestone.llm import anchors, chat, decontamination, mixing, ngram_join, secrets, suffix_index, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_template_decontamination": decontamination.query,
     "op5_secret_spans": secrets.query,
     "op6_ngram_join": ngram_join.query,
+    "op7_suffix_levels": suffix_index.query,
     "op10_block_anchors": anchors.query,
     "op8_token_files": tokens.query,
     "op9_source_mixing": mixing.query,
