@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import anchors, chat, decontamination, mixing, ngram_join, secrets, suffix_index, tokens, toxicity
+from lodestone.llm import anchors, chat, decontamination, mixing, ngram_join, nn_descent, secrets, suffix_index, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_nn_descent": nn_descent.query,
     "op3_chat_perspectives": chat.query,
     "op4_template_decontamination": decontamination.query,
     "op5_secret_spans": secrets.query,
