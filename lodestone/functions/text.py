@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.literals import required
+
 _BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 SENTENCE_BREAK = r"(?<=[.!?;])\s+|\n+"
 TERM_LETTERS = "a-z0-9æøå"
@@ -19,8 +21,15 @@ def pattern(regex: str) -> str:
 
 
 def matches(text: Column, *regexes: str) -> Column:
-    """Whether any of the patterns occurs: one scan for an alternation of all."""
-    return text.rlike(pattern("|".join(f"(?:{r})" for r in regexes)))
+    """Whether any of the patterns occurs in a lower-case text.
+
+    Each pattern runs only where one of the words occurs that it cannot do without.
+    """
+    out = F.lit(False)
+    for regex in regexes:
+        test, words = text.rlike(pattern(regex)), required(regex)
+        out = out | (contains_any(text, sorted(words)) & test if words else test)
+    return out
 
 
 def contains_any(text: Column, words) -> Column:
@@ -70,7 +79,7 @@ def term_count(text: Column, terms) -> Column:
     """How many of the terms occur as whole words of a normalised text."""
     out = F.lit(0)
     for term in terms:
-        out = out + F.when(text.rlike(term_pattern(term)), 1).otherwise(0)
+        out = out + F.when(text.contains(normal_text(term)) & text.rlike(term_pattern(term)), 1).otherwise(0)
     return out
 
 
@@ -85,13 +94,13 @@ def categories(text: Column, lexicon: dict[str, list[str]]) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def lines(text: Column) -> Column:
     """Trimmed lines that are not empty."""
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\u0000", ""), "\r\n?", "\n")
-    return F.filter(F.transform(F.split(clean, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(clean, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 #: The entities that occur in practice; the rest stay as they are.

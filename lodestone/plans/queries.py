@@ -462,12 +462,12 @@ def salary_status(spark, sf_dir):
 
 
 _FACT_CTES = f"""lines AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line,
-    unnest(range(len(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')))) AS at
+    unnest(range(len(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')))) AS ord
   FROM (SELECT doc_id, concat(text, chr(10), CASE doc_id % 3 WHEN 0 THEN '• Led platform delivery for payments in 2021' WHEN 1 THEN '- Managed the release of two products' ELSE '' END) AS text FROM documents)),
-facts AS (SELECT doc_id, at, trim(regexp_replace(line, '^[•\\-–—▪◦*]+\\s*', '')) AS line FROM lines),
+facts AS (SELECT doc_id, ord, trim(regexp_replace(line, '^[•\\-–—▪◦*]+\\s*', '')) AS line FROM lines),
 useful AS (SELECT * FROM facts WHERE length(line) BETWEEN 24 AND 420 AND {duck.matches('lower(line)', evidence.ACTIONS, evidence.SIGNALS, evidence.YEAR)}),
-firsts AS (SELECT doc_id, lower(line) AS low, min(at) AS at, arg_min(line, at) AS line FROM useful GROUP BY 1, 2),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS number FROM firsts)"""
+firsts AS (SELECT doc_id, lower(line) AS low, min(ord) AS ord, arg_min(line, ord) AS line FROM useful GROUP BY 1, 2),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS number FROM firsts)"""
 
 
 def _facts(spark, sf_dir):
@@ -481,7 +481,7 @@ def fact_lines(spark, sf_dir):
     return evidence.numbered(_facts(spark, sf_dir), "doc_id").select("doc_id", "fact_id", "line")
 
 
-@query("fact_first_occurrence", f"WITH {_FACT_CTES} SELECT doc_id, count(*) AS n, min(at) AS first_at FROM firsts GROUP BY doc_id")
+@query("fact_first_occurrence", f"WITH {_FACT_CTES} SELECT doc_id, count(*) AS n, min(ord) AS first_at FROM firsts GROUP BY doc_id")
 def fact_first_occurrence(spark, sf_dir):
     return _facts(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("at").cast("long").alias("first_at"))
 

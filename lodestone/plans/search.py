@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,9 @@ from lodestone.operators import identity, rules, score
 from lodestone.sources.postings import CV, NOW
 
 
+STAGES = ("fetched", "verified", "deduplicated", "discovered")
+
+
 @dataclass(frozen=True)
 class Policy:
     """What differs between the service, web and multi-source policies."""
@@ -46,8 +50,10 @@ def staged(jobs: DataFrame, policy: Policy = SERVICE, days: int = 14, now: int =
 
 def evaluated(jobs: DataFrame, cv_text: str = CV, policy: Policy = SERVICE) -> DataFrame:
     """Every discovered posting with rule, scores and verdict; an excluded one scores zero."""
-    out = staged(jobs, policy).where("discovered").withColumn("rule", rules.exclusion_rule())
-    out = score.with_scores(out, cv_text)
+    # kept: a filter on what patterns made would otherwise be pushed down, and the patterns run again
+    found = staged(jobs, policy).persist(StorageLevel.MEMORY_AND_DISK)
+    out = found.where("discovered").withColumn("rule", rules.exclusion_rule())
+    out = score.with_scores(out, cv_text).drop("description", "title_n", "body_n", "text_n").persist(StorageLevel.MEMORY_AND_DISK)
     gone = F.col("rule").isNotNull()
     zero = {c: F.when(gone, 0).otherwise(F.col(c)) for c in ("responsibility", "experience", "geography", "career", "total")}
     out = out.withColumns(zero)
@@ -66,6 +72,8 @@ def ranked(jobs: DataFrame, history: DataFrame, most: int = 10, only_new: bool =
 
 def stage_stats(jobs: DataFrame) -> DataFrame:
     """fetched, verified, deduplicated, discovered: one row."""
-    raw = jobs.agg(F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("full_jd_verified") & (F.col("description") != "")).alias("verified"))
-    kept = staged(jobs, days=10_000).agg(F.count(F.lit(1)).alias("deduplicated"), F.count_if("discovered").alias("discovered"))
-    return raw.join(kept)  # one row each
+    raw = jobs.select(F.lit("fetched").alias("stage")).unionByName(jobs.where(F.col("full_jd_verified") & (F.col("description") != "")).select(F.lit("verified").alias("stage")))
+    kept = staged(jobs, days=10_000)
+    late = kept.select(F.explode(F.array_compact(F.array(F.lit("deduplicated"), F.when(F.col("discovered"), "discovered")))).alias("stage"))
+    each = raw.unionByName(late).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(*(F.coalesce(F.sum(F.when(F.col("stage") == s, F.col("n"))), F.lit(0)).alias(s) for s in STAGES))
