@@ -17,11 +17,14 @@ without rows; other columns are left alone; a text of any length is coded whole.
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +36,13 @@ BLOCK_IDS = 1 << 16
 CHECKPOINT = 128
 SLICE_IDS = 1 << 20
 LIMIT = 16
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_200_000
 _LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 _CLOSING = np.array([chr(b) in ".,;:!?" for b in range(256)])
 _MARK_HASH = mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(32))
+#: Byte to letter, as byte-level vocabularies write it: printable bytes stand for themselves, the rest from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 #: One for each Python worker, kept from task to task.
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -45,7 +51,7 @@ class WordTokenizer:
     """A tokenizers file whose pre-tokeniser drops white space: the ids of a text are those of its words, end to end.
 
     Words are told apart by a 64-bit hash in an open-addressing table of up to CACHE_WORDS, which
-    then starts anew; only words not met before go to the tokenizer. A closing mark after a letter
+    then starts anew; only words not met before go to the tokenizer, which lower-cases all of them. A closing mark after a letter
     is a word of its own to this end: letters and marks never share a pre-token.
     """
 
@@ -88,24 +94,23 @@ class WordTokenizer:
             done[won] = True
             open_ = open_[~done[open_]]
             slot[open_] = (slot[open_] + 1) % self.SLOTS
-        made = [x for i in range(0, len(fresh), 8192) for x in self.encode_words(fresh[i : i + 8192])]
+        made = self.encode_words(fresh)
         size = np.fromiter(map(len, made), np.int64, len(made))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in made for i in x), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
         self.n += len(fresh)
 
     def encode_words(self, fresh: list[str]) -> list[list[int]]:
-        """Words of letters alone are one pre-token each, so many of them can be encoded as one text."""
+        """The ids of each word.
+
+        To a word of lower-case letters alone, in composed form, the normaliser does nothing and the
+        pre-tokeniser makes one piece of it: its bytes go to the model as they are.
+        """
+        tokenize = self.tokenizer.model.tokenize
         out: list[list[int] | None] = [None] * len(fresh)
-        plain = [i for i, w in enumerate(fresh) if w.isalpha()]
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        joined = self.tokenizer.encode_batch_fast([" ".join(fresh[i] for i in g) for g in groups], add_special_tokens=False)
-        for group, code in zip(groups, joined, strict=True):
-            ids, word = code.ids, code.word_ids
-            starts = [k for k in range(len(word)) if not k or word[k] != word[k - 1]]
-            if len(starts) == len(group):
-                for i, a, b in zip(group, starts, [*starts[1:], len(ids)], strict=True):
-                    out[i] = ids[a:b]
+        for i, word in enumerate(fresh):
+            if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):
+                out[i] = [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, code in zip(rest, self.tokenizer.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = code.ids
@@ -113,7 +118,9 @@ class WordTokenizer:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """Rows, all their ids end to end, and how many each row has."""
-        for part in words(column, without_last=True):
+        # special tokens are told apart by case, other words are not
+        special = pc.any(pc.match_substring(column, "<|")).as_py()
+        for part in words(column, lower=not special, without_last=True):
             start, end, hashes, data = part.start, part.end, part.hashes, part.data
             if len(start):
                 # a word with a closing mark is two pieces
@@ -127,7 +134,7 @@ class WordTokenizer:
                 word = self.find(hashes)
                 if (lost := np.flatnonzero(word < 0)).size:
                     fresh, first = np.unique(hashes[lost], return_index=True)
-                    raw = data.tobytes()
+                    raw = data.tobytes() if special else data.tobytes().lower()  # of bytes: ASCII letters only
                     self.add(fresh, [raw[start[i] : end[i]].decode("utf-8", "replace") for i in lost[first]])
                     word[lost] = self.find(hashes[lost])
                 size = self.at[word + 1] - self.at[word]
