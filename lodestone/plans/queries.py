@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import lexicon as L
 from lodestone.functions import parse, text
-from lodestone.operators import company, evidence, identity, rules, score
+from lodestone.operators import company, cv, evidence, identity, rules, score
 from lodestone.plans import duck, search
 from lodestone.sources.postings import CV, NOW, POSTINGS_SQL, job_postings, postings, table
 from lodestone.streaming.history import replayed
@@ -577,3 +577,44 @@ def jsonld_postings(spark, sf_dir):
     head, tail = _LD.split("%s")
     rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(head), F.col("page_id").cast("string"), F.lit(tail), "html").alias("html"))
     return job_postings(rows, "html").select("page_id", "title", "company", "date_posted")
+
+
+#: A CV for each document, in three layouts.
+_CV_TEXT = """concat('Jo Doe', chr(10), 'Professional Summary', chr(10), 'Delivery lead of ', CAST(doc_id AS STRING), ' projects', chr(10), 'Experience', chr(10),
+  CASE doc_id % 3 WHEN 0 THEN 'Lead | Firm A | 2019 - Present' WHEN 1 THEN concat('Lead', chr(10), 'Firm A', chr(10), '2019 - 2021') ELSE 'Lead | 2016 to 2018' END, chr(10),
+  'Runs the platform', chr(10), CASE doc_id % 2 WHEN 0 THEN 'and its releases' ELSE '- built things' END, chr(10), '- shipped', chr(10), 'Engineer | Firm B | 2017 - 2020', chr(10), 'Wrote services', chr(10), 'Education', chr(10), 'School 2001 - 2005')"""
+_CV_CTES = f"""texts AS (SELECT doc_id, {_CV_TEXT} AS t FROM documents),
+raw AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS ord, unnest(string_split(t, chr(10))) AS line FROM texts),
+headed AS (SELECT *, CASE lower(line) WHEN 'professional summary' THEN 'summary' WHEN 'experience' THEN 'experience' WHEN 'education' THEN 'other' END AS heading FROM raw),
+placed AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'header') AS section FROM headed),
+body AS (SELECT * FROM placed WHERE heading IS NULL)"""
+
+
+def _cv_lines(spark, sf_dir):
+    return cv.cv_lines(table(spark, sf_dir, "documents").select("doc_id", F.expr(_CV_TEXT).alias("t")), "doc_id", "t")
+
+
+@query("section_ranges", f"WITH {_CV_CTES} SELECT doc_id, section, min(ord) AS first_line, max(ord) AS last_line, count(*) AS n FROM body GROUP BY doc_id, section")
+def section_ranges(spark, sf_dir):
+    return _cv_lines(spark, sf_dir).groupBy("doc_id", "section").agg(F.min("pos").cast("long").alias("first_line"), F.max("pos").cast("long").alias("last_line"), F.count(F.lit(1)).alias("n"))
+
+
+@query("latest_previous_role", f"""WITH {_CV_CTES},
+dated AS (SELECT *, regexp_matches(line, '(19|20)[0-9][0-9] (-|to) ') AS is_date, lag(line, 1) OVER w AS b1, lag(line, 2) OVER w AS b2 FROM body WHERE section = 'experience' WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+counted AS (SELECT *, sum(CAST(is_date AS INT)) OVER (PARTITION BY doc_id ORDER BY ord) AS ordinal FROM dated),
+heads AS (SELECT doc_id, ordinal, CASE WHEN contains(line, '|') THEN trim(string_split(line, '|')[1]) ELSE b2 END AS title,
+  CASE WHEN len(string_split(line, '|')) = 3 THEN trim(string_split(line, '|')[2]) WHEN contains(line, '|') THEN '' ELSE b1 END AS company,
+  CAST(regexp_extract(line, '((?:19|20)[0-9][0-9]) (?:-|to)', 1) AS INT) AS start_year, coalesce(TRY_CAST(regexp_extract(line, '(?:-|to) ([0-9]+)$', 1) AS INT), 9999) AS end_year FROM counted WHERE is_date),
+stops AS (SELECT *, max(CAST(line LIKE '- %' AS INT)) OVER (PARTITION BY doc_id, ordinal ORDER BY ord) AS stopped FROM counted WHERE NOT is_date AND ordinal > 0),
+overviews AS (SELECT doc_id, ordinal, string_agg(line, ' ' ORDER BY ord) AS overview FROM stops WHERE stopped = 0 GROUP BY doc_id, ordinal)
+SELECT h.doc_id, CAST(row_number() OVER (PARTITION BY h.doc_id ORDER BY end_year DESC, start_year DESC, h.ordinal) AS INT) AS rank, title, company, start_year, end_year, coalesce(overview, '') AS overview
+FROM heads h LEFT JOIN overviews o ON h.doc_id = o.doc_id AND h.ordinal = o.ordinal QUALIFY rank <= 2""")
+def latest_previous_role(spark, sf_dir):
+    found = cv.roles(_cv_lines(spark, sf_dir), "doc_id")
+    return cv.latest_roles(found, "doc_id").select("doc_id", "rank", "title", "company", "start_year", "end_year", "overview")
+
+
+@query("length_window", "SELECT item_id, CAST(greatest(0, n - b) AS INT) AS least, CAST(n + b AS INT) AS most FROM (SELECT item_id, n, greatest(CAST(round(n * 0.15::DOUBLE) AS INT), 8) AS b FROM (SELECT item_id, len(string_split(text, ' ')) AS n FROM benchmark))")
+def length_window(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.size(F.split("text", " ")).alias("n"))
+    return items.select("item_id", cv.length_window(F.col("n")).alias("w")).select("item_id", "w.least", "w.most")
