@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import lexicon as L
 from lodestone.functions import parse, text
-from lodestone.operators import company, cv, evidence, identity, rules, score
+from lodestone.operators import company, cv, evidence, identity, requirements, rules, score
 from lodestone.plans import duck, search
 from lodestone.sources.postings import CV, NOW, POSTINGS_SQL, job_postings, postings, table
 from lodestone.streaming.history import replayed
@@ -618,3 +618,43 @@ def latest_previous_role(spark, sf_dir):
 def length_window(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.size(F.split("text", " ")).alias("n"))
     return items.select("item_id", cv.length_window(F.col("n")).alias("w")).select("item_id", "w.least", "w.most")
+
+
+_JOB_TEXT = "CASE doc_id % 4 WHEN 0 THEN 'End-to-end delivery, risk and governance' WHEN 1 THEN 'Integration of APIs; Agile' WHEN 2 THEN 'Release readiness and compliance' ELSE 'Plain work' END"
+_FACT_TEXT = "CASE doc_id % 3 WHEN 0 THEN 'Led risk reviews and PMO roadmap' WHEN 1 THEN 'Built the production interface' ELSE 'Scrum master for full lifecycle' END"
+
+
+def _duck_catalog(x: str, which: int) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {duck.matches(f'lower({x})', *row[which])} THEN {duck.text(row[0])} END" for row in requirements.CATALOG) + "], lambda c: c IS NOT NULL)"
+
+
+@query("requirement_supported", f"""WITH t AS (SELECT doc_id, doc_id % 50 AS cv, {_JOB_TEXT} AS job, {_FACT_TEXT} AS fact FROM documents),
+wanted AS (SELECT doc_id, cv, unnest({_duck_catalog('job', 1)}) AS requirement FROM t), shown AS (SELECT DISTINCT cv, unnest({_duck_catalog('fact', 2)}) AS requirement FROM t WHERE doc_id % 2 = 0)
+SELECT w.doc_id, w.requirement, s.cv IS NOT NULL AS supported FROM wanted w LEFT JOIN shown s ON w.cv = s.cv AND w.requirement = s.requirement""")
+def requirement_supported(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("cv"), F.expr(_JOB_TEXT).alias("text"), F.expr(_FACT_TEXT).alias("fact"))
+    out = requirements.supported(docs.select("cv", F.col("doc_id").alias("job"), "text"), docs.where("doc_id % 2 = 0").select("cv", "fact"))
+    return out.select(F.col("job").alias("doc_id"), "requirement", "supported")
+
+
+_PRIORITY = """{"id":"%s","rank":%s,"kind":"%s","requirement":"r","why":"w","jdEvidence":[%s]}"""
+
+
+def _analysis(ids=("a", "b", "c"), ranks=(1, 2, 3), kind="important", evidence='"e"', mission="m", gaps='"gapsToAvoid":[]') -> str:
+    items = ",".join(_PRIORITY % (i, r, kind, evidence) for i, r in zip(ids, ranks, strict=True))
+    return '{"roleMission":"%s","candidatePositioning":"p","priorities":[%s],%s}' % (mission, items, gaps)
+
+
+_ANALYSES = (
+    (_analysis(), None), (_analysis(mission=" "), "text"), (_analysis(ids=("a", "b"), ranks=(1, 2)), "count"), (_analysis(ids=("a", "a", "c")), "ids"), (_analysis(kind="odd"), "kind"),
+    (_analysis(evidence=""), "evidence"), (_analysis(ranks=(1, 3, 2)), "rank"), (_analysis(gaps='"x":1'), "gaps"),
+)
+
+
+@query("analysis_contract", "SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {duck.text(fault) if fault else 'NULL'}" for i, (_, fault) in enumerate(_ANALYSES)) + " END AS fault FROM documents")
+def analysis_contract(spark, sf_dir):
+    text_ = None
+    for i, (json, _) in enumerate(_ANALYSES):
+        test = F.col("doc_id") % 8 == i
+        text_ = F.when(test, json) if text_ is None else text_.when(test, json)
+    return table(spark, sf_dir, "documents").select("doc_id", requirements.analysis_fault(text_).alias("fault"))
