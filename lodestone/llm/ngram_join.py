@@ -18,7 +18,7 @@ count. Two documents link when 100 * overlap >= 75 * union, so they need an over
   left are verified on the shingle sets.
 
 Equal sets are one entry (a class) from the start. Before pages are opened, each entry is
-compared with the first entry of its branch and with the one before it; entries that these links
+compared with the hub of its branch (the entry with the most shared branches) and with the entry before it; entries that these links
 connect need no comparison any more, since only components are asked for. Pages of a branch
 that is one component are never made, so a group of thousands of near copies costs a few
 comparisons for each of its members. No pair of different components is left out.
@@ -45,7 +45,7 @@ from lodestone.llm.words import mix, rolling, words
 SHINGLE = 5
 DF_GROUPS = 1 << 16
 LEAST_VECTOR, MOST_VECTOR = 16, 4096
-PAGE = 128
+PAGE, BOX = 128, 32
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -81,6 +81,11 @@ def vector(found: np.ndarray) -> bytes:
     return np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32).astype("<u2" if len(found) < 1 << 16 else "<u4").tobytes()
 
 
+def coarse_vector(found: np.ndarray) -> bytes:
+    """Counts of BOX groups, for pages and their boxes."""
+    return np.bincount((found & np.uint64(BOX - 1)).astype(np.int64), minlength=BOX).astype("<u4").tobytes()
+
+
 def read_vector(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if n < 1 << 16 else "<u4").astype(np.int32)
 
@@ -89,7 +94,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """A row for each document (doc_id, n, node, vec) and, with ``df`` set, each task's document counts by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, names = np.zeros(DF_GROUPS, np.uint32), ["doc_id", "n", "node", "vec", "df"]
+        total, names = np.zeros(DF_GROUPS, np.uint32), ["doc_id", "n", "node", "vec", "coarse", "df"]
         kind = None
         for batch in batches:
             ids = batch.column("doc_id")
@@ -98,14 +103,14 @@ def digests(docs: DataFrame) -> DataFrame:
             for _, found in shingle_sets(batch.column("text")):
                 groups = (found >> np.uint64(48)).astype(np.int64)
                 np.add.at(total, groups, 1)
-                held.append((len(found), node_of(found), vector(found)))
-            n, node, vec = zip(*held, strict=True) if held else ((), (), ())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(vec, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+                held.append((len(found), node_of(found), vector(found), coarse_vector(found)))
+            n, node, vec, coarse = zip(*held, strict=True) if held else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(vec, pa.binary()), pa.array(coarse, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, vec binary, df binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, vec binary, coarse binary, df binary")
 
 
 def group_counts(digested: DataFrame) -> np.ndarray:
@@ -216,14 +221,22 @@ def sets_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
     return own.dropDuplicates(["node"])
 
 
+def small_branches(entries: DataFrame) -> DataFrame:
+    """opened_pages() for branches of one page: the entries are compared by the join itself."""
+    one = entries.select("key", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("rem").alias("rem1"), F.col("root").alias("root1"))
+    two = entries.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("rem").alias("rem2"), F.col("root").alias("root2"))
+    pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("root1") != F.col("root2")) & may_link(F.col("n1"), F.col("rem1"), F.col("n2"), F.col("rem2")))
+    return pairs.select("a", "b").distinct()
+
+
 def opened_pages(entries: DataFrame, page: int = PAGE) -> DataFrame:
     """Pairs (a, b) of entries of different components under one branch that pass the bounds of pages and entries.
 
-    entries: key, node, n, rem, root, vec.
+    entries: key, node, n, rem, root, coarse (counts of BOX groups).
     """
     order = Window.partitionBy("key").orderBy("n", "node")
     entries = entries.withColumn("page", F.floor((F.row_number().over(order) - 1) / page))
-    entry = F.struct("node", "root", "n", "rem", "vec")
+    entry = F.struct("node", "root", "n", "rem", "coarse")
     pages = entries.groupBy("key", "page").agg(
         F.collect_list(entry).alias("held"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rem").alias("rem"),
         F.min("root").alias("low"), F.max("root").alias("high"))
@@ -234,25 +247,23 @@ def opened_pages(entries: DataFrame, page: int = PAGE) -> DataFrame:
     pairs = one.join(two, "key").where(fits).select("held1", "held2")
 
     def points(held: pa.StructArray) -> tuple:
-        n, rem = held.field("n").to_numpy(), held.field("rem").to_numpy()
-        each = [read_vector(v.as_buffer(), k) for v, k in zip(held.field("vec"), n, strict=True)]
-        size = min(map(len, each))
-        return held.field("node").to_numpy(), held.field("root").to_numpy(), n.astype(np.int64), rem.astype(np.int64), np.stack([v.reshape(-1, size).sum(0) for v in each])
+        numbers = [held.field(c).to_numpy().astype(np.int64) for c in ("node", "root", "n", "rem")]
+        return *numbers, np.stack([np.frombuffer(v.as_buffer(), "<u4") for v in held.field("coarse")]).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column("held1"), batch.column("held2"), strict=True):
                 node1, root1, n1, rem1, v1 = points(x.values)
                 node2, root2, n2, rem2, v2 = points(y.values)
-                if 175 * overlap_bound(v1.max(0), v2.max(0)) < 75 * (n1.min() + n2.min()):  # the boxes
+                if 175 * np.minimum(v1.max(0), v2.max(0)).sum() < 75 * (n1.min() + n2.min()):  # the boxes
                     continue
                 total = n1[:, None] + n2[None, :]
                 fits = (root1[:, None] != root2[None, :]) & (175 * np.minimum(rem1[:, None], rem2[None, :]) >= 75 * total)
                 fits &= 75 * np.maximum(n1[:, None], n2[None, :]) <= 100 * np.minimum(n1[:, None], n2[None, :])
                 i, j = np.nonzero(fits)
-                for at in range(0, len(i), 1024):
-                    p, q = i[at : at + 1024], j[at : at + 1024]
-                    keep = 175 * overlap_bound(v1[p], v2[q]) >= 75 * total[p, q]
+                for at in range(0, len(i), 4096):
+                    p, q = i[at : at + 4096], j[at : at + 4096]
+                    keep = 175 * np.minimum(v1[p], v2[q]).sum(1) >= 75 * total[p, q]
                     a, b = node1[p[keep]], node2[q[keep]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -265,15 +276,21 @@ def join_components(docs: DataFrame) -> DataFrame:
     rows = digested.where(F.col("df").isNull())
     counts = group_counts(digested)
     own = Window.partitionBy("key").orderBy("n", "node")
-    hung = branches(docs, counts).withColumns({
-        "prior": F.lag("node").over(own), "prior_n": F.lag("n").over(own), "prior_rem": F.lag("rem").over(own), "after": F.lead("node").over(own),
-        "top": F.first("node").over(own), "top_n": F.first("n").over(own), "top_rem": F.first("rem").over(own)})
+    hung = branches(docs, counts).withColumns({"prior": F.lag("node").over(own), "prior_n": F.lag("n").over(own), "prior_rem": F.lag("rem").over(own), "after": F.lead("node").over(own), "top": F.first("node").over(own)})
     # a class that several tasks met is there several times, side by side
     hung = hung.where(F.coalesce(F.col("prior") != F.col("node"), F.lit(True)) & ((F.col("top") != F.col("node")) | (F.col("after").isNotNull())))
-    hung = written(hung.drop("after"), "ngram-branches")
-    near = [hung.where(may_link(F.col("n"), F.col("rem"), F.col(f"{k}_n"), F.col(f"{k}_rem")) & (F.col("node") != F.col(k)))
-            .select(F.least("node", k).alias("a"), F.greatest("node", k).alias("b")) for k in ("prior", "top")]
-    points = rows.where(F.col("n") > 0).dropDuplicates(["node"]).select("node", "n", "vec")
+    hung = written(hung.drop("after", "top"), "ngram-branches")
+    # the entry with the most shared branches is the nearest to all others that a branch can name
+    degree = hung.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    hubs = hung.select("key", "node", "n", "rem").join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n", "rem")).alias("hub"))
+    hubs = hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.rem").alias("hub_rem"))
+
+    def compared(rows: DataFrame, other: str) -> DataFrame:
+        fits = may_link(F.col("n"), F.col("rem"), F.col(f"{other}_n"), F.col(f"{other}_rem")) & (F.col("node") != F.col(other))
+        return rows.where(fits).select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
+
+    near = [compared(hung, "prior"), compared(hung.select("key", "node", "n", "rem").join(hubs, "key"), "hub")]
+    points = rows.where(F.col("n") > 0).dropDuplicates(["node"]).select("node", "n", "vec", "coarse")
     first = written(bounded(near[0].unionByName(near[1]).distinct(), points), "ngram-pairs")
     owners = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("owner"))
 
@@ -286,9 +303,12 @@ def join_components(docs: DataFrame) -> DataFrame:
     root = components(links)
     entries = hung.select("key", "node", "n", "rem").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     entries = written(entries, "ngram-entries")
-    split = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    mixed = entries.join(split, "key", "left_semi").join(points.select("node", "vec"), "node")
-    second = written(opened_pages(mixed), "ngram-pairs")
+    split = entries.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("held")).where("low <> high").select("key", "held")
+    mixed = entries.join(split, "key")
+    mixed = written(mixed, "ngram-mixed")
+    large = mixed.where(F.col("held") > PAGE).drop("held").join(points.select("node", "coarse"), "node")
+    second = small_branches(mixed.where(F.col("held") <= PAGE)).unionByName(opened_pages(large)).distinct()
+    second = written(bounded(written(second, "ngram-pairs"), points), "ngram-pairs")
     if not second.isEmpty():
         root = components(links.unionByName(linked(second)))
     named = rows.join(root, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
@@ -300,7 +320,7 @@ def join_components(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's smallest; rows with a null doc_id stay."""
     dropped = join_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
