@@ -115,7 +115,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that meet no benchmark item."""
     hit = contaminated(docs, benchmark, window).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

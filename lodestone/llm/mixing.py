@@ -129,23 +129,24 @@ def take_documents(docs: DataFrame, **options) -> DataFrame:
     only if they are equal; the ids of a corpus are expected to be unique here.
     """
     plan = mix_sources(docs, **options).where(F.col("taken") > 0)
-    plan = plan.groupBy(F.col("doc_id").alias("mix_id")).agg(F.min("rounds").alias("mix_rounds"), F.min("part").alias("mix_part"))
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    plan = plan.groupBy("doc_id").agg(F.min("rounds").alias("rounds"), F.min("part").alias("part"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))  # whatever its columns are called
     parts = F.concat(
-        F.array_repeat(F.lit(-1).cast("long"), F.col("mix_rounds").cast("int")),
-        F.when(F.col("mix_part") > 0, F.array("mix_part")).otherwise(F.array().cast("array<bigint>")),
+        F.array_repeat(F.lit(-1).cast("long"), F.col("rounds").cast("int")),
+        F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")),
     )
-    out = out.withColumn("mix_cut", F.explode(parts))
+    out = rows.join(plan, F.col("doc.doc_id").eqNullSafe(F.col("doc_id"))).withColumn("cut", F.explode(parts))
     # a split into so many pieces leaves what follows the last word taken in the last piece
-    space = r"[\x20\x09-\x0D]+"
-    pieces = F.col("mix_cut") + 1 + F.col("text").rlike(f"^{space}").cast("long")
-    split = F.split("text", space, pieces.cast("int"))
+    text, space = F.col("doc.text"), r"[\x20\x09-\x0D]+"
+    pieces = F.col("cut") + 1 + text.rlike(f"^{space}").cast("long")
+    split = F.split(text, space, pieces.cast("int"))
     rest = F.when(F.size(split) == pieces, F.element_at(split, -1)).otherwise(F.lit(""))
-    cut = F.regexp_replace(F.left("text", F.length("text") - F.length(rest)), f"{space}$", "")
-    out = out.withColumn("text", F.when(F.col("mix_cut") < 0, F.col("text")).otherwise(cut))
+    short = F.regexp_replace(F.left(text, F.length(text) - F.length(rest)), f"{space}$", "")
+    out = out.withColumn("text", F.when(F.col("cut") < 0, text).otherwise(short))
+    fresh = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        fresh["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(fresh.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

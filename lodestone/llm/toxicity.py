@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected. The score is joined back by id, rejected ids only."""
     rejected = score(docs, fit(docs, labels)).where("rejected").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("rejected_id")), "left_anti")
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_id"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
