@@ -12,9 +12,10 @@ array is a table of these entries in the order of their first eight bytes, then
 The corpus comes in ``BATCHES`` batches (by a hash of the row). Each gets its suffix array, which
 is merge-scanned against every level of the family for equal entries; levels of equal size merge,
 so a corpus of n batches has at most log2(n) + 1 levels and an entry is rewritten as often. Anchors
-that the scans find mark the windows to be confirmed: every window whose anchor was found goes by
-the hash of all its bytes through the packed search of positions.py. Confirmed windows that
-overlap are the removed runs.
+that the scans find mark the windows to be confirmed. Where the bytes of all windows of an anchor
+occur again as a whole, they all are; the windows of other anchors go by the hash of all their bytes
+through the packed search of positions.py, against one anchor for each context that occurs again.
+Confirmed windows that overlap are the removed runs.
 
 Defined results: a null or empty text has 0 bytes and the SHA-256 of nothing; rows that repeat each
 other are removed whole if they have ``WINDOW`` bytes; a null doc_id is kept; an empty table gives
@@ -145,28 +146,93 @@ class Levels:
         return written(found.select("rid", "place").distinct(), "suffix-found")
 
 
+def ranges(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of equal anchors (windows with one anchor stand in a row)."""
+    head = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    return head, np.append(head[1:], len(anchors)) - 1
+
+
+def marked(at: np.ndarray, lists: pa.Array, n: int) -> np.ndarray:
+    """Which of n bytes the rows' lists of places name."""
+    out = np.zeros(n + 1, bool)
+    sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy()
+    out[lists.flatten().to_numpy() + np.repeat(at[:-1], sizes)] = True
+    return out
+
+
+def contexts(met: DataFrame, window: int) -> DataFrame:
+    """The found anchors of rows (rid, text, anchors): rid, place, context, ahead, behind.
+
+    context: a hash of all bytes of all windows that have the anchor; ahead, behind: the keys by which it was filed.
+    """
+    half = window // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids, found = batch.column("rid").to_numpy(), batch.column("anchors")
+            for part, data, at in byte_slices(batch.column("text"), SLICE):
+                if len(data) < window:
+                    continue
+                hit = marked(at, found.slice(part.start, part.stop - part.start), len(data))
+                text = Bytes(data)
+                starts, anchors = text.anchors(at, window)
+                first, last = ranges(anchors)
+                kept = hit[anchors[first]]
+                place, first, last = anchors[first[kept]], starts[first[kept]], starts[last[kept]]
+                end = last + window
+                context = mix((text.total[end] - text.total[first]) * text.back[first] ^ mix(((end - first) << 20 | (place - first)).astype(np.uint64)))
+                own = np.searchsorted(at, place, "right") - 1
+                ahead, behind = place + half <= at[own + 1], place - half >= at[own]
+                keys = [text.hashes(np.where(ok, p, 0), half).view(np.int64) for ok, p in ((ahead, place), (behind, place - half))] if len(place) else [place, place]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rids[part][own]), pa.array((place - at[own]).astype(np.int32)), pa.array(context.view(np.int64)), pa.array(keys[0], mask=~ahead), pa.array(keys[1], mask=~behind)],
+                    ["rid", "place", "context", "ahead", "behind"])
+
+    return met.select("rid", "text", "anchors").mapInArrow(run, "rid long, place int, context long, ahead long, behind long")
+
+
+def sorted_out(found: DataFrame) -> DataFrame:
+    """rid, whole, open of rows of contexts().
+
+    whole: anchors whose context occurs again, so all their windows do. open: anchors whose windows are to
+    be compared one by one: those of a context that occurs once, and one for each other context that
+    shares a key with a different one. A passage with thousands of copies is opened once, not for each.
+    """
+    classes = found.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place")).alias("first"))
+    out = found.join(classes, "context")
+    for key in ("ahead", "behind"):
+        groups = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("context").alias("low"), F.max("context").alias("high"))
+        out = out.join(groups.where("low <> high").select(key, F.lit(True).alias(f"mixed_{key}")), key, "left")
+    mixed = F.coalesce("mixed_ahead", "mixed_behind", F.lit(False))
+    one = (F.col("n") == 1) | (F.col("first") == F.struct("rid", "place"))
+    out = out.select("rid", "place", (F.col("n") > 1).alias("whole"), (mixed & one).alias("open")).where("whole OR open")
+    return out.groupBy("rid").agg(F.collect_set(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.collect_set(F.when(F.col("open"), F.col("place"))).alias("open"))
+
+
+def windows_of(data: np.ndarray, at: np.ndarray, lists: pa.Array, window: int) -> tuple[Bytes | None, np.ndarray]:
+    """The starts of the windows whose anchors the rows' lists name."""
+    if len(data) < window:
+        return None, np.zeros(0, np.int64)
+    text = Bytes(data)
+    starts, anchors = text.anchors(at, window)
+    return text, starts[marked(at, lists, len(data))[anchors]]
+
+
 def window_probes(met: DataFrame, window: int) -> DataFrame:
-    """The windows of rows (rid, text, anchors) whose anchors were found."""
+    """The windows of rows (rid, text, open) with an open anchor."""
     partitions = shuffle_partitions(met.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
-            rids, found = batch.column("rid").to_numpy(), batch.column("anchors")
+            rids, found = batch.column("rid").to_numpy(), batch.column("open")
             for part, data, at in byte_slices(batch.column("text"), SLICE):
-                n = part.stop - part.start
-                mine = found.slice(part.start, n)
-                places = mine.flatten().to_numpy() + np.repeat(at[:-1], mine.value_lengths().to_numpy())
-                hit = np.zeros(len(data) + 1, bool)
-                hit[places] = True
-                if len(data) >= window:
-                    text = Bytes(data)
-                    starts, anchors = text.anchors(at, window)
-                    starts = starts[hit[anchors]]
+                text, starts = windows_of(data, at, found.slice(part.start, part.stop - part.start), window)
+                if len(starts):
                     yield from send(slice_name(number), partitions, rids[part], at, text.hashes(starts, window), starts, 8)
                 number += 1
 
-    return met.select("rid", "text", "anchors").mapInArrow(run, SCHEMA)
+    return met.select("rid", "text", "open").mapInArrow(run, SCHEMA)
 
 
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -200,17 +266,26 @@ def settle(rows: DataFrame, keep: bool) -> DataFrame:
 
 
 def strip(rows: DataFrame, window: int, keep: bool) -> DataFrame:
-    """The results of rows (doc_id, text, places: confirmed windows or null)."""
+    """The results of rows (doc_id, text, whole: anchors or null, places: confirmed windows or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("text").cast(pa.binary()), batch.column("places"), strict=True)
-            done = [result(t.as_py(), unpack_places(p.as_buffer()) if p.is_valid else None, window, keep) for t, p in pairs]
-            columns = [pa.array(c, k) for c, k in zip(zip(*done, strict=True) if done else [()] * 5, _RESULT_TYPES, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *RESULT])
+            places, whole = batch.column("places"), batch.column("whole")
+            for part, data, at in byte_slices(batch.column("text"), SLICE):
+                n = part.stop - part.start
+                starts = windows_of(data, at, whole.slice(part.start, n), window)[1]
+                edge = np.searchsorted(starts, at)
+                done = []
+                for i in range(n):
+                    own, more = starts[edge[i] : edge[i + 1]] - at[i], places[part.start + i]
+                    if more.is_valid:
+                        own = np.union1d(own, unpack_places(more.as_buffer()))
+                    done.append(result(data[at[i] : at[i + 1]].tobytes(), own, window, keep))
+                columns = [pa.array(c, k) for c, k in zip(zip(*done, strict=True), _RESULT_TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.start, n), *columns], ["doc_id", *RESULT])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "places").mapInArrow(run, f"doc_id {kind}, {_RESULT_SCHEMA}")
+    return rows.select("doc_id", "text", "whole", "places").mapInArrow(run, f"doc_id {kind}, {_RESULT_SCHEMA}")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, keep: bool = False) -> DataFrame:
@@ -226,8 +301,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
     hits = hits.groupBy("rid").agg(F.collect_set("place").alias("anchors"))
     settled = written(settle(rows.join(hits, "rid", "left"), keep), "suffix-rows")
     met = settled.where(F.col("text").isNotNull()).select("rid", "doc_id", "text", "anchors")
-    confirmed = written(repeated(window_probes(met, window), 8, flagged=False), "suffix-windows")
-    stripped = strip(met.drop("anchors").join(confirmed, "rid", "left"), window, keep)
+    told = written(sorted_out(written(contexts(met, window), "suffix-contexts")), "suffix-told")
+    open_rows = met.join(told.where(F.size("open") > 0).select("rid", "open"), "rid")
+    confirmed = written(repeated(window_probes(open_rows, window), 8, flagged=False), "suffix-windows")
+    marks = told.select("rid", "whole").join(confirmed, "rid", "full")
+    stripped = strip(met.drop("anchors").join(marks, "rid", "left"), window, keep)
     return settled.where(F.col("text").isNull()).select(stripped.columns).unionByName(stripped)
 
 
