@@ -198,11 +198,14 @@ def sorted_out(found: DataFrame) -> DataFrame:
     be compared one by one: those of a context that occurs once, and one for each other context that
     shares a key with a different one. A passage with thousands of copies is opened once, not for each.
     """
-    classes = found.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place")).alias("first"))
+    # as tables, so that adaptive execution can split the joins: a passage may bring a third of all rows under one key
+    classes = written(found.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place")).alias("first")), "suffix-classes")
+    keyed = found.select("context", F.explode(F.array("ahead", "behind")).alias("key")).where(F.col("key").isNotNull())
+    groups = keyed.groupBy("key").agg(F.min("context").alias("low"), F.max("context").alias("high"))
+    shared = written(groups.where("low <> high").select("key"), "suffix-shared")
     out = found.join(classes, "context")
     for key in ("ahead", "behind"):
-        groups = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("context").alias("low"), F.max("context").alias("high"))
-        out = out.join(groups.where("low <> high").select(key, F.lit(True).alias(f"mixed_{key}")), key, "left")
+        out = out.join(shared.select(F.col("key").alias(key), F.lit(True).alias(f"mixed_{key}")), key, "left")
     mixed = F.coalesce("mixed_ahead", "mixed_behind", F.lit(False))
     one = (F.col("n") == 1) | (F.col("first") == F.struct("rid", "place"))
     out = out.select("rid", "place", (F.col("n") > 1).alias("whole"), (mixed & one).alias("open")).where("whole OR open")
