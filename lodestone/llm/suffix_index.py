@@ -141,7 +141,9 @@ class Levels:
             pool = pool.unionByName(level.withColumn("new", F.lit(0)))
         # one row for each distinct entry and task goes to the groups, however often it occurs
         met = pool.groupBy("head", "key").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1")
-        found = pool.select("head", "key", "rid", "place").join(met.select("head", "key"), ["head", "key"], "left_semi")
+        # as a table, so that adaptive execution can split the join by a key with many entries
+        met = written(met.select("head", "key"), "suffix-met")
+        found = pool.select("head", "key", "rid", "place").join(met, ["head", "key"], "left_semi")
         self.levels.append((1, fresh))
         return written(found.select("rid", "place").distinct(), "suffix-found")
 
