@@ -301,6 +301,23 @@ def test_templates_are_found_again(spark):
     assert decontamination.contaminated(empty(spark), marks).collect() == [] and decontamination.contaminated(docs, marks.limit(0)).collect() == []
 
 
+def test_literal_and_dense_windows_are_found(spark):
+    item = "Yesterday the farmer Anna bought 12 km of wire and gave Anna 3 sheep for 3 hours of work near the river"
+    merged = item.replace("12 km", "3 km")  # two values become one
+    literal = " and then they all went home again over the long bridge that leads into the old town"
+    clash = item.replace("gave Anna", "gave Carla").replace("bought 12", "bought 5").replace("3 sheep", "4 sheep")
+    dense = "add 17 23 42 58 61 77 80 94 105 116 now"
+    other = dense.replace("42", "43").replace("77", "78").replace("105", "106")
+    docs = documents(spark, [(1, merged), (2, clash + literal), (3, prose(20) + " " + dense), (4, other), (None, item.replace("Anna", "Bertha")), (None, item.replace("Anna", "Carla"))])
+    marks = spark.createDataFrame([(1, item), (2, item + literal), (3, dense)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(docs, marks).collect()}
+    assert got[1, 1]["n_windows"] == 13 and got[1, 1]["n_changed"] == 1
+    assert got[2, 2]["n_windows"] >= 8
+    assert got[3, 3]["n_windows"] == 3 and got[3, 3]["n_changed"] == 0
+    assert (4, 3) not in got
+    assert got[None, 1]["n_windows"] == 13 and got[None, 1]["n_changed"] == 1  # rows that share an id are aligned each by itself
+
+
 # --- embeddings
 
 
