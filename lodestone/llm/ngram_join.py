@@ -91,10 +91,10 @@ def read_vector(raw: bytes, n: int) -> np.ndarray:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, n, node, vec) and, with ``df`` set, each task's document counts by group."""
+    """A row for each document (doc_id, txt, n, node, vec) and, with ``df`` set, each task's document counts by group. txt: a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, names = np.zeros(DF_GROUPS, np.uint32), ["doc_id", "n", "node", "vec", "coarse", "df"]
+        total, names = np.zeros(DF_GROUPS, np.uint32), ["doc_id", "txt", "n", "node", "vec", "coarse", "df"]
         kind = None
         for batch in batches:
             ids = batch.column("doc_id")
@@ -105,12 +105,12 @@ def digests(docs: DataFrame) -> DataFrame:
                 np.add.at(total, groups, 1)
                 held.append((len(found), node_of(found), vector(found), coarse_vector(found)))
             n, node, vec, coarse = zip(*held, strict=True) if held else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(vec, pa.binary()), pa.array(coarse, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([ids, batch.column("txt"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(vec, pa.binary()), pa.array(coarse, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, vec binary, coarse binary, df binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("txt")).mapInArrow(run, f"doc_id {kind}, txt long, n long, node long, vec binary, coarse binary, df binary")
 
 
 def group_counts(digested: DataFrame) -> np.ndarray:
@@ -208,17 +208,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """node, hashes of the classes in ``owners`` (node, owner: a document of the class)."""
+    """node, hashes of the classes in ``owners`` (node, owner: doc_id and txt of a row of the class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            nodes = batch.column("node").to_pylist()
             for i, found in shingle_sets(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, 1), pa.array([found.tobytes()], pa.binary())], ["node", "hashes"])
+                if node_of(found) == nodes[i]:  # another text of the same id and hash would have another name
+                    yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, 1), pa.array([found.tobytes()], pa.binary())], ["node", "hashes"])
 
-    owned = docs.select("doc_id", "text").join(owners.hint("shuffle_hash"), F.col("doc_id") == F.col("owner"))
-    # repeated ids may bring texts of other classes: those are named by their own set
-    own = owned.select("node", "text").mapInArrow(run, "node long, hashes binary")
-    return own.dropDuplicates(["node"])
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("txt"))
+    # a repeated or null id alone does not say which text is meant
+    same = F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("txt") == F.col("owner.txt"))
+    owned = own.join(owners.hint("shuffle_hash"), same)
+    return owned.select("node", "text").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
 
 def small_branches(entries: DataFrame) -> DataFrame:
@@ -292,7 +295,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     near = [compared(hung, "prior"), compared(hung.select("key", "node", "n", "rem").join(hubs, "key"), "hub")]
     points = rows.where(F.col("n") > 0).dropDuplicates(["node"]).select("node", "n", "vec", "coarse")
     first = written(bounded(near[0].unionByName(near[1]).distinct(), points), "ngram-pairs")
-    owners = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("owner"))
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "txt"))
+    owners = rows.where("n > 0").groupBy("node").agg(owner.alias("owner"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

@@ -92,6 +92,17 @@ def test_ngram_join_pages_lose_nothing(spark):
     assert got == joined(rows)
 
 
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    a, b, c = (prose(150, rng) for _ in range(3))
+    near = lambda text, n: " ".join(text.split()[n:])
+    # ends of the chain meet only by way of a null id; one id has three texts, each a near copy of something else
+    rows = [(1, a), (None, near(a, 20)), (2, near(a, 40)), (7, b), (7, c), (7, near(a, 55)), (8, near(b, 5)), (9, near(c, 5)), (None, near(c, 9)), (None, prose(60, rng))]
+    got = sorted(map(tuple, ngram_join.join_components(documents(spark, rows)).collect()), key=str)
+    assert got == joined(rows)
+    assert {component for doc, _, component in got if doc == 2} == {1}
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.join_components(empty(spark)).collect() == []
     assert ngram_join.keep_one_of_each(empty(spark)).columns == ["doc_id", "text", "source", "rid"]
