@@ -353,3 +353,41 @@ def test_nn_descent_is_exact(spark):
         assert got[i] == (int(linked[k].sum()), good[least[k]][0], good[least[k]][0] == i)
     assert all(got[i] == (0, i, True) for i in (2000, 2001, 2002, 2003, 2004, 2005, 2006)) and got[None] == (0, None, None)
     assert nn_descent.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_nn_descent_audit_sees_lost_pairs(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(24)
+    rows = [(i, (centre + 0.01 * rng.standard_normal(24)).tolist()) for i in range(300)]
+    for i in range(0, 40, 2):
+        v = rng.standard_normal(24)
+        rows += [(1000 + i, v.tolist()), (1001 + i, (v + 0.01 * rng.standard_normal(24)).tolist())]
+    classes = nn_descent.units(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")).selectExpr("label", "dim", "unit", "vec_id AS node", "1L AS copies")
+    whole = [(i, 299 if i < 300 else 1) for i, _ in rows]
+    found = lambda counts: nn_descent.audit(classes, spark.createDataFrame(counts, "node long, n long"), 2)
+    assert found(whole) == 1
+    assert found([(i, n) for i, n in whole if i < 300]) == 0  # all pairs lost, 20 of some 45,000 links
+    assert found([(i, n) for i, n in whole if i < 1020 or i >= 1024]) < 0.99
+
+
+def test_nn_descent_fails_below_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "MOST_ATTEMPTS", 1)
+    monkeypatch.setattr(nn_descent, "refined", lambda edges, *_: edges.limit(0))
+    frame = spark.createDataFrame([(i, [1.0, 0.001 * i], 0) for i in range(4)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="recall"):
+        nn_descent.near_duplicates(frame, 1)
+
+
+def test_nn_descent_long_runs_keep_pairs(spark):
+    """Isolated pairs in one long run: further bits bring a pair side by side, a single projection does not."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(3000):
+        v = rng.standard_normal(32)
+        v /= np.linalg.norm(v)
+        w = rng.standard_normal(32)
+        rows += [v, v + 0.19 * w / np.linalg.norm(w)]
+    classes = spark.createDataFrame([(0, 32, i, (v / np.linalg.norm(v)).tobytes()) for i, v in enumerate(rows)], "label int, dim int, node long, unit binary")
+    edges = nn_descent.first_neighbours(nn_descent.codes(classes, 8, 1, 0)).collect()
+    met = {(r["u"], r["v"]) for r in edges}
+    assert sum((i, i + 1) in met for i in range(0, 6000, 2)) >= 0.95 * 3000
