@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Set only where the session names no shared folder (single-machine tests).
 _FALLBACK: list[str] = []
@@ -39,6 +40,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """row (a number of its own) and doc (the columns of ``docs``): written once, so that decisions can be joined back to rows whose ids are null or repeated."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # whatever its columns are called
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("doc")), label)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished steps now: it does so when the driver collects its garbage."""
     gc.collect()

@@ -144,9 +144,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that meet no benchmark item."""
-    hit = contaminated(docs, benchmark, window).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    """The rows of ``docs`` whose text meets no benchmark item; other rows of the same id stay."""
+    hit = alignments(docs, benchmark, window).select(F.col("doc_id").alias("hit_id"), F.col("doc_key").alias("hit_key")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]) & (text_key(docs["text"]) == hit["hit_key"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table, written
+from lodestone.llm.common import numbered, table, written
 
 SEED = 17
 SHARD_WORDS = 250_000
@@ -91,13 +91,14 @@ def quotas(cells: DataFrame, block_words: int) -> DataFrame:
     return cells.select("source", "shard", "n_blocks", quota.alias("quota"))
 
 
-def mix_sources(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, kept: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, rounds, part: one row per row of ``docs``.
 
-    A document is taken ``rounds`` times whole and then for its first ``part`` words.
+    A document is taken ``rounds`` times whole and then for its first ``part`` words. kept: further
+    columns to return, by which rows of one id and size are ordered.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("place")), "mix-sizes")
+    sized = written(docs.select("doc_id", "source", *kept, word_count(F.col("text")).alias("size"), key.alias("place")), "mix-sizes")
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     shards, block = total // shard_words + 1, max(1, min(block_words, total // 10_000))
     sized = sized.withColumn("shard", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % shards)
@@ -110,7 +111,7 @@ def mix_sources(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORD
     given = given.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "n_blocks", "quota")
     cells = cells.join(given, (F.col("shard") == F.col("q_shard")) & F.col("source").eqNullSafe(F.col("q_source")))
     cells = cells.select(F.col("source").alias("c_source"), F.col("shard").alias("c_shard"), "source_size", "target", "n_blocks", "quota")
-    line = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size", *kept).rowsBetween(Window.unboundedPreceding, -1)
     sized = sized.withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0)))
     out = sized.join(cells, (F.col("shard") == F.col("c_shard")) & F.col("source").eqNullSafe(F.col("c_source")))
     rounds = F.coalesce(F.floor(F.try_divide(F.col("quota"), F.col("n_blocks"))), F.lit(0)).cast("long")
@@ -118,24 +119,23 @@ def mix_sources(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORD
     part = F.greatest(F.lit(0), F.least(F.col("before") + F.col("size"), last) - F.col("before")).cast("long")
     out = out.withColumns({"rounds": rounds, "part": part})
     taken = (F.col("rounds") * F.col("size") + F.col("part")).alias("taken")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken, "rounds", "part")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken, "rounds", "part", *kept)
 
 
 def take_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, as often as it takes them, in the columns of ``docs``.
 
     The document at the end of a quota is cut after its last word taken; its n_chars, where
-    there is such a column, follows. Rows with the same doc_id share the first one's numbers
-    only if they are equal; the ids of a corpus are expected to be unique here.
+    there is such a column, follows. Each row has its own numbers, also where ids are null or repeated.
     """
-    plan = mix_sources(docs, **options).where(F.col("taken") > 0)
-    plan = plan.groupBy("doc_id").agg(F.min("rounds").alias("rounds"), F.min("part").alias("part"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))  # whatever its columns are called
+    rows = numbered(docs, "mix-rows")
+    sized = rows.select("row", F.xxhash64("doc.text").alias("twin"), "doc.doc_id", "doc.source", "doc.text")
+    plan = mix_sources(sized, **options, kept=("twin", "row")).where(F.col("taken") > 0).select("row", "rounds", "part")
     parts = F.concat(
         F.array_repeat(F.lit(-1).cast("long"), F.col("rounds").cast("int")),
         F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")),
     )
-    out = rows.join(plan, F.col("doc.doc_id").eqNullSafe(F.col("doc_id"))).withColumn("cut", F.explode(parts))
+    out = rows.join(plan, "row").withColumn("cut", F.explode(parts))
     # a split into so many pieces leaves what follows the last word taken in the last piece
     text, space = F.col("doc.text"), r"[\x20\x09-\x0D]+"
     pieces = F.col("cut") + 1 + text.rlike(f"^{space}").cast("long")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table, written
+from lodestone.llm.common import numbered, table, written
 from lodestone.llm.components import components
 from lodestone.llm.words import mix, rolling, words
 
@@ -322,9 +322,15 @@ def join_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest; rows with a null doc_id stay."""
-    dropped = join_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    """Of each component the row with the smallest doc_id (a null one last, then by text); rows without words stay."""
+    rows = numbered(docs, "ngram-rows")
+    found = join_components(rows.select(F.col("row").alias("doc_id"), "doc.text")).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("row"), "component_id")
+    names = rows.select("row", F.col("doc.doc_id").alias("id"), F.xxhash64("doc.text").alias("twin"))
+    found = written(found.join(names, "row"), "ngram-found")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "twin", "row"))["row"]
+    dropped = found.select("row").join(found.groupBy("component_id").agg(first.alias("row")).select("row"), "row", "left_anti")
+    return rows.join(dropped, "row", "left_anti").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,31 +134,42 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     return fit_model([(r["grade"], bytes(r["hashes"])) for r in found])
 
 
+def scored(column: pa.Array, model: Model) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows, their p_toxic and their severity."""
+    for rows, row, hashes in features(column):
+        n = rows.stop - rows.start
+        total = np.zeros(n)
+        if len(model.hashes):
+            place = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
+            hit = np.flatnonzero(model.hashes[place] == hashes)
+            once = np.unique(row[hit] * len(model.hashes) + place[hit])  # presence, not counts
+            total = np.bincount(once // len(model.hashes), model.weights[once % len(model.hashes)], n)
+        above = sigmoid(total[:, None] - model.thresholds[None, :])
+        yield rows, above[:, 0] if len(model.thresholds) else np.zeros(n), above @ model.gaps
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, p_toxic, severity and rejected of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, row, hashes in features(batch.column("text")):
-                n = rows.stop - rows.start
-                total = np.zeros(n)
-                if len(model.hashes):
-                    place = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
-                    hit = np.flatnonzero(model.hashes[place] == hashes)
-                    once = np.unique(row[hit] * len(model.hashes) + place[hit])  # presence, not counts
-                    total = np.bincount(once // len(model.hashes), model.weights[once % len(model.hashes)], n)
-                above = sigmoid(total[:, None] - model.thresholds[None, :])
-                p = above[:, 0] if len(model.thresholds) else np.zeros(n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows.start, n), pa.array(p), pa.array(above @ model.gaps), pa.array(p >= REJECT_AT)], ["doc_id", "p_toxic", "severity", "rejected"])
+            for rows, p, severity in scored(batch.column("text"), model):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows.start, len(p)), pa.array(p), pa.array(severity), pa.array(p >= REJECT_AT)], ["doc_id", "p_toxic", "severity", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, p_toxic double, severity double, rejected boolean")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected. The score is joined back by id, rejected ids only."""
-    rejected = score(docs, fit(docs, labels)).where("rejected").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_id"]), "left_anti")
+    """The rows of ``docs`` that are not rejected, each by its own text whatever its id."""
+    model = fit(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, p, _ in scored(batch.column("text"), model):
+                yield batch.slice(rows.start, len(p)).filter(pa.array(p < REJECT_AT))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

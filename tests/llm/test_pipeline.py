@@ -60,6 +60,30 @@ def test_stages(spark, tables, tmp_path):
     assert sorted(r["start"] for r in tokens)[0] == 0
 
 
+def test_rows_of_null_and_repeated_ids(spark, tables, tmp_path):
+    """Each row is decided by its own text."""
+    folder, _ = tables
+    rng = np.random.default_rng(22)
+    clean = [prose(40 + i, rng) for i in range(12)]
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    toxic, leaked = prose(30, rng) + " vilest grokkers", prose(10, rng) + " " + item
+    rows = [(None if i < 8 else 900, t, "en", "s0", 0) for i, t in enumerate(clean)] + [(d, t, "en", "s0", 0) for d in (None, 900) for t in (toxic, leaked)]
+    rows += [(None, clean[9] + " more", "en", "s0", 0), (None, clean[3], "en", "s0", 0)]
+    # the model is fitted on the documents of the stage
+    docs = spark.read.parquet(f"{folder}/documents.parquet").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    ours = lambda docs: Counter(r["text"] for r in docs.where("doc_id IS NULL OR doc_id = 900").collect())
+    stages = dict(corpus_pipeline.STAGES)
+    want = Counter(r[1] for r in rows)
+    kept = stages["toxicity"](spark, docs, folder)
+    assert ours(kept) == want - Counter({toxic: 2})
+    mine = spark.createDataFrame([r for r in rows if r[1] != toxic], docs.schema)
+    assert ours(stages["ngram_join"](spark, mine, folder)) == Counter([*clean, leaked])
+    assert ours(stages["decontamination"](spark, mine, folder)) == want - Counter({toxic: 2, leaked: 2})
+    got = stages["mixing"](spark, spark.createDataFrame(rows[:12], docs.schema), folder).collect()
+    total = sum(len(WORD.findall(t)) for t in clean)
+    assert abs(sum(len(WORD.findall(r["text"])) for r in got) - total) <= 20
+
+
 def test_run(spark, tables):
     folder, _ = tables
     out = corpus_pipeline.run(spark, folder)
