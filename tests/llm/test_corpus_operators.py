@@ -378,8 +378,9 @@ def test_nn_descent_fails_below_the_bound(spark, monkeypatch):
         nn_descent.near_duplicates(frame, 1)
 
 
-def test_nn_descent_long_runs_keep_pairs(spark):
+def test_nn_descent_long_runs_keep_pairs(spark, monkeypatch):
     """Isolated pairs in one long run: further bits bring a pair side by side, a single projection does not."""
+    monkeypatch.setattr(nn_descent, "RUN", 24)
     rng = np.random.default_rng(7)
     rows = []
     for _ in range(3000):
