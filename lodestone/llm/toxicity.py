@@ -3,10 +3,11 @@
 P(grade >= k) = sigmoid(w . x - threshold_k): one weight vector shared by all thresholds,
 thresholds in order, and the expected severity is the sum of the probabilities over k. The
 features are a text's distinct words (runs of letters, ASCII in lower case) and the first bytes of
-longer words, which stand for stems, so x is sparse and binary. The fit is a proximal gradient with an L1 penalty on at most ``MOST_LABELLED`` labelled
-rows (those with the smallest hash of their id, a documented bound); words are screened to those
-in at least ``LEAST_ROWS`` of them and the ``MOST_WORDS`` whose presence goes furthest with the
-grade. The model is a sorted list of word hashes with weights, so its size is bounded and no two
+longer words, which stand for stems, so x is sparse and binary. The fit is a proximal gradient with
+an L1 penalty on at most ``MOST_LABELLED`` labelled documents (those with the smallest hash of their
+id, a documented bound; of an id that repeats, one text). Spark counts their words; those in at least
+``LEAST_ROWS`` of them compete, and the ``MOST_WORDS`` whose presence goes furthest with the grade
+are fitted, so the driver holds no texts and no word sets, only which of these words a row has. The model is a sorted list of word hashes with weights, so its size is bounded and no two
 words share a weight. Scoring reads every whole text of the table once, without a shuffle.
 
 Grades come from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality. Rows of labels
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import table, written
 from lodestone.llm.words import NOT_LETTER, words
 
 MOST_LABELLED = 6_000
@@ -68,49 +69,74 @@ def distinct_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, row, hashes in features(batch.column("text")):
                 n = rows.stop - rows.start
-                order = np.argsort(row, kind="stable")
-                sets = [np.unique(h).tobytes() for h in np.split(hashes[order], np.cumsum(np.bincount(row, minlength=n))[:-1])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(rows.start, n) for c in kept), pa.array(sets, pa.binary())], [*kept, "hashes"])
+                order = np.lexsort((hashes, row))
+                row, hashes = row[order], hashes[order]
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+                at = np.concatenate([[0], np.cumsum(np.bincount(row[fresh], minlength=n))]).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(at), pa.array(hashes[fresh].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(rows.start, n) for c in kept), sets], [*kept, "hashes"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema)
-    return docs.select(*kept, "text").mapInArrow(run, f"{schema}, hashes binary")
+    return docs.select(*kept, "text").mapInArrow(run, f"{schema}, hashes array<long>")
 
 
-def fit_model(rows: list[tuple[int, bytes]]) -> Model:
-    """rows: (grade, word hashes as bytes). FISTA on the mean negative log likelihood of the grades."""
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0))
-    grade = np.array([g for g, _ in rows], np.int64)
+def vocabulary(sample: DataFrame) -> np.ndarray:
+    """The features of (grade, hashes) to fit on, in ascending order: at most ``MOST_WORDS`` numbers come to the driver."""
+    mean = sample.agg(F.avg("grade")).first()[0]
+    counts = sample.select("grade", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum("grade").alias("grades"))
+    pull = F.abs(F.col("grades") - F.lit(mean) * F.col("n")) / F.sqrt("n")
+    best = counts.where(F.col("n") >= LEAST_ROWS).select("hash", pull.alias("pull")).where("pull > 0").orderBy(F.col("pull").desc(), "hash").limit(MOST_WORDS)
+    return np.sort(np.array([r["hash"] for r in best.select("hash").collect()], np.int64).view(np.uint64))
+
+
+def indexed(sample: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grades of the rows of (row, grade, hashes), and each presence of a chosen feature as row and column number.
+
+    At most two bytes for each row and feature come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("hashes")
+            values, sizes = hashes.flatten().to_numpy().view(np.uint64), hashes.value_lengths().to_numpy()
+            place = np.minimum(np.searchsorted(chosen, values), max(0, len(chosen) - 1))
+            hit = chosen[place] == values if len(chosen) else np.zeros(len(values), bool)
+            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            edge = np.searchsorted(row, np.arange(len(sizes) + 1))
+            raw = place[hit].astype("<u2")
+            packed = [raw[edge[i] : edge[i + 1]].tobytes() for i in range(len(sizes))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("grade"), pa.array(packed, pa.binary())], ["row", "grade", "columns"])
+
+    got = sample.select("row", "grade", "hashes").mapInArrow(run, "row long, grade int, columns binary").toArrow().sort_by([("row", "ascending"), ("grade", "ascending")])
+    sizes = [len(x.as_buffer()) // 2 for x in got.column("columns")]
+    columns = np.frombuffer(b"".join(x.as_py() for x in got.column("columns")), "<u2").astype(np.int32)
+    return got.column("grade").to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), columns
+
+
+def fit_model(grade: np.ndarray, row: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> Model:
+    """grade of each row; row and at: where a feature of ``chosen`` is present. FISTA on the mean negative log likelihood of the grades."""
     levels = np.array(sorted(set(grade.tolist())))
     if len(levels) < 2:
-        return none
-    sets = [np.frombuffer(h, np.uint64) for _, h in rows]
-    row = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
-    word, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    centred = grade - grade.mean()
-    pull = np.abs(np.bincount(at, centred[row], len(word))) / np.sqrt(np.maximum(count, 1))
-    pull[count < LEAST_ROWS] = 0
-    chosen = np.sort(np.lexsort((word, -pull))[: min(MOST_WORDS, int((pull > 0).sum()))])
-    place = np.full(len(word), -1)
-    place[chosen] = np.arange(len(chosen))
-    use = place[at] >= 0
-    row, at, n = row[use], place[at[use]], len(chosen)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0))
+    rows, n = len(grade), len(chosen)
     # thresholds are levels[1:]; each is a free number, kept in order by sorting after a step
     above = (grade[:, None] >= levels[None, 1:]).astype(float)
     weights, theta = np.zeros(n), -np.log(above.mean(0) / (1 - above.mean(0)))
     own = np.searchsorted(levels, grade)
     seen_w, seen_t, momentum = weights, theta, 1.0
-    per_row = np.bincount(row, minlength=len(rows))
+    per_row = np.bincount(row, minlength=rows)
     step = 4.0 / (1 + float(np.quantile(per_row, 0.99)))
     for _ in range(STEPS):
-        score = np.bincount(row, seen_w[at], len(rows))
+        score = np.bincount(row, seen_w[at], rows)
         edge = np.concatenate([[np.inf], -seen_t, [-np.inf]])
         # P(grade = j) = s(score - t_j) - s(score - t_{j+1})
         high, low = sigmoid(score + edge[own]), sigmoid(score + edge[own + 1])
         p = np.maximum(high - low, 1e-12)
         d_high, d_low = high * (1 - high) / p, low * (1 - low) / p
-        d_score = -(d_high - d_low) / len(rows)
+        d_score = -(d_high - d_low) / rows
         d_edge = np.bincount(own, -d_high, len(levels) + 1) + np.bincount(own + 1, d_low, len(levels) + 1)
-        d_theta = -d_edge[1:-1] / len(rows)
+        d_theta = -d_edge[1:-1] / rows
         moved = seen_w - step * np.bincount(at, d_score[row], n)
         new_w = np.sign(moved) * np.maximum(np.abs(moved) - step * PENALTY, 0)
         new_t = np.sort(seen_t - step * d_theta)
@@ -119,19 +145,28 @@ def fit_model(rows: list[tuple[int, bytes]]) -> Model:
         seen_t = np.sort(new_t + (momentum - 1) / after * (new_t - theta))
         weights, theta, momentum = new_w, new_t, after
     kept = np.flatnonzero(weights)
-    return Model(word[chosen[kept]], weights[kept], theta, np.diff(levels).astype(float))
+    return Model(chosen[kept], weights[kept], theta, np.diff(levels).astype(float))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Fit on at most ``most`` labelled rows; their words are all that comes to the driver."""
+    """Fit on at most ``most`` labelled documents, one text of each.
+
+    Words are counted and chosen by Spark; what comes to the driver is bounded by ``most`` and ``MOST_WORDS``, however long the texts.
+    """
     graded = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     grade = F.when(F.col("toxic") == 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 2).otherwise(1)
     graded = graded.groupBy("doc_id").agg(F.max(grade).alias("grade"))
     chosen = graded.orderBy(F.xxhash64(F.col("doc_id"), F.lit(SEED)), "doc_id").limit(most)
     # at most ``most`` rows of two numbers are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = distinct_words(rows.select("doc_id", "grade", "text")).orderBy("doc_id", "grade", "hashes").collect()
-    return fit_model([(r["grade"], bytes(r["hashes"])) for r in found])
+    # an id that repeats over many rows gives one of its texts, chosen by hash before anything is shuffled
+    rows = rows.groupBy("doc_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    sample = distinct_words(rows.select(F.xxhash64("doc_id", F.lit(SEED)).alias("row"), "grade", "text"))
+    sample = written(sample, "toxicity-sample")
+    if sample.select("grade").distinct().count() < 2:
+        return fit_model(*(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.uint64)))
+    words_in_use = vocabulary(sample)
+    return fit_model(*indexed(sample, words_in_use), words_in_use)
 
 
 def scored(column: pa.Array, model: Model) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:

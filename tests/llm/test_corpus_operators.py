@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("lodestone.llm")
@@ -275,6 +276,76 @@ def test_toxicity_finds_words_and_stems(spark):
 # --- chat
 
 
+def plain_features(text):
+    found = re.findall(rb"[a-z\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))
+    return {(0, w) for w in found} | {(k, w[:k]) for k in toxicity.STEMS for w in found if len(w) > k}
+
+
+def plain_fit(used, weights, t):
+    """Penalised mean negative log likelihood of (grade, feature set) rows, and its least subgradient in weights and thresholds, by the textbook."""
+    names = sorted(weights)
+    x = np.array([[f in own for f in names] for _, own in used], float)
+    w, g = np.array([weights[f] for f in names]), np.array([k for k, _ in used])
+    levels = sorted(set(g.tolist()))
+    above = lambda k: 1 / (1 + np.exp(t[k - 1] - x @ w)) if 0 < k < len(levels) else np.full(len(g), float(k == 0))
+    own = np.searchsorted(levels, g)
+    at = np.array([above(k) for k in range(len(levels) + 1)])
+    high, low = at[own, np.arange(len(g))], at[own + 1, np.arange(len(g))]
+    up, down = high * (1 - high) / (high - low), low * (1 - low) / (high - low)
+    slope = -x.T @ (up - down) / len(g)
+    left = np.where(w != 0, slope + toxicity.PENALTY * np.sign(w), np.maximum(np.abs(slope) - toxicity.PENALTY, 0))
+    edges = [(up[own == j].sum() - down[own == j - 1].sum()) / len(g) for j in range(1, len(levels))]
+    return -np.log(high - low).mean() + toxicity.PENALTY * np.abs(w).sum(), np.abs(left).max(), np.abs(edges).max()
+
+
+def test_toxicity_fit_is_the_optimum(spark):
+    """At the fitted weights the textbook's gradient vanishes, and scores are the plain sums of weights."""
+    rng = np.random.default_rng(8)
+    bad, plain = ["vilely", "vilest", "grokked"], [w for w in VOCABULARY if w.isascii()][:40]
+    rows, labels = [], []
+    for i in range(160):
+        words = list(rng.choice(plain, rng.integers(5, 25)))
+        toxic = i % 3 == 0
+        if toxic and rng.random() < 0.9 or rng.random() < 0.05:
+            words.insert(int(rng.integers(0, len(words))), str(rng.choice(bad)))
+        rows.append((i, " ".join(words)))
+        if i < 130:
+            labels.append((i, None if i % 7 == 0 else int(rng.random() < 0.5), int(toxic) if i != 50 else None))
+    rows += [(500, None), (501, ""), (502, "vilely " * 5000), (503, "vilely")]
+    docs = documents(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    known = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    grade = {d: 0 if not t else 2 if q == 0 else 1 for d, q, t in labels if t is not None}
+    used = [(grade[d], plain_features(t)) for d, t in rows if d in grade]
+    seen = Counter(f for _, own in used for f in own)
+    mean = sum(k for k, _ in used) / len(used)
+    names = [f for f in seen if seen[f] >= toxicity.LEAST_ROWS and abs(sum(k - mean for k, own in used if f in own)) > 1e-9]
+    weights = {}
+    for kind, name in names:
+        text = name.decode() + ("zzzz" if kind else "")
+        (_, _, hashes), = toxicity.features(pa.array([text]))
+        weights[kind, name] = known.get(int(hashes[0 if not kind else 1 + toxicity.STEMS.index(kind)]), 0.0)
+    lost, slope, edge = plain_fit(used, weights, model.thresholds)
+    start = plain_fit(used, dict.fromkeys(weights, 0.0), -np.log((a := np.array([np.mean([k >= j for k, _ in used]) for j in (1, 2)])) / (1 - a)))
+    assert lost < 0.6 * start[0] and slope < toxicity.PENALTY and edge < 1e-3, (lost, start, slope, edge)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for d, text in rows:
+        total = sum(weights.get(f, 0.0) for f in plain_features(text))
+        above = 1 / (1 + np.exp(model.thresholds - total))
+        assert abs(got[d]["p_toxic"] - above[0]) < 1e-9 and abs(got[d]["severity"] - above.sum()) < 1e-9
+    assert got[502]["p_toxic"] == got[503]["p_toxic"] and got[500]["p_toxic"] == got[501]["p_toxic"]
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """A labelled id that very many rows carry is one row of the fit, and every row is scored."""
+    rows = [(i, "fine words here " + ("grokkers" if i % 2 else "again")) for i in range(40)] + [(1, "fine words here grokkers")] * 300
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    once, often = documents(spark, rows[:40]), documents(spark, rows)
+    out = toxicity.score(often, toxicity.fit(often, labels)).collect()
+    assert len(out) == 340 and len({r["p_toxic"] for r in out if r["doc_id"] == 1}) == 1
+    assert {r["doc_id"]: r["p_toxic"] for r in out} == {r["doc_id"]: r["p_toxic"] for r in toxicity.score(once, toxicity.fit(once, labels)).collect()}
+
+
 def test_perspectives(spark):
     turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "?"), (2, 0, "system", "alone"), (3, 300, "ann", "x"), (3, 1, "bob", "y")]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS run", "2 AS start")
