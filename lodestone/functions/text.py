@@ -127,3 +127,16 @@ def clean_html_lines(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|section|article|ul|ol)>", "\n")
     text = F.regexp_replace(F.regexp_replace(text, "(?s)<[^>]+>", " "), r"[ \t ]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" *\n *", "\n"), "\n{3,}", "\n\n"))
+
+
+def clean_basic(text: Column) -> Column:
+    """Tags and the four commonest entities go, white space collapses."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " ")
+    for entity, char in {"&nbsp;": " ", "&amp;": "&", "&quot;": '"', "&#39;": "'"}.items():
+        text = F.regexp_replace(text, f"(?i){entity}", char)
+    return F.trim(F.regexp_replace(text, r"[\s\u00a0]+", " "))
+
+
+def folded_dashes(text: Column) -> Column:
+    """Lower case, long dashes as hyphens."""
+    return F.regexp_replace(F.lower(text), "[–—]", "-")

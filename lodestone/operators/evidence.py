@@ -9,7 +9,10 @@ from lodestone.functions.text import lines, matches
 
 # Words that mark a line as evidence, and the vocabulary of a review.
 ACTIONS = r"\b(managed|led|delivered|owned|drove|implemented)\b"
-SIGNALS = r"\b(project|program|programme|delivery|software|platform|digital|data|analytics|budget|roadmap|release|agile)\b"
+FACT_ACTIONS = r"\b(led|managed|delivered|owned|drove|coordinated|implemented|built|launched|improved|reduced|created|supported|developed|oversaw|directed|governed|planned|executed|established|introduced|worked|responsible|lead|manage|deliver|drive|coordinate|implement|build|launch|improve|reduce|create|support|develop|oversee|direct|govern|plan|execute|establish|introduce)\b"
+FACT_SIGNALS = r"\b(project|program|programme|delivery|software|platform|digital|fintech|bank|banking|trading|post-trade|regulatory|compliance|risk|data|analytics|bi|stakeholder|budget|roadmap|release|cutover|hypercare|uat|sit|agile|scrum|safe|azure|jira|confluence|sql|power bi|team|engineering)\b"
+COMPLETE_ACTIONS = r"\b(led|managed|delivered|owned|drove|implemented|built|launched|improved|reduced|created|supported|developed|oversaw|planned|executed|established|introduced|collaborated|experience|experienced|worked|responsible)\b"
+DANGLING = r"\b(and|with|a|an|the|to|for|of|in|across|through|including)\s*[,;:]?$"
 YEAR = r"\b(19|20)\d{2}\b"
 VOCABULARY = (
     "delivery", "software", "platform", "project", "program", "programme", "implementation", "integration", "transformation",
@@ -25,15 +28,24 @@ INSTRUCTION_LIKE = (
 BULLETS = r"^[•\-–—▪◦*]+\s*"
 
 
+def clean_source(text: Column) -> Column:
+    """A line without its bullet, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), BULLETS, ""), r"\s+", " "))
+
+
 def fact_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """The lines of 24 to 420 characters that name an action, a signal or a year, once each, numbered from 1."""
+    """key, at, line, useful, number: the lines of 24 to 420 characters that name an action, a signal or a year, once each, numbered from 1.
+
+    Where a text has fewer than eight of those, its other lines of 30 to 350 characters follow, up to thirty in all.
+    """
     line = F.trim(F.regexp_replace("line", BULLETS, ""))
     out = rows.select(key, F.posexplode(lines(F.col(text))).alias("at", "line")).withColumn("line", line)
-    useful = matches(F.lower("line"), ACTIONS, SIGNALS, YEAR)
-    out = out.where(F.length("line").between(24, 420) & useful)
-    first = out.groupBy(key, F.lower("line").alias("_lower")).agg(F.min(F.struct("at", "line")).alias("_first"))
-    number = Window.partitionBy(key).orderBy("at")
-    return first.select(key, "_first.*").withColumn("number", F.row_number().over(number))
+    useful = matches(F.lower("line"), FACT_ACTIONS, FACT_SIGNALS, YEAR)
+    out = out.where(F.length("line").between(24, 420)).withColumn("useful", useful).where(F.col("useful") | F.length("line").between(30, 350))
+    first = out.groupBy(key, F.lower("line").alias("_lower")).agg(F.min(F.struct("at", "line", "useful")).alias("_first")).select(key, "_first.*")
+    by_use = Window.partitionBy(key).orderBy(F.desc("useful"), "at")
+    first = first.withColumns({"number": F.row_number().over(by_use), "_n": F.count_if("useful").over(Window.partitionBy(key))})
+    return first.where(F.col("useful") | ((F.col("_n") < 8) & (F.col("number") <= 30))).drop("_n")
 
 
 def numbered(facts: DataFrame, key: str, most: int = 80) -> DataFrame:
@@ -47,14 +59,27 @@ def review_terms(text: Column) -> Column:
 
 def relevance(fact: Column, terms: Column) -> Column:
     """Two for each term in the fact, one for an action."""
-    text = F.lower(fact)
+    text = F.lower(clean_source(fact))
     return F.size(F.filter(terms, lambda t: text.contains(t))) * 2 + F.when(matches(text, ACTIONS), 1).otherwise(0)
 
 
-def top_evidence(scored: DataFrame, key: str, most: int = 6) -> DataFrame:
-    """The most relevant rows of a key; equals stay in order."""
+def complete(fact: Column) -> Column:
+    """Whether a fact stands alone: 42 to 360 characters, an action, and no dangling word at its end."""
+    text = clean_source(fact)
+    low = F.lower(text)
+    return F.length(text).between(42, 360) & ~matches(low, DANGLING) & matches(low, COMPLETE_ACTIONS)
+
+
+def top_evidence(facts: DataFrame, key: str, most: int = 6) -> DataFrame:
+    """facts: key, at, fact, relevance. The most relevant facts of a key; equals stay in order.
+
+    They come from the complete facts where a key has three of them, else from those of more than 35 characters.
+    """
+    rows = facts.withColumns({"_complete": complete(F.col("fact")), "_long": F.length(clean_source(F.col("fact"))) > 35})
+    rows = rows.withColumn("_n", F.count_if("_complete").over(Window.partitionBy(key)))
+    rows = rows.where(F.when(F.col("_n") >= 3, F.col("_complete")).otherwise(F.col("_long")))
     best = Window.partitionBy(key).orderBy(F.desc("relevance"), "at")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).drop("_complete", "_long", "_n")
 
 
 def word_set(text: Column) -> Column:

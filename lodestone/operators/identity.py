@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +26,13 @@ def material_hash() -> Column:
 
 
 def deduplicated(jobs: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """One row a key: verified first, then the longest text, then the newest, then the first to arrive."""
-    rank = Window.partitionBy(*keys).orderBy(
-        F.col("full_jd_verified").desc(), F.length(F.coalesce("description", F.lit(""))).desc(), F.col("published_at").desc_nulls_last(), F.col(pos).asc())
-    return jobs.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
+    """One row a key: verified first, then the longest text, then the newest, then the first to arrive.
+
+    max_by keeps one row a key in each task before anything is shuffled, which a window would not.
+    """
+    rank = F.struct(F.col("full_jd_verified"), F.length(F.coalesce("description", F.lit(""))), F.col("published_at"), -F.col(pos))
+    best = jobs.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in jobs.columns if c not in keys)), rank).alias("_row"))
+    return best.select(*keys, "_row.*").select(*jobs.columns)
 
 
 def first_arrived(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
@@ -39,12 +45,30 @@ def last_arrived(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
 
 
 def folded(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """In order of arrival, a row replaces the kept one if it is newer or its text is longer. Not a total order, so a fold."""
-    row = F.struct(F.col(pos).alias("pos"), F.col("published_at").alias("at"), F.length(F.coalesce("description", F.lit(""))).alias("n"))
-    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    better = lambda kept, x: F.coalesce(x["at"] > kept["at"], F.lit(False)) | (x["n"] > kept["n"])
-    kept = F.aggregate(F.slice("rows", 2, F.size("rows")), F.element_at("rows", 1), lambda kept, x: F.when(better(kept, x), x).otherwise(kept))
-    return held.select(*keys, kept["pos"].alias(pos))
+    """In order of arrival, a row replaces the kept one if it is newer or its text is longer. Not a total order, so a fold.
+
+    The rows of a key pass in order through one task, which holds the kept row and no other.
+    """
+    lean = rows.select(F.struct(*keys).alias("key"), F.col(pos).cast("long").alias("pos"), F.col("published_at").cast("double").alias("at"), F.length(F.coalesce("description", F.lit(""))).cast("long").alias("n"))
+    sorted_rows = lean.repartition("key").sortWithinPartitions("key", "pos")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            done = []
+            for key, pos_, at, n in zip(*(batch.column(c).to_pylist() for c in ("key", "pos", "at", "n")), strict=True):
+                if kept is not None and kept[0] != key:
+                    done.append(kept)
+                    kept = None
+                if kept is None or (at is not None and kept[2] is not None and at > kept[2]) or n > kept[3]:
+                    kept = (key, pos_, at, n)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], batch.column("key").type), pa.array([d[1] for d in done], pa.int64())], ["key", "pos"])
+            kind = batch.column("key").type
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([kept[0]], kind), pa.array([kept[1]], pa.int64())], ["key", "pos"])
+
+    return sorted_rows.mapInArrow(fold, f"key {lean.schema['key'].dataType.simpleString()}, pos long").select("key.*", F.col("pos").alias(pos))
 
 
 def history_status(jobs: DataFrame, history: DataFrame) -> DataFrame:

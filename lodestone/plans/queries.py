@@ -223,10 +223,12 @@ def only_new_or_updated(spark, sf_dir):
     return history_status(spark, sf_dir).where("history_status <> 'SEEN'").select("pos")
 
 
-@query("history_remember", f"{WITH}, own AS (SELECT *, {_FINGERPRINT} AS fingerprint, {_MATERIAL} AS material_hash FROM jobs) SELECT fingerprint, material_hash FROM own WHERE pos % 4 = 1 UNION ALL SELECT fingerprint, CASE WHEN pos % 3 = 2 THEN 'old' || material_hash ELSE material_hash END FROM own WHERE pos % 3 <> 0 AND pos % 4 <> 1")
+@query("history_remember", f"{WITH} SELECT {_FINGERPRINT} AS fingerprint, {_MATERIAL} AS material_hash FROM jobs UNION ALL SELECT 'gone' || CAST(pos AS VARCHAR), 'h' FROM jobs")
 def history_remember(spark, sf_dir):
+    """All arrivals are taken in, over a history that also holds postings which did not come again."""
     jobs = postings(spark, sf_dir)
-    return identity.remembered(_history(jobs), _hashed(jobs.where("pos % 4 = 1"))).select("fingerprint", "material_hash")
+    gone = jobs.select(F.concat(F.lit("gone"), F.col("pos").cast("string")).alias("fingerprint"), F.lit("h").alias("material_hash"), "source", "source_job_id")
+    return identity.remembered(_history(jobs).unionByName(gone), _hashed(jobs)).select("fingerprint", "material_hash")
 
 
 @query("stage_scores", PLAN + "SELECT pos, responsibility / 10.0::DOUBLE AS responsibility, experience / 10.0::DOUBLE AS experience, geography / 10.0::DOUBLE AS geography, career / 10.0::DOUBLE AS career, total / 10.0::DOUBLE AS total, " + _VERDICT + " AS verdict FROM totals")
@@ -289,15 +291,6 @@ def stage_stats(spark, sf_dir):
     return search.stage_stats(postings(spark, sf_dir))
 
 
-@query("coverage_status", WITH + """SELECT source, count(*) AS requests, count(*) FILTER (WHERE NOT full_jd_verified) AS failures, count(*) FILTER (WHERE length(description) < 300) AS incomplete,
-  CASE WHEN count(*) FILTER (WHERE full_jd_verified) = 0 THEN 'ACCESS LIMITED' WHEN count(*) FILTER (WHERE NOT full_jd_verified) > 0 THEN 'SEARCHED WITH FAILURES' ELSE 'SEARCHED' END AS status FROM jobs GROUP BY source""")
-def coverage_status(spark, sf_dir):
-    ok, failed = F.col("full_jd_verified"), ~F.col("full_jd_verified")
-    status = F.when(F.count_if(ok) == 0, "ACCESS LIMITED").when(F.count_if(failed) > 0, "SEARCHED WITH FAILURES").otherwise("SEARCHED")
-    return postings(spark, sf_dir).groupBy("source").agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(failed).alias("failures"), F.count_if(F.length("description") < 300).alias("incomplete"), status.alias("status"))
-
-
 @query("detail_left_join", """SELECT d.doc_id, CASE WHEN p.page_id IS NULL THEN 'failed' WHEN length(p.html) < 1000 THEN 'incomplete' ELSE 'ok' END AS status, coalesce(p.url, d.source) AS origin
 FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id""")
 def detail_left_join(spark, sf_dir):
@@ -307,11 +300,15 @@ def detail_left_join(spark, sf_dir):
     return out.select("doc_id", status.alias("status"), F.coalesce("url", "source").alias("origin"))
 
 
-@query("union_sources", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY source")
+@query("union_sources", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
 def union_sources(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", "n_chars")
-    each = [docs.where(F.col("source") == s) for s in ("src0", "src1", "src2")]
-    out = each[0].unionByName(each[1]).unionByName(each[2])
+    """One frame for each language, as each board is one, put together again; a null language is a frame too."""
+    docs = table(spark, sf_dir, "documents").select("source", "n_chars", "lang")
+    named = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]  # a handful of languages
+    each = [docs.where(F.col("lang").eqNullSafe(F.lit(x))) for x in named] or [docs]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -425,49 +422,14 @@ def work_model(spark, sf_dir):
     return rows.select("doc_id", "kind", parse.remote_eligibility(F.col("kind"), F.lit(""), F.col("t")).alias("eligibility"), parse.employment_type(F.col("t")).alias("employment"))
 
 
-_TARGETS = ("Project Manager", "Delivery Lead", "Programme Manager")
-
-
-@query("role_fit_argmax", WITH + f"""SELECT pos, arg_max(role, (score, -ord)) AS role, max(score) AS score FROM (
-  SELECT pos, role, ord, CASE WHEN contains(lower(title), lower(role)) THEN 100 ELSE CAST(round(75.0 * len(list_intersect(string_split(lower(role), ' '), string_split(lower(title), ' '))) / len(string_split(role, ' '))) AS INT) END AS score
-  FROM jobs, (VALUES {', '.join(f"('{r}', {i})" for i, r in enumerate(_TARGETS))}) v(role, ord)) GROUP BY pos""")
-def role_fit_argmax(spark, sf_dir):
-    words = lambda c: F.split(F.lower(c), " ")
-    fits = []
-    for i, role in enumerate(_TARGETS):
-        overlap = F.size(F.array_intersect(words(F.lit(role)), words(F.col("title"))))
-        points = F.when(F.lower("title").contains(role.lower()), 100).otherwise(F.round(75.0 * overlap / len(role.split())).cast("int"))
-        fits.append(F.struct(points.alias("score"), F.lit(-i).alias("order"), F.lit(role).alias("role")))
-    return postings(spark, sf_dir).select("pos", F.greatest(*fits).alias("best")).select("pos", "best.role", "best.score")
-
-
-@query("search_score", """SELECT o_orderkey, CAST(greatest(0, least(100, round(0.55 * (o_orderkey % 101) + CASE o_orderkey % 3 WHEN 0 THEN 20 WHEN 1 THEN 20 ELSE 14 END
-  + greatest(0, round(15 - (o_orderkey % 12) / 7.0::DOUBLE * 10)) + CASE o_orderkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 7 WHEN 2 THEN 4 ELSE 6 END))) AS INT) AS score FROM orders WHERE o_orderkey % 101 >= 45""")
-def search_score(spark, sf_dir):
-    key = F.col("o_orderkey")
-    geo = F.when(key % 3 == 2, 14).otherwise(20)
-    fresh = F.greatest(F.lit(0.0), F.round(15 - (key % 12) / F.lit(7.0) * 10))
-    pay = F.when(key % 4 == 0, 10).when(key % 4 == 1, 7).when(key % 4 == 2, 4).otherwise(6)
-    total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(F.expr("0.55D") * (key % 101) + geo + fresh + pay)))
-    return table(spark, sf_dir, "orders").where(key % 101 >= 45).select("o_orderkey", total.cast("int").alias("score"))
-
-
-@query("salary_status", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'not-used' WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_totalprice < 60000 THEN 'below'
-  WHEN o_totalprice * 0.8 >= 60000 THEN 'pass' ELSE 'possible' END AS status FROM orders) GROUP BY status""")
-def salary_status(spark, sf_dir):
-    most, least = F.col("o_totalprice"), F.col("o_totalprice") * 0.8
-    status = (F.when(F.col("o_orderkey") % 10 == 0, "not-used").when(F.col("o_orderkey") % 7 == 0, "unknown").when(most < 60000, "below")
-              .when(least >= 60000, "pass").otherwise("possible"))
-    return table(spark, sf_dir, "orders").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _FACT_CTES = f"""lines AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line,
     unnest(range(len(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')))) AS ord
   FROM (SELECT doc_id, concat(text, chr(10), CASE doc_id % 3 WHEN 0 THEN '• Led platform delivery for payments in 2021' WHEN 1 THEN '- Managed the release of two products' ELSE '' END) AS text FROM documents)),
 facts AS (SELECT doc_id, ord, trim(regexp_replace(line, '^[•\\-–—▪◦*]+\\s*', '')) AS line FROM lines),
-useful AS (SELECT * FROM facts WHERE length(line) BETWEEN 24 AND 420 AND {duck.matches('lower(line)', evidence.ACTIONS, evidence.SIGNALS, evidence.YEAR)}),
-firsts AS (SELECT doc_id, lower(line) AS low, min(ord) AS ord, arg_min(line, ord) AS line FROM useful GROUP BY 1, 2),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS number FROM firsts)"""
+useful AS (SELECT *, {duck.matches('lower(line)', evidence.FACT_ACTIONS, evidence.FACT_SIGNALS, evidence.YEAR)} AS useful FROM facts WHERE length(line) BETWEEN 24 AND 420),
+firsts AS (SELECT doc_id, lower(line) AS low, min(ord) AS ord, arg_min(line, ord) AS line, bool_or(useful) AS useful FROM useful WHERE useful OR length(line) BETWEEN 30 AND 350 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY useful DESC, ord) AS number, count(*) FILTER (WHERE useful) OVER (PARTITION BY doc_id) AS n_useful FROM firsts),
+numbered AS (SELECT * FROM ranked WHERE useful OR (n_useful < 8 AND number <= 30))"""
 
 
 def _facts(spark, sf_dir):
@@ -481,7 +443,7 @@ def fact_lines(spark, sf_dir):
     return evidence.numbered(_facts(spark, sf_dir), "doc_id").select("doc_id", "fact_id", "line")
 
 
-@query("fact_first_occurrence", f"WITH {_FACT_CTES} SELECT doc_id, count(*) AS n, min(ord) AS first_at FROM firsts GROUP BY doc_id")
+@query("fact_first_occurrence", f"WITH {_FACT_CTES} SELECT doc_id, count(*) AS n, min(ord) AS first_at FROM numbered GROUP BY doc_id")
 def fact_first_occurrence(spark, sf_dir):
     return _facts(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("at").cast("long").alias("first_at"))
 
@@ -493,14 +455,22 @@ _TERMS = "list_filter([" + ", ".join(f"CASE WHEN {duck.matches('lower(text)', rf
 def relevance_sum(spark, sf_dir):
     more = F.when(F.col("turn") % 3 == 0, " Led software delivery.").when(F.col("turn") % 3 == 1, " Risk and data.").otherwise("")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
-    terms = evidence.review_terms(F.col("text"))
-    action = F.when(text.matches(F.lower("text"), evidence.ACTIONS), 1).otherwise(0)
-    return rows.select("conv_id", "turn", (2 * F.size(terms) + action).alias("relevance"))
+    return rows.select("conv_id", "turn", evidence.relevance(F.col("text"), evidence.review_terms(F.col("text"))).alias("relevance"))
+
 
+_FACT = "concat(left(coalesce(text, ''), 200), CASE turn % 4 WHEN 0 THEN ' and so led software delivery.' WHEN 1 THEN ' managed risk and data with' WHEN 2 THEN ' built the platform' ELSE '' END)"
+_FACT_CLEAN = f"trim(regexp_replace(regexp_replace({_FACT}, '^[•\\-–—▪◦*]+\\s*', ''), '\\s+', ' ', 'g'))"
 
-@query("top_evidence", "SELECT conv_id, turn, CAST(rank AS INT) AS rank FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(coalesce(text, '')) % 7 DESC, turn) AS rank FROM conversations) WHERE rank <= 6")
+
+@query("top_evidence", f"""WITH f AS (SELECT conv_id, turn, {_FACT_CLEAN} AS fact FROM conversations),
+j AS (SELECT *, length(fact) BETWEEN 42 AND 360 AND NOT {duck.matches('lower(fact)', evidence.DANGLING)} AND {duck.matches('lower(fact)', evidence.COMPLETE_ACTIONS)} AS whole,
+  2 * ({' + '.join(f"CAST(contains(lower(fact), '{w}') AS INT)" for w in ('delivery', 'risk', 'platform'))}) + CAST({duck.matches('lower(fact)', evidence.ACTIONS)} AS INT) AS relevance FROM f),
+p AS (SELECT *, count(*) FILTER (WHERE whole) OVER (PARTITION BY conv_id) AS n FROM j)
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY relevance DESC, turn) AS INT) AS rank FROM p WHERE CASE WHEN n >= 3 THEN whole ELSE length(fact) > 35 END QUALIFY rank <= 6""")
 def top_evidence(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("at"), (F.length(F.coalesce("text", F.lit(""))) % 7).alias("relevance"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("at"), F.expr(_FACT).alias("fact"))
+    terms = F.array(*map(F.lit, ("delivery", "risk", "platform")))
+    rows = rows.withColumn("relevance", evidence.relevance(F.col("fact"), terms))
     return evidence.top_evidence(rows, "conv_id").select("conv_id", "turn", "rank")
 
 
@@ -582,7 +552,7 @@ def jsonld_postings(spark, sf_dir):
 #: A CV for each document, in three layouts.
 _CV_TEXT = """concat('Jo Doe', chr(10), 'Professional Summary', chr(10), 'Delivery lead of ', CAST(doc_id AS STRING), ' projects', chr(10), 'Experience', chr(10),
   CASE doc_id % 3 WHEN 0 THEN 'Lead | Firm A | 2019 - Present' WHEN 1 THEN concat('Lead', chr(10), 'Firm A', chr(10), '2019 - 2021') ELSE 'Lead | 2016 to 2018' END, chr(10),
-  'Runs the platform', chr(10), CASE doc_id % 2 WHEN 0 THEN 'and its releases' ELSE '- built things' END, chr(10), '- shipped', chr(10), 'Engineer | Firm B | 2017 - 2020', chr(10), 'Wrote services', chr(10), 'Education', chr(10), 'School 2001 - 2005')"""
+  'Runs the platform', chr(10), CASE doc_id % 2 WHEN 0 THEN 'and its releases' ELSE '- built things' END, chr(10), '- shipped', chr(10), 'Engineer | Firm B | 2017 - 2020', chr(10), 'Wrote services', chr(10), 'Analyst', chr(10), 'Firm C', chr(10), 'Mar 2012 - Jan 2015', chr(10), '• counted', chr(10), 'Education', chr(10), 'School 2001 - 2005')"""
 _CV_CTES = f"""texts AS (SELECT doc_id, {_CV_TEXT} AS t FROM documents),
 raw AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS ord, unnest(string_split(t, chr(10))) AS line FROM texts),
 headed AS (SELECT *, CASE lower(line) WHEN 'professional summary' THEN 'summary' WHEN 'experience' THEN 'experience' WHEN 'education' THEN 'other' END AS heading FROM raw),
@@ -600,12 +570,12 @@ def section_ranges(spark, sf_dir):
 
 
 @query("latest_previous_role", f"""WITH {_CV_CTES},
-dated AS (SELECT *, regexp_matches(line, '(19|20)[0-9][0-9] (-|to) ') AS is_date, lag(line, 1) OVER w AS b1, lag(line, 2) OVER w AS b2 FROM body WHERE section = 'experience' WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+dated AS (SELECT *, regexp_matches(line, '(19|20)[0-9][0-9] (-|to) ') AS is_date, lag(line, 1) OVER w AS b1, lag(line, 2) OVER w AS b2, regexp_matches(coalesce(lead(line, 1) OVER w, '') || '#' || coalesce(lead(line, 2) OVER w, ''), '(^|#)([A-Z][a-z]+ )?(19|20)[0-9][0-9] (-|to) [A-Za-z]* ?[0-9]+(#|$)') AS is_head FROM body WHERE section = 'experience' WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
 counted AS (SELECT *, sum(CAST(is_date AS INT)) OVER (PARTITION BY doc_id ORDER BY ord) AS ordinal FROM dated),
 heads AS (SELECT doc_id, ordinal, CASE WHEN contains(line, '|') THEN trim(string_split(line, '|')[1]) ELSE b2 END AS title,
   CASE WHEN len(string_split(line, '|')) = 3 THEN trim(string_split(line, '|')[2]) WHEN contains(line, '|') THEN '' ELSE b1 END AS company,
-  CAST(regexp_extract(line, '((?:19|20)[0-9][0-9]) (?:-|to)', 1) AS INT) AS start_year, coalesce(TRY_CAST(regexp_extract(line, '(?:-|to) ([0-9]+)$', 1) AS INT), 9999) AS end_year FROM counted WHERE is_date),
-stops AS (SELECT *, max(CAST(line LIKE '- %' AS INT)) OVER (PARTITION BY doc_id, ordinal ORDER BY ord) AS stopped FROM counted WHERE NOT is_date AND ordinal > 0),
+  CAST(regexp_extract(line, '((?:19|20)[0-9][0-9]) (?:-|to)', 1) AS INT) AS start_year, coalesce(TRY_CAST(regexp_extract(line, '(?:-|to) (?:[A-Z][a-z]+ )?([0-9]+)$', 1) AS INT), 9999) AS end_year FROM counted WHERE is_date),
+stops AS (SELECT *, max(CAST(line LIKE '- %' AS INT)) OVER (PARTITION BY doc_id, ordinal ORDER BY ord) AS stopped FROM counted WHERE NOT is_date AND NOT is_head AND ordinal > 0),
 overviews AS (SELECT doc_id, ordinal, string_agg(line, ' ' ORDER BY ord) AS overview FROM stops WHERE stopped = 0 GROUP BY doc_id, ordinal)
 SELECT h.doc_id, CAST(row_number() OVER (PARTITION BY h.doc_id ORDER BY end_year DESC, start_year DESC, h.ordinal) AS INT) AS rank, title, company, start_year, end_year, coalesce(overview, '') AS overview
 FROM heads h LEFT JOIN overviews o ON h.doc_id = o.doc_id AND h.ordinal = o.ordinal QUALIFY rank <= 2""")
@@ -629,11 +599,11 @@ def _duck_catalog(x: str, which: int) -> str:
 
 
 @query("requirement_supported", f"""WITH t AS (SELECT doc_id, doc_id % 50 AS cv, {_JOB_TEXT} AS job, {_FACT_TEXT} AS fact FROM documents),
-wanted AS (SELECT doc_id, cv, unnest({_duck_catalog('job', 1)}) AS requirement FROM t), shown AS (SELECT DISTINCT cv, unnest({_duck_catalog('fact', 2)}) AS requirement FROM t WHERE doc_id % 2 = 0)
+wanted AS (SELECT doc_id, cv, unnest({_duck_catalog('job', 1)}) AS requirement FROM t), shown AS (SELECT DISTINCT cv, unnest({_duck_catalog('fact', 2)}) AS requirement FROM t)
 SELECT w.doc_id, w.requirement, s.cv IS NOT NULL AS supported FROM wanted w LEFT JOIN shown s ON w.cv = s.cv AND w.requirement = s.requirement""")
 def requirement_supported(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("cv"), F.expr(_JOB_TEXT).alias("text"), F.expr(_FACT_TEXT).alias("fact"))
-    out = requirements.supported(docs.select("cv", F.col("doc_id").alias("job"), "text"), docs.where("doc_id % 2 = 0").select("cv", "fact"))
+    out = requirements.supported(docs.select("cv", F.col("doc_id").alias("job"), "text"), docs.select("cv", "fact"))
     return out.select(F.col("job").alias("doc_id"), "requirement", "supported")
 
 
@@ -658,3 +628,6 @@ def analysis_contract(spark, sf_dir):
         test = F.col("doc_id") % 8 == i
         text_ = F.when(test, json) if text_ is None else text_.when(test, json)
     return table(spark, sf_dir, "documents").select("doc_id", requirements.analysis_fault(text_).alias("fault"))
+
+
+from lodestone.plans import board_queries  # noqa: E402, F401  registers its queries here

@@ -39,8 +39,15 @@ NOW = 1785542400
 CV = "End-to-end project delivery of banking platforms, data warehouse and cloud. Agile governance, risk management, budget, release and stakeholder management across regions."
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the scan has no more splits than cores (a file of one row group feeds one task); a larger scan is left alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(POSTINGS_SQL, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return spark.sql(POSTINGS_SQL, documents=spread(docs))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
