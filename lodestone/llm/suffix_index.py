@@ -6,13 +6,15 @@ place in the window where the hash of 16 bytes is least (leftmost of equals), wh
 window's bytes alone, so equal windows have anchors at equal distances. Of a window's bytes, at
 least half lie after its anchor or at least half before it; an anchor is therefore filed twice, by
 the ``HALF`` bytes that follow and, for the reversed text, by the ``HALF`` bytes before. A suffix
-array is a table of these entries in the order of their first eight bytes, then of the hash of all
-``HALF``: suffixes with a long common prefix stand together.
-
-The corpus comes in ``BATCHES`` batches (by a hash of the row). Each gets its suffix array, which
-is merge-scanned against every level of the family for equal entries; levels of equal size merge,
-so a corpus of n batches has at most log2(n) + 1 levels and an entry is rewritten as often. Anchors
-that the scans find mark the windows to be confirmed. Where the bytes of all windows of an anchor
+array is a stored table of these entries in suffix order: by their first sixteen bytes, suffixes that
+agree in those by the hash of all ``HALF``, and equal ones by their place. Suffixes with a common prefix
+of ``HALF`` bytes are therefore neighbours, and one that a third of all rows share spreads over partitions.
+
+The corpus comes in batches (by a hash of the row; a few more the larger it is). Each gets its suffix
+array, which is merge-scanned with every level of the family (``Family``) in one ordered pass that looks
+at neighbours; levels of equal size merge, so a corpus of n batches has at most log2(n) + 1 levels and an
+entry is rewritten as often. A later session can open the family and scan further batches against it.
+Anchors that the scans find mark the windows to be confirmed. Where the bytes of all windows of an anchor
 occur again as a whole, they all are; the windows of other anchors go by the hash of all their bytes
 through the packed search of positions.py, against one anchor for each context that occurs again.
 Confirmed windows that overlap are the removed runs.
@@ -26,6 +28,7 @@ is bytes. Windows are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.anchors import covered, named_rows
-from lodestone.llm.common import shuffle_partitions, table, written
+from lodestone.llm.common import shared_dir, shuffle_partitions, table, written
 from lodestone.llm.positions import SCHEMA, repeated, send, slice_name, unpack_places
 from lodestone.llm.words import byte_slices, inverse, mix, powers
 
 WINDOW, HALF, GRAM = 400, 200, 16
-BATCHES = 4
+LEAST_BATCH = 4_000_000
 SLICE = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9FB21C651E98DF25)
@@ -82,7 +85,7 @@ class Bytes:
         return starts, (least & _U(0xFFFFFFFF)).astype(np.int64)
 
 
-def head(data: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+def ordered(data: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
     """Eight bytes from ``at`` on (step 1) or back (step -1), as a number in their order."""
     out = np.zeros(len(at), np.uint64)
     for k in range(8):
@@ -90,10 +93,12 @@ def head(data: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
     return (out ^ _U(1 << 63)).view(np.int64)  # the order of signed numbers
 
 
-ENTRY = "batch int, head long, key long, rid long, place int"
+#: A suffix entry: bytes 1 to 8 and 9 to 16 of the suffix, a hash of HALF bytes, and where it stands.
+ORDER = ["one", "two", "key", "rid", "place"]
+ENTRY = "one long, two long, key long, rid long, place int"
 
 
-def suffixes(rows: DataFrame, batches: int, window: int = WINDOW) -> DataFrame:
+def suffixes(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """The suffix entries of rows (rid, text)."""
     half = window // 2
 
@@ -109,43 +114,147 @@ def suffixes(rows: DataFrame, batches: int, window: int = WINDOW) -> DataFrame:
                 ahead, behind = anchors + half <= at[own + 1], anchors - half >= at[own]
                 place = np.concatenate([anchors[ahead], anchors[behind]])
                 rid = rids[part][np.concatenate([own[ahead], own[behind]])]
-                heads = np.concatenate([head(data, anchors[ahead], 1), head(data, anchors[behind] - 1, -1)])
+                heads = [np.concatenate([ordered(data, anchors[ahead] + k, 1), ordered(data, anchors[behind] - 1 - k, -1)]) for k in (0, 8)]
                 keys = np.concatenate([text.hashes(anchors[ahead], half), ~text.hashes(anchors[behind] - half, half)])
                 place = place - np.concatenate([at[own[ahead]], at[own[behind]]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((rid % batches).astype(np.int32)), pa.array(heads), pa.array(keys.view(np.int64)), pa.array(rid), pa.array(place.astype(np.int32))],
-                    ["batch", "head", "key", "rid", "place"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(h) for h in heads), pa.array(keys.view(np.int64)), pa.array(rid), pa.array(place.astype(np.int32))], ORDER)
 
     return rows.select("rid", "text").mapInArrow(run, ENTRY)
 
 
-class Levels:
-    """A family of suffix arrays: at most one of each size, in batches."""
+def in_order(entries: DataFrame) -> DataFrame:
+    """Suffix order, over all partitions: by bytes, then key, then place, so that a suffix that very many rows share is split between partitions."""
+    return entries.repartitionByRange(shuffle_partitions(entries.sparkSession), *ORDER).sortWithinPartitions(*ORDER)
+
+
+MET, EDGE, OPEN = 0, 1, 2
+
+
+class Group:
+    """The group that a partition's scan stands in: how many entries, whether one is new, and those not yet told."""
+
+    def __init__(self, at_start: bool):
+        self.n, self.new, self.at_start, self.held = 0, False, at_start, []
+
+    def take(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.n += part.num_rows
+        self.new |= bool(pc.max(part.column("new")).as_py())
+        self.held.append(part)
+        if self.n > 1:  # decided; several old ones have met each other when the later one was new
+            if self.new:
+                yield from (told(MET, x) for x in self.held)
+            self.held = []
+
+    def close(self, last: pa.RecordBatch, at_end: bool) -> Iterator[pa.RecordBatch]:
+        if self.at_start or at_end:
+            yield told(EDGE, last.slice(last.num_rows - 1).set_column(last.num_columns - 1, "new", pa.array([int(self.new)], pa.int32())))
+            yield from (told(OPEN, x) for x in self.held)
+
+
+def told(kind: int, part: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, kind, np.int32)), *part.columns], ["kind", *ORDER, "new"])
+
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
+def scan(pool: DataFrame) -> DataFrame:
+    """One pass over entries (and new: 1 or 0) in suffix order: rid, place of those that share a long prefix with a neighbour, where a new one takes part.
 
-    @staticmethod
-    def arranged(entries: DataFrame) -> DataFrame:
-        n = shuffle_partitions(entries.sparkSession)
-        return written(entries.repartitionByRange(n, "head", "key").sortWithinPartitions("head", "key"), "suffix-level")
+    Neighbours that agree in 16 bytes and in the hash of ``HALF`` have a common prefix of ``HALF`` bytes or
+    more and form a group. A group inside a partition is decided there. The groups at its two ends may go
+    on in the next partition: their keys are gathered, two rows a partition, and a single entry waits for
+    the answer. No more than a batch is held, however long a group is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            other = np.zeros(batch.num_rows, bool)
+            for c in ("one", "two", "key"):
+                values = batch.column(c).to_numpy()
+                other[1:] |= values[1:] != values[:-1]
+                other[0] |= group is None or last.column(c)[last.num_rows - 1].as_py() != values[0]
+            head = np.flatnonzero(other)
+            cut = int(head[0]) if len(head) else batch.num_rows
+            if cut:
+                yield from group.take(batch.slice(0, cut))
+            if len(head):
+                if group is not None:
+                    yield from group.close(batch.slice(0, cut) if cut else last, False)
+                size = np.diff(np.append(head, batch.num_rows))
+                new = batch.column("new").to_numpy()
+                good = (size > 1) & (np.maximum.reduceat(new, head) > 0)
+                good[-1] = False  # may go on
+                start = 0
+                if group is None and len(head) > 1:  # the partition's first group ends here
+                    opening = Group(True)
+                    yield from opening.take(batch.slice(0, int(head[1])))
+                    yield from opening.close(batch.slice(0, int(head[1])), False)
+                    good[0], start = False, 1
+                inner = np.flatnonzero(np.repeat(good, size)) + int(head[0])
+                if len(inner):
+                    yield told(MET, batch.take(pa.array(inner)))
+                group = Group(group is None and not start)
+                yield from group.take(batch.slice(int(head[-1])))
+            last = batch
+        if group is not None:
+            yield from group.close(last, True)
+
+    seen = written(in_order(pool.select(*ORDER, "new")).mapInArrow(run, f"kind int, {ENTRY}, new int"), "suffix-scan")
+    # a key at an edge is met if two partitions have it, one of them with a new entry; two rows a partition are few enough to broadcast
+    edges = seen.where(F.col("kind") == EDGE).groupBy("one", "two", "key").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("any_new"))
+    edges = edges.where("n > 1 AND any_new > 0").select("one", "two", "key")
+    waiting = seen.where(F.col("kind") == OPEN).join(F.broadcast(edges), ["one", "two", "key"], "left_semi")
+    return seen.where(F.col("kind") == MET).select("rid", "place").unionByName(waiting.select("rid", "place"))
+
+
+class Family:
+    """A logarithmic family of suffix arrays in a folder: levels of stored, ordered entries, at most one of each size but the newest.
+
+    A new batch gets its suffix array, is merge-scanned against all levels, and becomes a level; levels of
+    equal size merge first. The list of levels is a small table of its own for each state, written last, so
+    that ``Family.open`` finds the newest whole state, in this session or a later one.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, levels: list[tuple[int, str]], state: int):
+        self.spark, self.folder, self.levels, self.state = spark, folder, levels, state
+
+    @classmethod
+    def new(cls, spark: SparkSession, folder: str | None = None) -> Family:
+        return cls(spark, folder or f"{shared_dir(spark)}/lodestone/suffix-family-{uuid.uuid4().hex}", [], 0)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Family:
+        """The family in ``folder`` as its last finished batch left it."""
+        states = spark.read.parquet(f"{folder}/states/*")
+        state = states.agg(F.max("state")).first()[0]
+        rows = states.where(F.col("state") == state).orderBy("at").collect()  # a row for each level
+        return cls(spark, folder, [(r["size"], r["path"]) for r in rows], state)
+
+    def _stored(self, entries: DataFrame) -> str:
+        path = f"{self.folder}/level-{uuid.uuid4().hex}"
+        in_order(entries).write.option("compression", "zstd").parquet(path)
+        return path
+
+    def level(self, path: str) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(path)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Merge-scan a batch (head, key, rid, place) against all levels, then take it in. The entries that met an equal one."""
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, one), (m, two) = self.levels.pop(), self.levels.pop()
-            self.levels.append((n + m, self.arranged(one.unionByName(two))))
-        fresh = self.arranged(batch)
-        pool = fresh.withColumn("new", F.lit(1))
-        for _, level in self.levels:
-            pool = pool.unionByName(level.withColumn("new", F.lit(0)))
-        # one row for each distinct entry and task goes to the groups, however often it occurs
-        met = pool.groupBy("head", "key").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1")
-        # as a table, so that adaptive execution can split the join by a key with many entries
-        met = written(met.select("head", "key"), "suffix-met")
-        found = pool.select("head", "key", "rid", "place").join(met, ["head", "key"], "left_semi")
-        self.levels.append((1, fresh))
-        return written(found.select("rid", "place").distinct(), "suffix-found")
+        """Merge-scan the entries of a batch against all levels, then take them in. rid, place of those that met, old ones too."""
+        levels = list(self.levels)
+        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
+            (n, one), (m, two) = levels.pop(), levels.pop()
+            levels.append((n + m, self._stored(self.level(one).unionByName(self.level(two)))))
+        fresh = self._stored(batch)
+        pool = self.level(fresh).withColumn("new", F.lit(1))
+        for _, path in levels:
+            pool = pool.unionByName(self.level(path).withColumn("new", F.lit(0)))
+        found = written(scan(pool).distinct(), "suffix-found")
+        levels.append((1, fresh))
+        state = self.spark.createDataFrame([(self.state + 1, i, n, path) for i, (n, path) in enumerate(levels)], "state int, at int, size int, path string")
+        state.coalesce(1).write.parquet(f"{self.folder}/states/{self.state + 1}")
+        self.levels, self.state = levels, self.state + 1
+        return found
 
 
 def ranges(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,13 +402,19 @@ def strip(rows: DataFrame, window: int, keep: bool) -> DataFrame:
     return rows.select("doc_id", "text", "whole", "places").mapInArrow(run, f"doc_id {kind}, {_RESULT_SCHEMA}")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, keep: bool = False) -> DataFrame:
+def batches_for(entries: int) -> int:
+    """Batches that a corpus given at once is cut into: one more whenever it doubles, since each is scanned against all before it."""
+    return 2 + (entries // LEAST_BATCH).bit_length()
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int | None = None, keep: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept: the bytes that are left, if asked for."""
     rows = named_rows(docs)
-    entries = written(suffixes(rows, batches, window), "suffix-entries")
-    family, found = Levels(), []
+    entries = written(suffixes(rows, window), "suffix-entries")
+    batches = batches or batches_for(entries.count())
+    family, found = Family.new(docs.sparkSession), []
     for batch in range(batches):
-        found.append(family.add(entries.where(F.col("batch") == batch).drop("batch")))
+        found.append(family.add(entries.where(F.pmod("rid", F.lit(batches)) == batch)))
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
@@ -307,7 +422,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
     settled = written(settle(rows.join(hits, "rid", "left"), keep), "suffix-rows")
     met = settled.where(F.col("text").isNotNull()).select("rid", "doc_id", "text", "anchors")
     told = written(sorted_out(written(contexts(met, window), "suffix-contexts")), "suffix-told")
-    open_rows = met.join(told.where(F.size("open") > 0).select("rid", "open"), "rid")
+    # a table, so that a task that runs again meets its rows in the same order and names its slices alike
+    open_rows = written(met.join(told.where(F.size("open") > 0).select("rid", "open"), "rid"), "suffix-open")
     confirmed = written(repeated(window_probes(open_rows, window), 8, flagged=False), "suffix-windows")
     marks = told.select("rid", "whole").join(confirmed, "rid", "full")
     stripped = strip(met.drop("anchors").join(marks, "rid", "left"), window, keep)

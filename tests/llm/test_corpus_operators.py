@@ -147,6 +147,56 @@ def test_suffix_levels_are_exact(spark, batches):
     assert sorted(map(tuple, got), key=str) == sorted(((d, *w) for (d, _), w in zip(rows, want, strict=True)), key=str)
 
 
+def test_merge_scan_finds_groups_over_partitions(spark):
+    """Keys with one row, several, and very many, new and old, cut anywhere by the partitions."""
+    rng = np.random.default_rng(3)
+    keys = [*range(60), *rng.integers(60, 90, 300).tolist(), *[95] * 700, *range(100, 130)]
+    rows = [(k // 50, k // 10, k, i, 1, int(k not in (95,) and rng.random() < 0.4)) for i, k in enumerate(keys)]
+    rows += [(1, 9, 95, 10_000, 1, 1), (2, 12, 125, 10_001, 1, 1)]
+    pool = spark.createDataFrame(rows, "one long, two long, key long, rid long, place int, new int")
+    count, fresh = Counter(r[2] for r in rows), {r[2] for r in rows if r[5]}
+    met = {r[3] for r in rows if count[r[2]] > 1 and r[2] in fresh}
+    old = {r[3] for r in rows if not r[5] and sum(1 for x in rows if x[2] == r[2] and not x[5]) > 1}  # these have met before
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for parts in (1, 4, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r["rid"] for r in suffix_index.scan(pool).collect()}
+            assert got <= met and met - got <= old
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_suffix_family_is_opened_again(spark, tmp_path):
+    """Batches that come one by one to a family on disk find what all batches at once hold."""
+    rows = corpus()
+    entries = suffix_index.suffixes(anchors.named_rows(documents(spark, rows)))
+    folder, found = f"file://{tmp_path}/family", set()
+    sizes = []
+    for batch in range(6):
+        family = suffix_index.Family.open(spark, folder) if batch else suffix_index.Family.new(spark, folder)
+        found |= set(map(tuple, family.add(entries.where(f"pmod(rid, 6) = {batch}")).collect()))
+        sizes.append([n for n, _ in family.levels])
+    assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [2, 2, 1], [4, 1, 1]]
+    whole = suffix_index.Family.new(spark, f"{folder}-whole").add(entries)
+    assert found == set(map(tuple, whole.collect()))
+
+
+def test_repeats_in_texts_longer_than_a_slice(spark):
+    rng = np.random.default_rng(4)
+    long = prose(260_000, rng)
+    rows = [(1, long), (2, prose(300, rng) + " " + long[1_000_000:1_003_000] + " " + prose(300, rng)), (3, long[-2_500:]), (4, long[:700] + "!")]
+    assert len(long.encode()) > suffix_index.SLICE
+    got = {r["doc_id"]: r for r in suffix_index.remove_repeats(documents(spark, rows), keep=True).collect()}
+    size = lambda text: len(text.encode())
+    assert got[3]["n_removed"] == len(rows[2][1].encode()) and got[1]["n_bytes"] == len(long.encode())
+    assert got[4]["n_removed"] == size(long[:700]) and len(got[2]["kept"]) <= size(rows[1][1]) - size(long[1_000_000:1_003_000])
+    assert got[1]["n_removed"] >= sum(map(size, (rows[2][1], long[:700], long[1_000_000:1_003_000])))
+    words = {r["doc_id"]: r for r in anchors.remove_repeats(documents(spark, rows)).collect()}
+    assert words[1]["n_words"] == 260_000 and words[1]["n_removed"] > 900 and words[3]["n_removed"] >= words[3]["n_words"] - 1
+
+
 def test_suffix_levels_of_nothing(spark):
     assert suffix_index.remove_repeats(empty(spark)).collect() == []
 
