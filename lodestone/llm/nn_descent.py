@@ -7,12 +7,14 @@ from the start. A neighbour graph of the classes is built and refined:
    other into runs, in the order of ``FURTHER`` more code bits, so that in a run longer than a block
    neighbours are those that share the most bits; within blocks of a run, cosines of ``GUIDE`` or more give first neighbours.
    An angle of GUIDE is twice the angle of LINK, so whatever two links connect is a neighbour.
-2. Refinement. Neighbours of neighbours are joined and compared, and each vector keeps its best.
+2. Refinement. Each vector's list is joined with the lists of those on it, what it brings is compared,
+   and each vector keeps its best.
    A vector whose whole list is linked to it is saturated: its list doubles, up to ``MOST_LIST``.
-3. Threshold edges. Vectors connected in the graph are cut into blocks, and pairs of blocks are
-   compared exactly by matrix products: this counts every link inside a connected part, whatever
-   the lists held, and is the exact way for groups larger than any list. Of the links only counts
-   and a spanning forest of each pair of blocks leave a task.
+3. Threshold edges. Vectors connected in the graph are cut into blocks by their angle to a hub. By the
+   triangle inequality, two blocks near the hub are linked throughout and two at very different angles
+   not at all; the other pairs of blocks are compared exactly by matrix products. This counts every link
+   inside a connected part, whatever the lists held, and is the exact way for groups larger than any
+   list. Of the links only counts and a spanning forest leave a task.
 4. Audit. Every vector whose id is divisible by ``AUDIT`` is compared with all vectors of its label,
    in blocks. Each vector counts by the share of its own links that is found, and vectors with few
    links and with many are averaged apart (by powers of two). While the least of these averages is
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import shuffle_partitions, table, written
@@ -42,6 +44,9 @@ GUIDE = 2 * LINK * LINK - 1 - 1e-9
 TABLES, FIRST_LIST, MOST_LIST, ROUNDS = 8, 16, 64, 3
 BLOCK, RUN, FURTHER = 256, 96, 20
 AUDIT, RECALL, MOST_ATTEMPTS = 50, 0.99, 4
+#: The angle of LINK, the width of a band of angles, and a margin far above the error of a computed angle.
+ANGLE, SURE = math.acos(LINK), 1e-6
+BAND = ANGLE / 16
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -169,9 +174,11 @@ def refined(edges: DataFrame, classes: DataFrame, rounds: int) -> DataFrame:
     known = written(edges, "neighbours")
     for _ in range(rounds):
         listed = written(lists(known, sizes), "neighbour-lists")
+        # each list with the lists of those on it: both are bounded, however many lists a vector is on
         there = listed.select("u", F.col("v").alias("by"))
-        back = listed.select(F.col("v").alias("by"), F.col("u").alias("v"))
-        pairs = there.join(back, "by").where("u < v").select("u", "v").distinct()
+        onward = listed.select(F.col("u").alias("by"), "v")
+        met = there.join(onward, "by").where("u <> v")
+        pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         more = compared(pairs.join(known, ["u", "v"], "left_anti"), classes)
         grown = written(known.unionByName(more), "neighbours")
         full = listed.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least"), F.first("most").alias("most"))
@@ -183,12 +190,15 @@ def refined(edges: DataFrame, classes: DataFrame, rounds: int) -> DataFrame:
     return known
 
 
-def packed(rows: DataFrame, by: list[str], size: int) -> DataFrame:
-    """Rows (by, node, copies, unit) in blocks: by, block, nodes, copies, units. A block holds at most ``size`` rows."""
-    order = Window.partitionBy(*by).orderBy("node")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / size))
+def packed(rows: DataFrame, by: list[str], size: int, *more: Column) -> DataFrame:
+    """Rows (by, node, copies, unit) in blocks by a hash of the node: by, block, held, and what ``more`` aggregates. A block has about ``size`` rows at most.
+
+    Only counts of ``by`` decide how many blocks there are, so no task sees all rows of one value.
+    """
+    counts = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / size).alias("_blocks"))
+    rows = rows.join(counts, by).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_blocks")))
     held = F.sort_array(F.collect_list(F.struct("node", "copies", "unit"))).alias("held")
-    return rows.groupBy(*by, "block").agg(held)
+    return rows.groupBy(*by, "block").agg(held, *more)
 
 
 def held_matrix(held: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,18 +224,54 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def angles(rows: DataFrame) -> DataFrame:
+    """Rows (root, node, copies, unit, hub) with the angle between unit and hub, and its band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim in np.unique(sizes := np.array([len(x.as_buffer()) for x in batch.column("unit")], np.int64)).tolist():
+                own = batch.filter(pa.array(sizes == dim))
+                cosine = np.einsum("ij,ij->i", matrix(own.column("unit")), matrix(own.column("hub")))
+                angle = np.arccos(np.clip(cosine, -1, 1))
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("root", "node", "copies", "unit")), pa.array(angle), pa.array((angle / BAND).astype(np.int32))], ["root", "node", "copies", "unit", "angle", "band"])
+
+    return rows.select("root", "node", "copies", "unit", "hub").mapInArrow(run, "root long, node long, copies long, unit binary, angle double, band int")
+
+
 def threshold_edges(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """u, v, n: n links of u where v is null, else an edge of a spanning forest of the links."""
+    """u, v, n: n links of u where v is null, else an edge of a forest that connects what the links connect.
+
+    A connected part is cut into blocks of vectors at about one angle to its hub. Two blocks whose angles
+    sum to less than the link's are linked throughout, and two whose angles are further apart than it are
+    not at all; neither is compared. The pairs that are left are compared by matrix products.
+    """
     part = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
     part = part.unionByName(part.select(F.col("root").alias("node"), "root")).distinct()
-    blocks = written(packed(classes.join(part, "node").select("root", "node", "copies", "unit"), ["root"], BLOCK), "vector-blocks")
-    one = blocks.select("root", F.col("block").alias("b1"), F.col("held").alias("h1"))
-    two = blocks.select("root", F.col("block").alias("b2"), F.col("held").alias("h2"))
+    rows = written(classes.join(part, "node").select("root", "node", "copies", "unit"), "vector-parts")
+    hubs = rows.where("node = root").select("root", F.col("unit").alias("hub"))
+    ranged = written(angles(rows.join(hubs, "root")), "vector-angles")
+    blocks = packed(ranged, ["root", "band"], BLOCK, F.min("angle").alias("low"), F.max("angle").alias("high"), F.sum("copies").alias("total"), F.min("node").alias("first"))
+    blocks = written(blocks.withColumn("name", F.struct("band", "block")), "vector-blocks")
+
+    def side(i: int) -> DataFrame:
+        return blocks.select("root", *(F.col(c).alias(f"{c}{i}") for c in ("name", "low", "high", "total", "first")))
+
+    pairs = side(1).join(side(2), "root").where("name1 <= name2").where(F.greatest(F.col("low1") - F.col("high2"), F.col("low2") - F.col("high1")) <= ANGLE + SURE)
+    pairs = written(pairs.withColumn("sure", F.col("high1") + F.col("high2") <= ANGLE - SURE), "block-pairs")
+    sure, open_ = pairs.where("sure"), pairs.where("NOT sure")
+    # whole blocks that are linked: counts by block, and one edge for each pair
+    gain = sure.select("root", F.col("name1").alias("name"), F.col("total2").alias("gain"), (F.col("name1") == F.col("name2")).alias("own"))
+    gain = gain.unionByName(sure.where("name1 <> name2").select("root", F.col("name2").alias("name"), F.col("total1").alias("gain"), F.lit(False).alias("own")))
+    gain = gain.groupBy("root", "name").agg(F.sum("gain").alias("gain"), F.max("own").alias("own"))
+    members = blocks.select("root", "name", "first", F.explode("held").alias("x")).join(gain, ["root", "name"])
+    members = members.select(F.col("x.node").alias("u"), "first", "own", (F.col("gain") - F.when(F.col("own"), F.col("x.copies")).otherwise(0)).alias("n"))
+    whole = members.where("n > 0").select("u", F.lit(None).cast("long").alias("v"), "n")
+    ties = members.where("own AND u <> first").select("u", F.col("first").alias("v")).unionByName(sure.where("name1 <> name2").select(F.col("first1").alias("u"), F.col("first2").alias("v")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                same = batch.column("b1")[i].as_py() == batch.column("b2")[i].as_py()
+                same = batch.column("same")[i].as_py()
                 n1, c1, x1 = held_matrix(batch.column("h1")[i])
                 n2, c2, x2 = held_matrix(batch.column("h2")[i])
                 linked = x1 @ x2.T >= LINK
@@ -239,8 +285,10 @@ def threshold_edges(classes: DataFrame, edges: DataFrame) -> DataFrame:
                 v = [None] * (len(u) - len(tree)) + [y for _, y in tree]
                 yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v, pa.int64()), pa.array(n.astype(np.int64))], ["u", "v", "n"])
 
-    pairs = one.join(two, "root").where("b1 <= b2").select("b1", "b2", "h1", "h2")
-    return pairs.mapInArrow(run, "u long, v long, n long")
+    held = lambda i: blocks.select("root", F.col("name").alias(f"name{i}"), F.col("held").alias(f"h{i}"))
+    matched = open_.select("root", "name1", "name2").join(held(1), ["root", "name1"]).join(held(2), ["root", "name2"]).select((F.col("name1") == F.col("name2")).alias("same"), "h1", "h2")
+    compared_ = matched.mapInArrow(run, "u long, v long, n long")
+    return compared_.unionByName(whole).unionByName(ties.withColumn("n", F.lit(0).cast("long")))
 
 
 def audit(classes: DataFrame, found: DataFrame, every: int = AUDIT) -> float:

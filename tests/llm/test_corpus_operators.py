@@ -453,12 +453,15 @@ def test_literal_and_dense_windows_are_found(spark):
 # --- embeddings
 
 
-def test_nn_descent_is_exact(spark):
+@pytest.mark.parametrize("block", [256, 6])
+def test_nn_descent_is_exact(spark, monkeypatch, block):
+    """Small blocks: parts of many blocks, linked throughout, compared, or too far apart."""
+    monkeypatch.setattr(nn_descent, "BLOCK", block)
     rng = np.random.default_rng(4)
     rows = []
     for g in range(12):
         centre = rng.standard_normal(16)
-        rows += [(len(rows) + i, (centre + 0.08 * rng.standard_normal(16)).tolist(), g % 2) for i in range(25)]
+        rows += [(len(rows) + i, (centre + (0.02 if g == 5 else 0.08) * rng.standard_normal(16)).tolist(), g % 2) for i in range(25)]
     rows += [(1000 + i, rows[0][1], 0) for i in range(30)]
     rows += [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 0), (2003, rows[0][1], None), (2004, [], 0), (2005, rows[0][1][:8], 0), (2006, [None] + rows[0][1][1:], 0), (None, rows[0][1], 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS node", "2 AS n")
