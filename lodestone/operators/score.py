@@ -23,13 +23,17 @@ def has(array: str, name: str) -> Column:
 
 
 def responsibility() -> Column:
+    return tenths(responsibility_hundredths())
+
+
+def responsibility_hundredths() -> Column:
     n = F.size("responsibilities")
     extra = (
         F.when(has("responsibilities", "end_to_end"), 50).otherwise(0)
         + F.when(has("responsibilities", "accountability_outcomes"), 40).otherwise(0)
         + F.when(has("responsibilities", "risk_dependencies") & has("responsibilities", "scope_schedule"), 30).otherwise(0)
     )
-    return tenths(F.least(F.lit(1000), 220 + F.least(F.lit(660), 66 * n) + extra))
+    return F.least(F.lit(1000), 220 + F.least(F.lit(660), 66 * n) + extra)
 
 
 def experience(cv: str) -> Column:
@@ -97,6 +101,51 @@ def with_scores(features: DataFrame, cv_text: str) -> DataFrame:
 
 def notes(features: DataFrame) -> DataFrame:
     """The note on responsibilities: the first six by name."""
+    return features.withColumn("note", duties_note())
+
+
+def duties_note() -> Column:
     names = F.array_compact(F.array(*(F.when(has("responsibilities", k), v) for k, v in L.RESPONSIBILITY_NAMES.items())))
-    note = F.when(F.size(names) > 0, F.concat(F.lit("Delivery evidence: "), F.array_join(F.slice(names, 1, 6), ", ")))
-    return features.withColumn("note", note)
+    return F.when(F.size(names) > 0, F.concat(F.lit("Delivery evidence: "), F.array_join(F.slice(names, 1, 6), ", ")))
+
+
+def match_and_gaps(scored: DataFrame) -> DataFrame:
+    """match (four notes at most) and gaps (three) of rows of with_scores(): on duties, experience, place and career, in this order.
+
+    An excluded row (rule not null) has no notes and its reason as the only gap.
+    """
+    shared = F.array_intersect("evidence", "cv")
+    named = F.transform(shared, lambda e: F.element_at(F.create_map(*(F.lit(x) for pair in L.EVIDENCE_NAMES.items() for x in pair)), e))
+    finance = (term_count(F.col("text_n"), L.FINANCE_TERMS) > 0) | matches(F.col("text_n"), L.REGULATED)
+    kind, eligible, place = F.col("remote_type"), F.col("remote_eligibility"), normal(F.col("location"))
+    remote_known = (kind == "remote") & eligible.isin("DENMARK CONFIRMED", "UNVERIFIED")
+    preferred = contains_any(place, [normal_text(x) for x in L.PREFERRED_LOCATIONS])
+    capital = contains_any(place, L.CAPITAL_REGION)
+    country = contains_any(place, L.COUNTRY) | normal(F.col("country")).isin(*L.COUNTRY)
+    people = sum((F.when(matches(F.col("body_n"), p), 1).otherwise(0) for p in L.PEOPLE_MANAGEMENT), F.lit(0))
+    low, high = F.col("salary_min"), F.col("salary_max")
+    sure, contract, unknown = F.coalesce(low, high, F.lit(0)), F.col("employment_type") == "contract", low.isNull() & high.isNull()
+    match = [
+        duties_note(), F.when(finance, "Financial IT / regulated-domain priority match"),
+        F.when(F.size(shared) > 0, F.concat(F.lit("JD ↔ Master CV evidence: "), F.array_join(F.slice(named, 1, 6), ", "))),
+        F.when(remote_known, F.when(eligible == "DENMARK CONFIRMED", "Remote employment from Denmark is explicitly supported")).when(preferred, F.when(kind == "hybrid", "Preferred geography + hybrid").otherwise("Preferred geographic corridor"))
+        .when(capital, F.when(kind == "hybrid", "Copenhagen / Capital Region hybrid").when(kind != "onsite", "Copenhagen / Capital Region; work model not verified")),
+        F.when(contains_any(F.col("title_n"), L.SENIOR_TITLE), "Senior/lead positioning is preserved"),
+        F.when(unknown, None).when(contract, F.when(sure >= L.SALARY_CONTRACT, "Contract compensation has a clear premium")).when(low >= L.SALARY_TARGET, "Salary floor is at/above preferred level").when(low >= L.SALARY_ACCEPTABLE, "Salary floor is within acceptable range"),
+    ]
+    gaps = [
+        F.when(responsibility_hundredths() < 700, "Delivery ownership is weaker than the target profile"), F.when(F.size(shared) == 0, "Direct JD ↔ Master CV evidence overlap is limited"),
+        F.when(F.size("technologies") == 0, "Technology/digital scope is not explicit in the JD"),
+        F.when(remote_known, F.when(eligible == "UNVERIFIED", "REMOTE ELIGIBILITY — UNVERIFIED")).when(preferred, None).when(capital, F.when(kind == "onsite", "Central Copenhagen onsite attendance may be unattractive"))
+        .when(country, "Location is in Denmark but outside the preferred corridor").otherwise("Location is outside the target Denmark geography"),
+        F.when(people >= 2, "Role carries substantial people-management responsibility relative to hands-on delivery"),
+        F.when(matches(F.col("body_n"), L.SELECTED_ONLY) & matches(F.col("body_n"), L.PORTFOLIO), "Direct project ownership appears limited to selected initiatives"),
+        F.when(unknown, "Compensation: Insufficient data").when(contract, F.when(sure < L.SALARY_CONTRACT, "Contract compensation premium is not evidenced")).when(low >= L.SALARY_ACCEPTABLE, None)
+        .when((low < L.SALARY_ACCEPTABLE) & (high >= L.SALARY_ACCEPTABLE), "Salary range overlaps the acceptable level but starts below it").when((sure > 0) & (sure < L.SALARY_VERY_LOW), "Compensation is a strong negative")
+        .when((sure > 0) & (sure < L.SALARY_LOW), "Compensation is below preferred range").otherwise("Compensation needs verification"),
+    ]
+    first = lambda columns, most: F.slice(F.array_compact(F.array(*columns)), 1, most)
+    if "reason" not in scored.columns:
+        return scored.withColumns({"match": first(match, 4), "gaps": first(gaps, 3)})
+    gone = F.col("reason").isNotNull()
+    return scored.withColumns({"match": F.when(gone, F.array().cast("array<string>")).otherwise(first(match, 4)), "gaps": F.when(gone, F.array("reason")).otherwise(first(gaps, 3))})

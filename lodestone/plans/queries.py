@@ -286,9 +286,15 @@ def evaluated_verdicts(spark, sf_dir):
     return search.evaluated(postings(spark, sf_dir)).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stage_stats", f"{PLAN} SELECT (SELECT count(*) FROM jobs) AS fetched, (SELECT count(*) FROM jobs WHERE full_jd_verified AND description <> '') AS verified, count(DISTINCT fingerprint) AS deduplicated, count(DISTINCT CASE WHEN discovered THEN fingerprint END) AS discovered FROM ruled WHERE full_jd_verified AND description <> ''")
+_ALL_STAGED = _STAGED.replace(f"coalesce(published_at >= {_FRESH_CUT}, true)", "true")
+
+
+@query("stage_stats", f"""{PLAN}, {_HISTORY}, {_ALL_STAGED}, told AS (SELECT *, discovered AND rule IS NULL AND total >= 60 AND {_STATUS} <> 'SEEN' AS worth FROM staged LEFT JOIN history USING (fingerprint))
+SELECT (SELECT count(*) FROM jobs) AS fetched, (SELECT count(*) FROM jobs WHERE full_jd_verified AND description <> '') AS full_jd_verified, count(*) AS deduplicated, count(*) FILTER (WHERE discovered) AS cheap_filter_passed,
+  count(*) FILTER (WHERE discovered) AS full_jd_evaluated, least(10, count(*) FILTER (WHERE worth)) AS worthwhile FROM told""")
 def stage_stats(spark, sf_dir):
-    return search.stage_stats(postings(spark, sf_dir))
+    jobs = postings(spark, sf_dir)
+    return search.stage_stats(jobs, _history(jobs))
 
 
 @query("detail_left_join", """SELECT d.doc_id, CASE WHEN p.page_id IS NULL THEN 'failed' WHEN length(p.html) < 1000 THEN 'incomplete' ELSE 'ok' END AS status, coalesce(p.url, d.source) AS origin
@@ -630,4 +636,4 @@ def analysis_contract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", requirements.analysis_fault(text_).alias("fault"))
 
 
-from lodestone.plans import board_queries  # noqa: E402, F401  registers its queries here
+from lodestone.plans import board_queries, web_queries  # noqa: E402, F401  these register their queries here

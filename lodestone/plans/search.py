@@ -12,25 +12,18 @@ from lodestone.operators import identity, rules, score
 from lodestone.sources.postings import CV, NOW
 
 
-STAGES = ("fetched", "verified", "deduplicated", "discovered")
-
-
 @dataclass(frozen=True)
 class Policy:
-    """What differs between the service, web and multi-source policies."""
+    """What differs between the service's and the web's staging; caps and order are in plans/web.py and operators/multisource.py."""
 
     name: str = "service"
     grace_hours: float = 24.0
     null_date_passes: bool = True
     discovery: str = "words"
-    detail_cap: int = 80
-    first_duplicate_wins: bool = False
-    uses_history: bool = True
 
 
 SERVICE = Policy()
-WEB = Policy("web", 6.0, True, "categories", 24, True, False)
-MULTI_SOURCE = Policy("multi-source", 6.0, False, "words", 18, True, False)
+WEB = Policy("web", 6.0, True, "categories")
 
 
 def staged(jobs: DataFrame, policy: Policy = SERVICE, days: int = 14, now: int = NOW) -> DataFrame:
@@ -70,10 +63,17 @@ def ranked(jobs: DataFrame, history: DataFrame, most: int = 10, only_new: bool =
     return out.orderBy(F.desc("total"), new_first.desc(), F.col("published_at").desc_nulls_last(), "pos").limit(most)
 
 
-def stage_stats(jobs: DataFrame) -> DataFrame:
-    """fetched, verified, deduplicated, discovered: one row."""
-    raw = jobs.select(F.lit("fetched").alias("stage")).unionByName(jobs.where(F.col("full_jd_verified") & (F.col("description") != "")).select(F.lit("verified").alias("stage")))
-    kept = staged(jobs, days=10_000)
-    late = kept.select(F.explode(F.array_compact(F.array(F.lit("deduplicated"), F.when(F.col("discovered"), "discovered")))).alias("stage"))
-    each = raw.unionByName(late).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
-    return each.agg(*(F.coalesce(F.sum(F.when(F.col("stage") == s, F.col("n"))), F.lit(0)).alias(s) for s in STAGES))
+def stage_stats(jobs: DataFrame, history: DataFrame, most: int = 10, days: int = 10_000) -> DataFrame:
+    """fetched, full_jd_verified, deduplicated, cheap_filter_passed, full_jd_evaluated, worthwhile: one row.
+
+    The postings are read once for the first two counts and once for the rest.
+    """
+    n = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    raw = jobs.agg(F.count(F.lit(1)).alias("fetched"), n(F.col("full_jd_verified") & (F.col("description") != "")).alias("full_jd_verified"))
+    found = staged(jobs, SERVICE, days)
+    # the rule and the scores of a posting matter only past the gate
+    found = found.withColumn("rule", F.when(F.col("discovered"), rules.exclusion_rule()))
+    found = identity.history_status(score.with_scores(found, CV), history)
+    worth = F.col("discovered") & F.col("rule").isNull() & (F.col("verdict") != "Poor fit") & (F.col("history_status") != "SEEN")
+    late = found.agg(F.count(F.lit(1)).alias("deduplicated"), n(F.col("discovered")).alias("cheap_filter_passed"), F.least(n(worth), F.lit(most)).alias("worthwhile"))
+    return raw.crossJoin(late).select("fetched", "full_jd_verified", "deduplicated", "cheap_filter_passed", F.col("cheap_filter_passed").alias("full_jd_evaluated"), "worthwhile")
