@@ -8,6 +8,9 @@ any length is never gathered into one value. Places are running sums in two leve
 runs of ``RUN`` turns and over the runs of a perspective, so that no window spans a long
 conversation's turns.
 
+A marker opens with "<|". Where a text or a speaker's name holds these two characters, a space is put
+between them, so that no turn can end itself, open another, or move what is trained on.
+
 Defined results: a null or empty text is rendered as an empty turn; a null role speaks as
 "unknown" and is a participant; a null turn comes first; equal turns are ordered by role and
 text, repeated rows lie side by side; a conversation of system turns alone has no
@@ -17,7 +20,7 @@ gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
@@ -25,11 +28,15 @@ from lodestone.llm.common import table
 RUN = 256
 
 
+def unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
 def rotate(turns: DataFrame, run: int = RUN) -> DataFrame:
-    """conv_id, speaker, turn, role, name, content, start, end, trained."""
+    """conv_id, speaker, turn, role, name, content, start, end, and train_start, train_end: the characters trained on, null outside the assistant's turns."""
     turns = turns.select(
-        F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit("unknown")).alias("said_by"),
-        F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.floor(F.col("turn") / run), F.lit(-1)).cast("long").alias("run"),
+        F.col("conv_id"), F.col("turn"), unmarked(F.coalesce("role", F.lit("unknown"))).alias("said_by"),
+        unmarked(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.floor(F.col("turn") / run), F.lit(-1)).cast("long").alias("run"),
     )
     speakers = turns.where(F.col("said_by") != "system").select(F.col("conv_id").alias("of"), F.col("said_by").alias("speaker")).distinct()
     seen = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
@@ -60,7 +67,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS said_by, coalesce(text, '') AS text FROM conversations),
+WITH turns AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS said_by, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, said_by AS speaker FROM turns WHERE said_by <> 'system'),
 seen AS (
   SELECT t.*, speaker, CASE WHEN said_by = speaker THEN 'assistant' WHEN said_by = 'system' THEN 'system' ELSE 'user' END AS role

@@ -15,14 +15,15 @@ from the start. A neighbour graph of the classes is built and refined:
    not at all; the other pairs of blocks are compared exactly by matrix products. This counts every link
    inside a connected part, whatever the lists held, and is the exact way for groups larger than any
    list. Of the links only counts and a spanning forest leave a task.
-4. Audit. Every vector whose id is divisible by ``AUDIT`` is compared with all vectors of its label,
+4. Audit. One class of equal vectors in ``AUDIT``, by its number, is compared with all vectors of its label,
    in blocks. Each vector counts by the share of its own links that is found, and vectors with few
    links and with many are averaged apart (by powers of two). While the least of these averages is
    below ``RECALL``, new projections are added; after ``MOST_ATTEMPTS`` the query fails.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, vectors
 without a label and rows without an id link with nothing (0 links, their own component); vectors
-of different lengths do not link; rows that repeat an id and vector are counted as further vectors;
+of different lengths do not link; rows that repeat an id and vector are counted as further vectors, and rows
+with one id and different vectors or labels link each by its own;
 an empty table gives no rows; other columns are left alone.
 """
 
@@ -320,8 +321,10 @@ def audit(classes: DataFrame, found: DataFrame, every: int = AUDIT) -> float:
 def near_duplicates(vectors: DataFrame, audit_every: int = AUDIT) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     able = written(units(vectors), "units")
-    classes = able.groupBy("label", "dim", "unit").agg(F.min("vec_id").cast("long").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = written(classes, "vector-classes")
+    classes = able.groupBy("label", "dim", "unit").agg(F.min("vec_id").cast("long").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # a number of its own for each class, since an id may come with several vectors
+    named = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    classes = named.drop("least")
     bits = max(1, min(40, round(math.log2(max(1, classes.count()) / 64))))
     edges = None
     for attempt in range(MOST_ATTEMPTS):
@@ -337,8 +340,9 @@ def near_duplicates(vectors: DataFrame, audit_every: int = AUDIT) -> DataFrame:
     else:
         raise RuntimeError(f"op2_nn_descent: recall {recall:.4f} of audited vectors after {MOST_ATTEMPTS} attempts, {RECALL} is needed")
     root = components(told.where(F.col("v").isNotNull()).select(F.col("u").alias("a"), F.col("v").alias("b")))
-    named = classes.join(root, "node", "left").join(counts, "node", "left")
-    named = named.select("label", "dim", "unit", F.coalesce("root", "node").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
+    named = written(named.select("label", "dim", "unit", "root", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-roots")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").drop("root", "least")
     found = able.join(named, ["label", "dim", "unit"]).select("vec_id", "n_links", "component_id")
     # whatever cannot link has no row above
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
