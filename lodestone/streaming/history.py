@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,29 @@ def classify_batch(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataF
     return told, rest.unionByName(latest)
 
 
+def first_arrivals(stream: DataFrame, ids: list[str], at: str, delay: str = "1 day") -> DataFrame:
+    """Each id once in a stream: further arrivals within ``delay`` of the first are dropped, and the state of older ones is forgotten.
+
+    ``at`` is cast to a zoned timestamp, which a watermark needs.
+    """
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark(ids)
+
+
+def snapshot(history: DataFrame, folder: str, version: int) -> None:
+    """A history as a numbered snapshot; one that is written again replaces itself. Its number is written last, so a half-written one does not count."""
+    history.write.mode("overwrite").parquet(f"{folder}/data/{version:012d}")
+    history.sparkSession.range(version, version + 1).coalesce(1).write.mode("overwrite").parquet(f"{folder}/versions/{version:012d}")
+
+
+def latest_snapshot(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The newest whole snapshot, or an empty history where there is none."""
+    try:
+        newest = spark.read.parquet(f"{folder}/versions/*").agg(F.max("id").alias("v")).first()["v"]
+    except AnalysisException:  # no such folder
+        newest = None
+    return spark.createDataFrame([], schema) if newest is None else spark.read.schema(schema).parquet(f"{folder}/data/{newest:012d}")
+
+
 def run_stream(spark: SparkSession, source: str, schema: str, out: str, key: str, value: str, arrival: str, checkpoint: str) -> None:
     """Read Parquet arrivals as a stream; each micro-batch writes its statuses and a new state snapshot.
 

@@ -142,3 +142,23 @@ def test_fold_over_many_keys_and_nulls(spark):
     rows = [(k, p, at, "x" * n) for k in ("a", "b", None) for p, (at, n) in enumerate([(5, 1), (None, 3), (4, 2), (9, 0), (9, 9)])]
     got = identity.folded(spark.createDataFrame(rows, "k string, pos int, published_at long, description string"), ["k"], "pos").collect()
     assert sorted(((r["k"] or ""), r["pos"]) for r in got) == [("", 4), ("a", 4), ("b", 4)]
+
+
+def test_stream_keeps_first_arrivals(spark, tmp_path):
+    from lodestone.streaming import history
+
+    rows = [(1, "a", "2026-08-01 10:00:00"), (2, "a", "2026-08-01 12:00:00"), (3, "b", "2026-08-01 11:00:00")]
+    spark.createDataFrame(rows, "n int, id string, at string").selectExpr("n", "id", "cast(at AS timestamp_ntz) AS at").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("n int, id string, at timestamp_ntz").parquet(f"{tmp_path}/in")
+    query = history.first_arrivals(stream, ["id"], "at").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
+
+
+def test_snapshots(spark, tmp_path):
+    from lodestone.streaming import history
+
+    assert history.latest_snapshot(spark, f"{tmp_path}/none", "k string").collect() == []
+    for version in (1, 2, 10):
+        history.snapshot(spark.createDataFrame([(str(version),)], "k string"), f"{tmp_path}/s", version)
+    assert [r["k"] for r in history.latest_snapshot(spark, f"{tmp_path}/s", "k string").collect()] == ["10"]
