@@ -3,7 +3,7 @@
 Vectors of equal labels with a cosine of ``LINK`` or more are linked. Equal vectors are one class
 from the start. A neighbour graph of the classes is built and refined:
 
-1. Start. Sign codes of random projections (``TABLES`` of them) bring vectors that are near each
+1. Start. Sign codes of random projections (``TABLES`` of them, more where codes are longer) bring vectors that are near each
    other into runs, in the order of ``FURTHER`` more code bits, so that in a run longer than a block
    neighbours are those that share the most bits; within blocks of a run, cosines of ``GUIDE`` or more give first neighbours.
    An angle of GUIDE is twice the angle of LINK, so whatever two links connect is a neighbour.
@@ -16,7 +16,7 @@ from the start. A neighbour graph of the classes is built and refined:
    inside a connected part, whatever the lists held, and is the exact way for groups larger than any
    list. Of the links only counts and a spanning forest leave a task.
 4. Audit. One class of equal vectors in ``AUDIT``, by its number, is compared with all vectors of its label,
-   in blocks. Each vector counts by the share of its own links that is found, and vectors with few
+   in blocks. Each vector counts by the share of its own links that is found, and of those that end in its own component; vectors with few
    links and with many are averaged apart (by powers of two). While the least of these averages is
    below ``RECALL``, new projections are added; after ``MOST_ATTEMPTS`` the query fails.
 
@@ -191,14 +191,14 @@ def refined(edges: DataFrame, classes: DataFrame, rounds: int) -> DataFrame:
     return known
 
 
-def packed(rows: DataFrame, by: list[str], size: int, *more: Column) -> DataFrame:
-    """Rows (by, node, copies, unit) in blocks by a hash of the node: by, block, held, and what ``more`` aggregates. A block has about ``size`` rows at most.
+def packed(rows: DataFrame, by: list[str], size: int, *more: Column, columns: tuple[str, ...] = ("node", "copies", "unit")) -> DataFrame:
+    """Rows (by, ``columns``) in blocks by a hash of the node: by, block, held, and what ``more`` aggregates. A block has about ``size`` rows at most.
 
     Only counts of ``by`` decide how many blocks there are, so no task sees all rows of one value.
     """
     counts = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / size).alias("_blocks"))
     rows = rows.join(counts, by).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_blocks")))
-    held = F.sort_array(F.collect_list(F.struct("node", "copies", "unit"))).alias("held")
+    held = F.sort_array(F.collect_list(F.struct(*columns))).alias("held")
     return rows.groupBy(*by, "block").agg(held, *more)
 
 
@@ -260,14 +260,14 @@ def threshold_edges(classes: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = side(1).join(side(2), "root").where("name1 <= name2").where(F.greatest(F.col("low1") - F.col("high2"), F.col("low2") - F.col("high1")) <= ANGLE + SURE)
     pairs = written(pairs.withColumn("sure", F.col("high1") + F.col("high2") <= ANGLE - SURE), "block-pairs")
     sure, open_ = pairs.where("sure"), pairs.where("NOT sure")
-    # whole blocks that are linked: counts by block, and one edge for each pair
-    gain = sure.select("root", F.col("name1").alias("name"), F.col("total2").alias("gain"), (F.col("name1") == F.col("name2")).alias("own"))
-    gain = gain.unionByName(sure.where("name1 <> name2").select("root", F.col("name2").alias("name"), F.col("total1").alias("gain"), F.lit(False).alias("own")))
-    gain = gain.groupBy("root", "name").agg(F.sum("gain").alias("gain"), F.max("own").alias("own"))
-    members = blocks.select("root", "name", "first", F.explode("held").alias("x")).join(gain, ["root", "name"])
-    members = members.select(F.col("x.node").alias("u"), "first", "own", (F.col("gain") - F.when(F.col("own"), F.col("x.copies")).otherwise(0)).alias("n"))
+    # whole blocks that are linked: counts by block; every member has an edge to one block it is linked to, and each pair of blocks has one edge
+    gain = sure.select("root", F.col("name1").alias("name"), F.col("total2").alias("gain"), F.col("first2").alias("mate"), (F.col("name1") == F.col("name2")).alias("own"))
+    gain = gain.unionByName(sure.where("name1 <> name2").select("root", F.col("name2").alias("name"), F.col("total1").alias("gain"), F.col("first1").alias("mate"), F.lit(False).alias("own")))
+    gain = gain.groupBy("root", "name").agg(F.sum("gain").alias("gain"), F.min("mate").alias("mate"), F.max("own").alias("own"))
+    members = blocks.select("root", "name", F.explode("held").alias("x")).join(gain, ["root", "name"])
+    members = members.select(F.col("x.node").alias("u"), "mate", (F.col("gain") - F.when(F.col("own"), F.col("x.copies")).otherwise(0)).alias("n"))
     whole = members.where("n > 0").select("u", F.lit(None).cast("long").alias("v"), "n")
-    ties = members.where("own AND u <> first").select("u", F.col("first").alias("v")).unionByName(sure.where("name1 <> name2").select(F.col("first1").alias("u"), F.col("first2").alias("v")))
+    ties = members.where("u <> mate").select("u", F.col("mate").alias("v")).unionByName(sure.where("name1 <> name2").select(F.col("first1").alias("u"), F.col("first2").alias("v")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,31 +293,45 @@ def threshold_edges(classes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def audit(classes: DataFrame, found: DataFrame, every: int = AUDIT) -> float:
-    """The recall of ``found`` (node, n) for every ``every``-th vector, by brute force in blocks.
+    """The recall of ``found`` (node, n, root) for every ``every``-th vector, by brute force in blocks.
 
-    Of each vector the share of its own links, averaged over the vectors with as many links (by powers
-    of two); the least average, so that a large group does not hide what isolated pairs have lost.
+    Of each vector the share of its own links that are counted, and the share of them that are in its own
+    component, whichever is less; averaged over the vectors with as many links (by powers of two). The
+    least average, so that a large group does not hide what isolated pairs have lost.
     """
-    asked = classes.where(F.col("node") % every == 0)
-    blocks = packed(classes, ["label", "dim"], 4 * BLOCK).withColumnRenamed("held", "all")
-    queries = packed(asked, ["label", "dim"], 4 * BLOCK).select("label", "dim", F.col("held").alias("some"))
+    rooted = classes.join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    asked = rooted.where(F.col("node") % every == 0)
+    columns = ("node", "copies", "root", "unit")
+    blocks = packed(rooted, ["label", "dim"], 4 * BLOCK, columns=columns).withColumnRenamed("held", "all")
+    queries = packed(asked, ["label", "dim"], 4 * BLOCK, columns=columns).select("label", "dim", F.col("held").alias("some"))
+
+    def told(held: pa.StructScalar) -> tuple[np.ndarray, ...]:
+        return *(held.values.field(c).to_numpy() for c in columns[:-1]), matrix(held.values.field("unit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                nodes, _, x = held_matrix(batch.column("some")[i])
-                others, copies, y = held_matrix(batch.column("all")[i])
+                nodes, _, root, x = told(batch.column("some")[i])
+                others, copies, theirs, y = told(batch.column("all")[i])
                 linked = (x @ y.T >= LINK) & (nodes[:, None] != others[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array((linked @ copies).astype(np.int64))], ["node", "n"])
+                tied = linked & (root[:, None] == theirs[None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array((m @ copies).astype(np.int64)) for m in (linked, tied))], ["node", "n", "tied"])
 
-    true = queries.join(blocks, ["label", "dim"]).select("some", "all").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    true = queries.join(blocks, ["label", "dim"]).select("some", "all").mapInArrow(run, "node long, n long, tied long")
+    true = true.groupBy("node").agg(F.sum("n").alias("n"), F.sum("tied").alias("tied"))
     held = true.join(found.select("node", F.col("n").alias("have")), "node", "left")
-    share = F.least("n", F.coalesce("have", F.lit(0))) / F.col("n")
+    share = F.least("n", F.coalesce("have", F.lit(0)), "tied") / F.col("n")
     by_size = held.where("n > 0").groupBy(F.floor(F.log2("n")).alias("size")).agg(F.avg(share).alias("recall"))
     least = by_size.agg(F.min("recall").alias("least")).first()["least"]
     return 1.0 if least is None else least
 
 
+def tables_for(bits: int) -> int:
+    """So many projection tables that an isolated pair at the angle of LINK shares a code in one of them with a chance of 0.995."""
+    agree = (1 - ANGLE / math.pi) ** bits
+    return max(TABLES, math.ceil(math.log(0.005) / math.log1p(-agree)))
+
+
 def near_duplicates(vectors: DataFrame, audit_every: int = AUDIT) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     able = written(units(vectors), "units")
@@ -328,20 +342,22 @@ def near_duplicates(vectors: DataFrame, audit_every: int = AUDIT) -> DataFrame:
     bits = max(1, min(40, round(math.log2(max(1, classes.count()) / 64))))
     edges = None
     for attempt in range(MOST_ATTEMPTS):
-        start = first_neighbours(codes(classes, TABLES, bits, attempt))
+        start = first_neighbours(codes(classes, tables_for(bits), bits, attempt))
         if edges is not None:
             start = start.unionByName(edges).groupBy("u", "v").agg(F.max("cosine").alias("cosine"))
         edges = refined(start, classes, ROUNDS)
         told = written(threshold_edges(classes, edges), "links")
         counts = told.where(F.col("v").isNull()).groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-        recall = audit(classes, counts, audit_every)
+        root = components(told.where(F.col("v").isNotNull()).select(F.col("u").alias("a"), F.col("v").alias("b")))
+        found = classes.select("node").join(counts, "node", "left").join(root, "node", "left")
+        found = written(found.select("node", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "node").alias("root")), "vector-links")
+        recall = audit(classes, found, audit_every)
         if recall >= RECALL:
             break
     else:
         raise RuntimeError(f"op2_nn_descent: recall {recall:.4f} of audited vectors after {MOST_ATTEMPTS} attempts, {RECALL} is needed")
-    root = components(told.where(F.col("v").isNotNull()).select(F.col("u").alias("a"), F.col("v").alias("b")))
-    named = named.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
-    named = written(named.select("label", "dim", "unit", "root", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-roots")
+    named = named.join(found, "node")
+    named = written(named.select("label", "dim", "unit", "root", "least", (F.col("n") + F.col("copies") - 1).alias("n_links")), "vector-roots")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").drop("root", "least")
     found = able.join(named, ["label", "dim", "unit"]).select("vec_id", "n_links", "component_id")
     # whatever cannot link has no row above

@@ -586,6 +586,60 @@ def test_nn_descent_is_exact(spark, monkeypatch, block):
     assert nn_descent.near_duplicates(frame.limit(0)).collect() == []
 
 
+def linked_classes(rows):
+    """(id, vector, label) to id: (links, least id of the component, kept), by all pairs."""
+    x = np.stack([np.array(v) / np.linalg.norm(v) for _, v, _ in rows])
+    label = np.array([g for *_, g in rows])
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    ids, least = np.array([i for i, *_ in rows]), np.arange(len(rows))
+    while True:
+        new = np.minimum(least, np.where(linked, least[None, :], len(rows)).min(1))
+        if (new == least).all():
+            return {int(i): (int(linked[k].sum()), int(ids[least[k]]), bool(least[k] == k)) for k, i in enumerate(ids)}
+        least = new
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nn_descent_of_stars_chains_and_bridges(spark, seed):
+    """Vectors that are connected only by way of others: ends of a star, of a chain, of two blobs with a bridge."""
+    rng, dim, rows = np.random.default_rng(seed), 24, []
+    unit = lambda v: v / np.linalg.norm(v)
+
+    def step(v, cosine):
+        w = rng.standard_normal(dim)
+        w = unit(w - (w @ v) * v)
+        return cosine * v + np.sqrt(1 - cosine * cosine) * w
+
+    def add(v, label):
+        rows.append((len(rows), v.tolist(), label))
+
+    for _ in range(60):
+        hub = unit(rng.standard_normal(dim))
+        for v in rng.permutation([hub, step(hub, 0.985), step(hub, 0.985)]):
+            add(v, 0)
+    v = unit(rng.standard_normal(dim))
+    for _ in range(150):
+        add(v, 1)
+        v = step(v, 0.981)
+    for _ in range(8):
+        hub = unit(rng.standard_normal(dim))
+        w = hub
+        for _ in range(3):
+            for _ in range(12):
+                add(step(w, 0.999), 2)
+            add(w, 2)
+            w = step(w, 0.981)
+    rows = [(i, v, g) for i, (_, v, g) in zip(rng.permutation(len(rows)).tolist(), rows, strict=True)]
+    rows.sort()
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == linked_classes(rows)
+
+
+def test_nn_descent_tables_follow_the_code_length():
+    assert nn_descent.tables_for(7) == nn_descent.TABLES and 20 < nn_descent.tables_for(26) < 40
+
+
 def test_nn_descent_audit_sees_lost_pairs(spark):
     rng = np.random.default_rng(6)
     centre = rng.standard_normal(24)
@@ -594,11 +648,12 @@ def test_nn_descent_audit_sees_lost_pairs(spark):
         v = rng.standard_normal(24)
         rows += [(1000 + i, v.tolist()), (1001 + i, (v + 0.01 * rng.standard_normal(24)).tolist())]
     classes = nn_descent.units(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")).selectExpr("label", "dim", "unit", "vec_id AS node", "1L AS copies")
-    whole = [(i, 299 if i < 300 else 1) for i, _ in rows]
-    found = lambda counts: nn_descent.audit(classes, spark.createDataFrame(counts, "node long, n long"), 2)
+    whole = [(i, 299 if i < 300 else 1, 0 if i < 300 else i // 2 * 2) for i, _ in rows]
+    found = lambda counts: nn_descent.audit(classes, spark.createDataFrame(counts, "node long, n long, root long"), 2)
     assert found(whole) == 1
-    assert found([(i, n) for i, n in whole if i < 300]) == 0  # all pairs lost, 20 of some 45,000 links
-    assert found([(i, n) for i, n in whole if i < 1020 or i >= 1024]) < 0.99
+    assert found([(i, n, i) for i, n, _ in whole]) == 0  # every link counted, none in a component
+    assert found([x for x in whole if x[0] < 300]) == 0  # all pairs lost, 20 of some 45,000 links
+    assert found([x for x in whole if x[0] < 1020 or x[0] >= 1024]) < 0.99
 
 
 def test_nn_descent_of_repeated_ids(spark):
