@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import anchors, chat, decontamination, mixing, ngram_join, nn_descent, secrets, suffix_index, tokens, toxicity
+from lodestone.llm import anchors, chat, decontamination, divergence, mixing, ngram_join, nn_descent, repair, secrets, suffix_index, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,8 +15,11 @@ QUERIES = {
     "op10_block_anchors": anchors.query,
     "op8_token_files": tokens.query,
     "op9_source_mixing": mixing.query,
+    "op11_suffix_repair": repair.query,
+    "op12_source_divergence": divergence.query,
 }
 ORACLE_SQL = {
     "op3_chat_perspectives": chat.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
 }
