@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import anchors, chat, decontamination, divergence, mixing, ngram_join, nn_descent, repair, secrets, suffix_index, tokens, toxicity
+from lodestone.llm import anchors, chat, decontamination, divergence, mixing, neighbours, ngram_join, nn_descent, repair, secrets, suffix_index, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_source_mixing": mixing.query,
     "op11_suffix_repair": repair.query,
     "op12_source_divergence": divergence.query,
+    "op13_learned_partitions": neighbours.query,
 }
 ORACLE_SQL = {
     "op3_chat_perspectives": chat.ORACLE_SQL,

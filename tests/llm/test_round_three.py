@@ -16,7 +16,7 @@ import pytest
 
 pytest.importorskip("lodestone.llm")
 
-from lodestone.llm import divergence, repair  # noqa: E402
+from lodestone.llm import divergence, neighbours, repair  # noqa: E402
 
 # --- conversation repair
 
@@ -185,3 +185,56 @@ def test_divergence_equals_its_twin(spark):
     columns = ["lang", "source", "part", "item", "value", "rank"]
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({divergence.ORACLE_SQL})").fetchall()
     assert sorted(map(tuple, divergence.query(spark, sf).select(*columns).collect())) == sorted(want)
+
+
+# --- nearest neighbours
+
+
+def brute_nearest(rows, every):
+    able = sorted({(i, tuple(np.float64(x) for x in v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)})
+    out = []
+    for q, v in able:
+        if q % every == 0:
+            near = sorted((np.sqrt(((np.array(w) - np.array(v)) ** 2).sum()), i) for i, w in able if (i, w) != (q, v) and len(w) == len(v))
+            out += [(q, k + 1, i, d) for k, (d, i) in enumerate(near[:10])]
+    return out
+
+
+def test_neighbours_of_awkward_rows(spark):
+    """Too few vectors to divide: exact, with ties, copies, lengths and vectors that take no part."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(60)]
+    rows += [(100 + i, [1.0, 2.0, 3.0]) for i in range(40)] + [(200 + i, [float(i), 1.0]) for i in range(5)]
+    rows += [(300, None), (310, []), (320, [0.0, 0.0, 0.0]), (330, [float("nan"), 1.0, 1.0]), (340, [1.0, None, 1.0]), (350, [float("inf"), 1.0, 1.0]), (None, [1.0, 2.0, 3.0])]
+    rows += [rows[7], rows[10], rows[10], (360, [1e160, 1.0, 1.0]), (370, [1e-160, -0.0, 0.0]), (380, [7.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS node", "2 AS id", "'v' AS v")
+    got = neighbours.neighbours(frame, 10).collect()
+    want = brute_nearest(rows, 10)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+    assert neighbours.neighbours(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("leaf", [4096, 40])
+def test_neighbours_recall(spark, leaf):
+    """One level and two, over clusters and a group of near copies that holds a third of all rows."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 16))
+    x = np.vstack([centres[rng.integers(0, 20, 2000)] + 0.3 * rng.standard_normal((2000, 16)), centres[0] + 0.001 * rng.standard_normal((600, 16)), np.repeat(centres[1:2], 400, 0)])
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)), x, strict=True)]
+    got = neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, leaf).collect()
+    want = brute_nearest(rows, 20)
+    assert [(r["query_id"], r["rank"]) for r in sorted(got)] == [w[:2] for w in sorted(want)]
+    have = defaultdict(dict)
+    for q, _, i, d in want:
+        have[q][i] = d
+    met = [(r["vec_id"] in have[r["query_id"]], r) for r in got]
+    assert sum(m for m, _ in met) >= 0.9 * len(want)
+    assert all(have[r["query_id"]][r["vec_id"]] == r["score"] for m, r in met if m)
+
+
+def test_balanced_parts_follow_clusters():
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.standard_normal((8, 6)) * 5, 40, 0) + 0.1 * rng.standard_normal((320, 6))
+    part = neighbours.balanced_parts(neighbours.neighbour_graph(x, 10), 8, rng)
+    assert (np.bincount(part, minlength=8) == 40).all()
+    assert sum(len(set(part[i : i + 40].tolist())) == 1 for i in range(0, 320, 40)) >= 6
