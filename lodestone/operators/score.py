@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,25 @@ from lodestone.functions import lexicon as L
 from lodestone.functions.text import categories, contains_any, matches, normal, normal_text, term_count
 
 
+@dataclass(frozen=True)
+class Wording:
+    """How a policy reads texts: what it makes of them, and what it looks for in rows of its features."""
+
+    text: Callable[[Column], Column]
+    finance: Callable[[], Column]
+    senior: Callable[[Column], Column]
+    manager: Callable[[Column], Column]
+    at_home: Callable[[Column], Column]
+    cv_name: str
+
+
+SERVICE = Wording(
+    text=normal,
+    finance=lambda: (term_count(F.col("text_n"), L.FINANCE_TERMS) > 0) | matches(F.col("text_n"), L.REGULATED),
+    senior=lambda title: contains_any(title, L.SENIOR_TITLE), manager=lambda title: contains_any(title, L.MANAGER_TITLE),
+    at_home=lambda country: normal(country).isin(*L.COUNTRY), cv_name="Master CV")
+
+
 def tenths(hundredths: Column) -> Column:
     return F.floor((hundredths + 5) / 10).cast("int")
 
@@ -36,20 +58,24 @@ def responsibility_hundredths() -> Column:
     return F.least(F.lit(1000), 220 + F.least(F.lit(660), 66 * n) + extra)
 
 
-def experience(cv: str) -> Column:
+def experience(cv: str, wording: Wording = SERVICE) -> Column:
     """Against the categories of the CV, an array column."""
     shared = F.size(F.array_intersect("evidence", cv))
-    finance = (term_count(F.col("text_n"), L.FINANCE_TERMS) > 0) | matches(F.col("text_n"), L.REGULATED)
+    finance = wording.finance()
     known = has(cv, "financial") | has(cv, "regulatory")
     total = 200 + F.least(F.lit(500), 58 * shared) + F.least(F.lit(160), 32 * F.size("technologies")) + F.when(finance & known, 110).otherwise(0)
     return tenths(F.least(F.lit(1000), total))
 
 
-def geography() -> Column:
-    place = normal(F.col("location"))
+def places(wording: Wording) -> tuple[Column, Column, Column]:
+    """Whether a location is a preferred one, in the capital's region, in the country."""
+    place = wording.text(F.col("location"))
     preferred = contains_any(place, [normal_text(x) for x in L.PREFERRED_LOCATIONS])
-    capital = contains_any(place, L.CAPITAL_REGION)
-    country = contains_any(place, L.COUNTRY) | normal(F.col("country")).isin(*L.COUNTRY)
+    return preferred, contains_any(place, L.CAPITAL_REGION), contains_any(place, L.COUNTRY) | F.coalesce(wording.at_home(F.col("country")), F.lit(False))
+
+
+def geography(wording: Wording = SERVICE) -> Column:
+    preferred, capital, country = places(wording)
     kind, eligible = F.col("remote_type"), F.col("remote_eligibility")
     return (
         F.when((kind == "remote") & (eligible == "DENMARK CONFIRMED"), 100).when((kind == "remote") & (eligible == "UNVERIFIED"), 50)
@@ -59,8 +85,8 @@ def geography() -> Column:
     )
 
 
-def career() -> Column:
-    title = F.when(contains_any(F.col("title_n"), L.SENIOR_TITLE), 15).when(contains_any(F.col("title_n"), L.MANAGER_TITLE), 5).otherwise(0)
+def career(wording: Wording = SERVICE) -> Column:
+    title = F.when(wording.senior(F.col("title_n")), 15).when(wording.manager(F.col("title_n")), 5).otherwise(0)
     people = sum((F.when(matches(F.col("body_n"), p), 1).otherwise(0) for p in L.PEOPLE_MANAGEMENT), F.lit(0))
     selected = matches(F.col("body_n"), L.SELECTED_ONLY) & matches(F.col("body_n"), L.PORTFOLIO)
     low, high = F.col("salary_min"), F.col("salary_max")
@@ -91,10 +117,10 @@ def verdict(total: Column, which: int) -> Column:
     raise AssertionError
 
 
-def with_scores(features: DataFrame, cv_text: str) -> DataFrame:
+def with_scores(features: DataFrame, cv_text: str, wording: Wording = SERVICE) -> DataFrame:
     """The four scores, the total (all in tenths), verdict and action of rows of with_features(). One CV text is a literal."""
-    scored = features.withColumn("cv", categories(normal(F.lit(cv_text)), L.EVIDENCE))
-    scored = scored.withColumns({"responsibility": responsibility(), "experience": experience("cv"), "geography": geography(), "career": career()})
+    scored = features.withColumn("cv", categories(wording.text(F.lit(cv_text)), L.EVIDENCE))
+    scored = scored.withColumns({"responsibility": responsibility(), "experience": experience("cv", wording), "geography": geography(wording), "career": career(wording)})
     scored = scored.withColumn("total", weighted())
     return scored.withColumns({"verdict": verdict(F.col("total"), 1), "action": verdict(F.col("total"), 2)})
 
@@ -109,32 +135,29 @@ def duties_note() -> Column:
     return F.when(F.size(names) > 0, F.concat(F.lit("Delivery evidence: "), F.array_join(F.slice(names, 1, 6), ", ")))
 
 
-def match_and_gaps(scored: DataFrame) -> DataFrame:
+def match_and_gaps(scored: DataFrame, wording: Wording = SERVICE) -> DataFrame:
     """match (four notes at most) and gaps (three) of rows of with_scores(): on duties, experience, place and career, in this order.
 
     An excluded row (rule not null) has no notes and its reason as the only gap.
     """
     shared = F.array_intersect("evidence", "cv")
     named = F.transform(shared, lambda e: F.element_at(F.create_map(*(F.lit(x) for pair in L.EVIDENCE_NAMES.items() for x in pair)), e))
-    finance = (term_count(F.col("text_n"), L.FINANCE_TERMS) > 0) | matches(F.col("text_n"), L.REGULATED)
-    kind, eligible, place = F.col("remote_type"), F.col("remote_eligibility"), normal(F.col("location"))
+    finance, (preferred, capital, country) = wording.finance(), places(wording)
+    kind, eligible = F.col("remote_type"), F.col("remote_eligibility")
     remote_known = (kind == "remote") & eligible.isin("DENMARK CONFIRMED", "UNVERIFIED")
-    preferred = contains_any(place, [normal_text(x) for x in L.PREFERRED_LOCATIONS])
-    capital = contains_any(place, L.CAPITAL_REGION)
-    country = contains_any(place, L.COUNTRY) | normal(F.col("country")).isin(*L.COUNTRY)
     people = sum((F.when(matches(F.col("body_n"), p), 1).otherwise(0) for p in L.PEOPLE_MANAGEMENT), F.lit(0))
     low, high = F.col("salary_min"), F.col("salary_max")
     sure, contract, unknown = F.coalesce(low, high, F.lit(0)), F.col("employment_type") == "contract", low.isNull() & high.isNull()
     match = [
         duties_note(), F.when(finance, "Financial IT / regulated-domain priority match"),
-        F.when(F.size(shared) > 0, F.concat(F.lit("JD ↔ Master CV evidence: "), F.array_join(F.slice(named, 1, 6), ", "))),
+        F.when(F.size(shared) > 0, F.concat(F.lit(f"JD ↔ {wording.cv_name} evidence: "), F.array_join(F.slice(named, 1, 6), ", "))),
         F.when(remote_known, F.when(eligible == "DENMARK CONFIRMED", "Remote employment from Denmark is explicitly supported")).when(preferred, F.when(kind == "hybrid", "Preferred geography + hybrid").otherwise("Preferred geographic corridor"))
         .when(capital, F.when(kind == "hybrid", "Copenhagen / Capital Region hybrid").when(kind != "onsite", "Copenhagen / Capital Region; work model not verified")),
-        F.when(contains_any(F.col("title_n"), L.SENIOR_TITLE), "Senior/lead positioning is preserved"),
+        F.when(wording.senior(F.col("title_n")), "Senior/lead positioning is preserved"),
         F.when(unknown, None).when(contract, F.when(sure >= L.SALARY_CONTRACT, "Contract compensation has a clear premium")).when(low >= L.SALARY_TARGET, "Salary floor is at/above preferred level").when(low >= L.SALARY_ACCEPTABLE, "Salary floor is within acceptable range"),
     ]
     gaps = [
-        F.when(responsibility_hundredths() < 700, "Delivery ownership is weaker than the target profile"), F.when(F.size(shared) == 0, "Direct JD ↔ Master CV evidence overlap is limited"),
+        F.when(responsibility_hundredths() < 700, "Delivery ownership is weaker than the target profile"), F.when(F.size(shared) == 0, f"Direct JD ↔ {wording.cv_name} evidence overlap is limited"),
         F.when(F.size("technologies") == 0, "Technology/digital scope is not explicit in the JD"),
         F.when(remote_known, F.when(eligible == "UNVERIFIED", "REMOTE ELIGIBILITY — UNVERIFIED")).when(preferred, None).when(capital, F.when(kind == "onsite", "Central Copenhagen onsite attendance may be unattractive"))
         .when(country, "Location is in Denmark but outside the preferred corridor").otherwise("Location is outside the target Denmark geography"),

@@ -2,7 +2,8 @@
 
 Punctuation stays in the text that patterns see (dashes folded, case and white space too), support and
 coordination words are counted as often as they occur, and a posting whose title and body pass the
-category gate is scored like the service's.
+category gate is scored by the web's wording: finance terms anywhere in the text, whole words of seniority in the title,
+and a country that contains the name.
 """
 
 from __future__ import annotations
@@ -22,6 +23,13 @@ def web_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(folded_dashes(clean_html_lines(text)), r"\s+", " "))
 
 
+WORDING = score.Wording(
+    text=web_text,
+    finance=lambda: contains_any(F.col("text_n"), L.WEB_FINANCE_TERMS) | matches(F.lower(F.concat_ws(" ", "title", "description")), L.REGULATED),
+    senior=lambda title: matches(title, L.WEB_SENIOR), manager=lambda title: matches(title, L.WEB_MANAGER),
+    at_home=lambda country: contains_any(web_text(country), L.COUNTRY), cv_name="Source CV")
+
+
 def with_features(jobs: DataFrame) -> DataFrame:
     jobs = jobs.withColumns({"title_n": web_text(F.col("title")), "body_n": web_text(F.col("description")), "text_n": web_text(F.concat_ws(" ", "title", "description"))})
     return jobs.withColumns({
@@ -51,14 +59,26 @@ def capped(rows: DataFrame, most: int = MOST_DETAILS) -> DataFrame:
     return first.orderBy(F.col("published").desc_nulls_last(), "pos").limit(most)
 
 
-def ranked(jobs: DataFrame, cv: str, days: int, now: int, most: int = MOST_RESULTS) -> DataFrame:
-    """The best ``most`` postings: score, then newest, then first to arrive. Fresh within six hours' grace; a missing date passes."""
+def evaluated(jobs: DataFrame, cv: str, days: int, now: int) -> DataFrame:
+    """Postings past the gate with rule, scores, match and gaps; an excluded one scores zero. Fresh within six hours' grace; a missing date passes."""
     if len(cv.strip()) < LEAST_CV:
         raise ValueError("Source CV text is required for evaluation.")
     kept = with_features(jobs.where(F.coalesce(F.col("published_at") >= now - days * 86400 - 21600, F.lit(True))))
     found = contains_any(F.col("title_n"), dict.fromkeys(w.lower() for w in L.DISCOVERY_TITLES)) | ((F.size("body_technologies") >= 2) & (F.size("body_responsibilities") >= 2))
-    out = score.with_scores(kept.withColumns({"found": found, "rule": exclusion_rule()}).where("found AND rule IS NULL"), cv)
-    return out.where("verdict <> 'Poor fit'").orderBy(F.desc("total"), F.col("published_at").desc_nulls_last(), "pos").limit(most)
+    kept = kept.withColumns({"found": found, "rule": exclusion_rule()}).where("found").withColumn("reason", rules.reason(F.col("rule")))
+    out = score.match_and_gaps(score.with_scores(kept, cv, WORDING), WORDING)
+    gone = F.col("rule").isNotNull()
+    out = out.withColumns({c: F.when(gone, 0).otherwise(F.col(c)) for c in ("responsibility", "experience", "geography", "career", "total")})
+    return out.withColumns({"verdict": score.verdict(F.col("total"), 1), "action": score.verdict(F.col("total"), 2)})
+
+
+def best(judged: DataFrame, most: int = MOST_RESULTS) -> DataFrame:
+    """The best ``most`` of evaluated(): score, then newest, then first to arrive."""
+    return judged.where("rule IS NULL AND verdict <> 'Poor fit'").orderBy(F.desc("total"), F.col("published_at").desc_nulls_last(), "pos").limit(most)
+
+
+def ranked(jobs: DataFrame, cv: str, days: int, now: int, most: int = MOST_RESULTS) -> DataFrame:
+    return best(evaluated(jobs, cv, days, now), most)
 
 
 def first_capped(rows: DataFrame, most: int = 80) -> DataFrame:

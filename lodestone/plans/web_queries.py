@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import lexicon as L
 from lodestone.operators import rules, score
 from lodestone.plans import duck, search, web
-from lodestone.plans.queries import (_CAPITAL, _CAREER, _CV, _EXPERIENCE, _GEOGRAPHY, _MANDATORY, _NAMES, _PEOPLE, _PREFERRED, _PLACE, _RESPONSIBILITY, _STAGED, _SURE, _TITLES, DUCK_POSTINGS, PLAN,
-                                     _duck_lines, query)
+from lodestone.plans.queries import (_CAPITAL, _CV, _MANDATORY, _NAMES, _PEOPLE, _PLACE, _PREFERRED, _RESPONSIBILITY, _SALARY, _STAGED, _SURE, _TITLES, DUCK_POSTINGS, PLAN, _duck_lines,
+                                     query)
 from lodestone.sources.postings import CV, NOW, postings
 
 
@@ -37,10 +37,26 @@ def exclusion_reason_web(spark, sf_dir):
     return rows.select("pos", web.exclusion_rule().alias("rule"), found.alias("found"))
 
 
-@query("final_rank_web", f"""{_FEATURES}, scored AS (SELECT *, {_RESPONSIBILITY} AS responsibility, {_EXPERIENCE} AS experience, {_GEOGRAPHY} AS geography, {_CAREER} AS career FROM ruled
-  WHERE found AND rule IS NULL AND coalesce(published_at >= {NOW - 7 * 86400 - 21600}, true)),
-totals AS (SELECT *, CAST(floor((40 * responsibility + 25 * experience + 20 * geography + 15 * career + 50) / 100.0) AS INT) AS total FROM scored)
-SELECT pos, total / 10.0::DOUBLE AS score FROM totals WHERE total >= 60 ORDER BY total DESC, published_at DESC NULLS LAST, pos LIMIT 10""")
+_WEB_FINANCE = f"({duck.contains_any('text_n', L.WEB_FINANCE_TERMS)} OR {duck.matches("lower(title || ' ' || description)", L.REGULATED)})"
+_WEB_SENIOR, _WEB_MANAGER = duck.matches("title_n", L.WEB_SENIOR), duck.matches("title_n", L.WEB_MANAGER)
+_WEB_PLACE, _WEB_COUNTRY = _web("coalesce(location, '')"), _web("coalesce(country, '')")
+_WEB_PREFERRED, _WEB_CAPITAL = duck.contains_any(_WEB_PLACE, [p.lower() for p in L.PREFERRED_LOCATIONS]), duck.contains_any(_WEB_PLACE, L.CAPITAL_REGION)
+_WEB_HOME = f"({duck.contains_any(_WEB_PLACE, L.COUNTRY)} OR {duck.contains_any(_WEB_COUNTRY, L.COUNTRY)})"
+_WEB_CV = duck.categories(_web(duck.text(CV)), L.EVIDENCE)
+_WEB_SHARED = f"list_filter(evidence, lambda e: list_contains({_WEB_CV}, e))"
+_WEB_EXPERIENCE = f"""CAST(floor((least(1000, 200 + least(500, 58 * len({_WEB_SHARED})) + least(160, 32 * len(technologies))
+  + CASE WHEN {_WEB_FINANCE} AND (list_contains({_WEB_CV}, 'financial') OR list_contains({_WEB_CV}, 'regulatory')) THEN 110 ELSE 0 END) + 5) / 10.0) AS INT)"""
+_WEB_GEOGRAPHY = duck.cases([
+    ("remote_type = 'remote' AND remote_eligibility = 'DENMARK CONFIRMED'", "100"), ("remote_type = 'remote' AND remote_eligibility = 'UNVERIFIED'", "50"), (f"{_WEB_PREFERRED} AND remote_type = 'hybrid'", "100"), (_WEB_PREFERRED, "90"),
+    (f"{_WEB_CAPITAL} AND remote_type = 'hybrid'", "80"), (f"{_WEB_CAPITAL} AND remote_type = 'onsite'", "55"), (_WEB_CAPITAL, "70"), (_WEB_HOME, "50")], "20")
+_WEB_CAREER = f"""greatest(0, least(100, 55 + CASE WHEN {_WEB_SENIOR} THEN 15 WHEN {_WEB_MANAGER} THEN 5 ELSE 0 END
+  - CASE WHEN {_PEOPLE} >= 2 THEN 20 ELSE 0 END - CASE WHEN {duck.matches('body_n', L.SELECTED_ONLY)} AND {duck.matches('body_n', L.PORTFOLIO)} THEN 7 ELSE 0 END + {_SALARY}))"""
+_WEB_TOTALS = f"""{_FEATURES}, scored AS (SELECT *, {_RESPONSIBILITY} AS responsibility, {_WEB_EXPERIENCE} AS experience, {_WEB_GEOGRAPHY} AS geography, {_WEB_CAREER} AS career FROM ruled
+  WHERE found AND coalesce(published_at >= {NOW - 7 * 86400 - 21600}, true)),
+totals AS (SELECT *, CASE WHEN rule IS NULL THEN CAST(floor((40 * responsibility + 25 * experience + 20 * geography + 15 * career + 50) / 100.0) AS INT) ELSE 0 END AS total FROM scored)"""
+
+
+@query("final_rank_web", f"{_WEB_TOTALS} SELECT pos, total / 10.0::DOUBLE AS score FROM totals WHERE total >= 60 ORDER BY total DESC, published_at DESC NULLS LAST, pos LIMIT 10")
 def final_rank_web(spark, sf_dir):
     return web.ranked(postings(spark, sf_dir), CV, 7, NOW).select("pos", score.points(F.col("total")).alias("score"))
 
@@ -59,35 +75,51 @@ def detail_cap_svc(spark, sf_dir):
 
 _HUNDREDTHS = _RESPONSIBILITY.split("floor((")[1].rsplit(" + 5) / 10.0)", 1)[0]
 _SHARED = f"list_filter(evidence, lambda e: list_contains({_CV}, e))"
-_EVIDENCE = ", ".join(f"CASE WHEN list_contains({_SHARED}, {duck.text(k)}) THEN {duck.text(v)} END" for k, v in L.EVIDENCE_NAMES.items())
 _FINANCE = f"({duck.term_count('text_n', L.FINANCE_TERMS)} > 0 OR {duck.matches('text_n', L.REGULATED)})"
+_HOME = f"({duck.contains_any(_PLACE, L.COUNTRY)} OR {duck.normal('country')} IN ('denmark', 'danmark'))"
 _UNKNOWN = "salary_min IS NULL AND salary_max IS NULL"
-_MATCH = [
-    f"CASE WHEN len(responsibilities) > 0 THEN 'Delivery evidence: ' || array_to_string(list_filter([{_NAMES}], lambda c: c IS NOT NULL)[1:6], ', ') END", f"CASE WHEN {_FINANCE} THEN 'Financial IT / regulated-domain priority match' END",
-    f"CASE WHEN len({_SHARED}) > 0 THEN 'JD ↔ Master CV evidence: ' || array_to_string(list_filter([{_EVIDENCE}], lambda c: c IS NOT NULL)[1:6], ', ') END",
-    duck.cases([("remote_type = 'remote' AND remote_eligibility = 'DENMARK CONFIRMED'", "'Remote employment from Denmark is explicitly supported'"), ("remote_type = 'remote' AND remote_eligibility = 'UNVERIFIED'", "NULL"),
-                (f"{_PREFERRED} AND remote_type = 'hybrid'", "'Preferred geography + hybrid'"), (_PREFERRED, "'Preferred geographic corridor'"), (f"{_CAPITAL} AND remote_type = 'hybrid'", "'Copenhagen / Capital Region hybrid'"),
-                (f"{_CAPITAL} AND remote_type <> 'onsite'", "'Copenhagen / Capital Region; work model not verified'")]),
-    f"CASE WHEN {duck.contains_any('title_n', L.SENIOR_TITLE)} THEN 'Senior/lead positioning is preserved' END",
-    duck.cases([(_UNKNOWN, "NULL"), (f"employment_type = 'contract' AND {_SURE} >= 80000", "'Contract compensation has a clear premium'"), ("employment_type = 'contract'", "NULL"), ("salary_min >= 80000", "'Salary floor is at/above preferred level'"), ("salary_min >= 75000", "'Salary floor is within acceptable range'")])]
-_GAPS = [
-    f"CASE WHEN {_HUNDREDTHS} < 700 THEN 'Delivery ownership is weaker than the target profile' END", f"CASE WHEN len({_SHARED}) = 0 THEN 'Direct JD ↔ Master CV evidence overlap is limited' END", "CASE WHEN len(technologies) = 0 THEN 'Technology/digital scope is not explicit in the JD' END",
-    duck.cases([("remote_type = 'remote' AND remote_eligibility = 'DENMARK CONFIRMED'", "NULL"), ("remote_type = 'remote' AND remote_eligibility = 'UNVERIFIED'", "'REMOTE ELIGIBILITY — UNVERIFIED'"), (_PREFERRED, "NULL"),
-                (f"{_CAPITAL} AND remote_type = 'onsite'", "'Central Copenhagen onsite attendance may be unattractive'"), (_CAPITAL, "NULL"), (f"{duck.contains_any(_PLACE, L.COUNTRY)} OR {duck.normal('country')} IN ('denmark', 'danmark')", "'Location is in Denmark but outside the preferred corridor'")],
-               "'Location is outside the target Denmark geography'"),
-    f"CASE WHEN {_PEOPLE} >= 2 THEN 'Role carries substantial people-management responsibility relative to hands-on delivery' END", f"CASE WHEN {duck.matches('body_n', L.SELECTED_ONLY)} AND {duck.matches('body_n', L.PORTFOLIO)} THEN 'Direct project ownership appears limited to selected initiatives' END",
-    duck.cases([(_UNKNOWN, "'Compensation: Insufficient data'"), (f"employment_type = 'contract' AND {_SURE} < 80000", "'Contract compensation premium is not evidenced'"), ("employment_type = 'contract'", "NULL"), ("salary_min >= 75000", "NULL"),
-                ("salary_min < 75000 AND salary_max >= 75000", "'Salary range overlaps the acceptable level but starts below it'"), (f"{_SURE} > 0 AND {_SURE} < 60000", "'Compensation is a strong negative'"), (f"{_SURE} > 0 AND {_SURE} < 70000", "'Compensation is below preferred range'")],
-               "'Compensation needs verification'")]
-
-
-def _listed(notes: list[str], most: int) -> str:
-    return f"array_to_string(list_filter([{', '.join(notes)}], lambda c: c IS NOT NULL)[1:{most}], '|')"
-
-
-@query("match_notes", f"{PLAN}, {_STAGED} SELECT pos, CASE WHEN rule IS NULL THEN {_listed(_MATCH, 4)} ELSE '' END AS match, CASE WHEN rule IS NULL THEN {_listed(_GAPS, 3)} ELSE {duck.cases([(f'rule = {duck.text(k)}', duck.text(v)) for k, v in L.REASONS.items()])} END AS gaps FROM staged WHERE discovered")
+
+
+def _notes(cv_name: str, shared: str, finance: str, preferred: str, capital: str, home: str, senior: str) -> tuple[str, str]:
+    """Match and gaps as DuckDB expressions: the first four and three of the notes that apply, in order."""
+    named = ", ".join(f"CASE WHEN list_contains({shared}, {duck.text(k)}) THEN {duck.text(v)} END" for k, v in L.EVIDENCE_NAMES.items())
+    confirmed, unverified = (f"remote_type = 'remote' AND remote_eligibility = '{x}'" for x in ("DENMARK CONFIRMED", "UNVERIFIED"))
+    match = [
+        f"CASE WHEN len(responsibilities) > 0 THEN 'Delivery evidence: ' || array_to_string(list_filter([{_NAMES}], lambda c: c IS NOT NULL)[1:6], ', ') END", f"CASE WHEN {finance} THEN 'Financial IT / regulated-domain priority match' END",
+        f"CASE WHEN len({shared}) > 0 THEN 'JD ↔ {cv_name} evidence: ' || array_to_string(list_filter([{named}], lambda c: c IS NOT NULL)[1:6], ', ') END",
+        duck.cases([(confirmed, "'Remote employment from Denmark is explicitly supported'"), (unverified, "NULL"), (f"{preferred} AND remote_type = 'hybrid'", "'Preferred geography + hybrid'"), (preferred, "'Preferred geographic corridor'"),
+                    (f"{capital} AND remote_type = 'hybrid'", "'Copenhagen / Capital Region hybrid'"), (f"{capital} AND remote_type <> 'onsite'", "'Copenhagen / Capital Region; work model not verified'")]),
+        f"CASE WHEN {senior} THEN 'Senior/lead positioning is preserved' END",
+        duck.cases([(_UNKNOWN, "NULL"), (f"employment_type = 'contract' AND {_SURE} >= 80000", "'Contract compensation has a clear premium'"), ("employment_type = 'contract'", "NULL"), ("salary_min >= 80000", "'Salary floor is at/above preferred level'"),
+                    ("salary_min >= 75000", "'Salary floor is within acceptable range'")])]
+    gaps = [
+        f"CASE WHEN {_HUNDREDTHS} < 700 THEN 'Delivery ownership is weaker than the target profile' END", f"CASE WHEN len({shared}) = 0 THEN 'Direct JD ↔ {cv_name} evidence overlap is limited' END",
+        "CASE WHEN len(technologies) = 0 THEN 'Technology/digital scope is not explicit in the JD' END",
+        duck.cases([(confirmed, "NULL"), (unverified, "'REMOTE ELIGIBILITY — UNVERIFIED'"), (preferred, "NULL"), (f"{capital} AND remote_type = 'onsite'", "'Central Copenhagen onsite attendance may be unattractive'"), (capital, "NULL"),
+                    (home, "'Location is in Denmark but outside the preferred corridor'")], "'Location is outside the target Denmark geography'"),
+        f"CASE WHEN {_PEOPLE} >= 2 THEN 'Role carries substantial people-management responsibility relative to hands-on delivery' END",
+        f"CASE WHEN {duck.matches('body_n', L.SELECTED_ONLY)} AND {duck.matches('body_n', L.PORTFOLIO)} THEN 'Direct project ownership appears limited to selected initiatives' END",
+        duck.cases([(_UNKNOWN, "'Compensation: Insufficient data'"), (f"employment_type = 'contract' AND {_SURE} < 80000", "'Contract compensation premium is not evidenced'"), ("employment_type = 'contract'", "NULL"), ("salary_min >= 75000", "NULL"),
+                    ("salary_min < 75000 AND salary_max >= 75000", "'Salary range overlaps the acceptable level but starts below it'"), (f"{_SURE} > 0 AND {_SURE} < 60000", "'Compensation is a strong negative'"),
+                    (f"{_SURE} > 0 AND {_SURE} < 70000", "'Compensation is below preferred range'")], "'Compensation needs verification'")]
+    first = lambda notes, most: f"array_to_string(list_filter([{', '.join(notes)}], lambda c: c IS NOT NULL)[1:{most}], '|')"
+    reason = duck.cases([(f"rule = {duck.text(k)}", duck.text(v)) for k, v in L.REASONS.items()])
+    return f"CASE WHEN rule IS NULL THEN {first(match, 4)} ELSE '' END", f"CASE WHEN rule IS NULL THEN {first(gaps, 3)} ELSE {reason} END"
+
+
+_MATCH, _GAPS = _notes("Master CV", _SHARED, _FINANCE, _PREFERRED, _CAPITAL, _HOME, duck.contains_any("title_n", L.SENIOR_TITLE))
+_WEB_MATCH, _WEB_GAPS = _notes("Source CV", _WEB_SHARED, _WEB_FINANCE, _WEB_PREFERRED, _WEB_CAPITAL, _WEB_HOME, _WEB_SENIOR)
+
+
+@query("match_notes", f"{PLAN}, {_STAGED} SELECT pos, {_MATCH} AS match, {_GAPS} AS gaps FROM staged WHERE discovered")
 def match_notes(spark, sf_dir):
     # one plan, without the drop of texts that evaluated() ends in: the notes read them
     rows = search.staged(postings(spark, sf_dir)).where("discovered").withColumn("rule", rules.exclusion_rule())
     rows = score.match_and_gaps(score.with_scores(rows, CV).withColumn("reason", rules.reason(F.col("rule"))))
     return rows.select("pos", F.array_join("match", "|").alias("match"), F.array_join("gaps", "|").alias("gaps"))
+
+
+@query("evaluated_web", f"{_WEB_TOTALS} SELECT pos, total / 10.0::DOUBLE AS score, {_WEB_MATCH} AS match, {_WEB_GAPS} AS gaps FROM totals")
+def evaluated_web(spark, sf_dir):
+    rows = web.evaluated(postings(spark, sf_dir), CV, 7, NOW)
+    return rows.select("pos", score.points(F.col("total")).alias("score"), F.array_join("match", "|").alias("match"), F.array_join("gaps", "|").alias("gaps"))

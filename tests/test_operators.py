@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import parse, text
 from lodestone.functions.literals import required
 from lodestone.operators import company, evidence, identity, rules, score
-from lodestone.plans import search
+from lodestone.plans import search, web
 from lodestone.sources import postings
 from lodestone.streaming import history
 
@@ -174,3 +174,25 @@ def test_evidence_rules(spark):
         evidence.claims_supported(F.lit("Cut 30 with SAP"), F.lit("sap and 30")).alias("yes"), evidence.claims_supported(F.lit("Cut 31"), F.lit("30")).alias("not"),
         evidence.meaningful_change(F.lit("managed the delivery of things in a team"), F.lit("managed the delivery, of things in a team"), F.lit("")).alias("same")).first()
     assert (row["ok"], row["bad"], row["no"], row["yes"], row["not"], row["same"]) == ("ok", "unsafe", "missing", True, False, False)
+
+
+@pytest.mark.parametrize("changes, expected", [
+    ({"title": "Leadership Project Manager"}, {"career": 60}),  # "lead" is a whole word for the web only
+    ({"title": "Lead Project Manager"}, {"career": 70}),
+    ({"country": "Kingdom of Denmark", "location": "Odense"}, {"geography": 50}),  # contained, not equal
+    ({"description": LEAD + " Interbanking settlement with budget and governance."}, {"finance": True}),  # part of a word
+    ({"description": LEAD}, {"finance": False}),
+])
+def test_web_scores_by_its_own_wording(spark, changes, expected):
+    cv = "Banking and regulatory delivery, end-to-end project delivery across regions, with budget and release ownership for a decade."
+    row = web.evaluated(frame(spark, job(**changes)), cv, 10_000, 0).first()
+    for name in ("career", "geography"):
+        assert name not in expected or row[name] == expected[name]
+    if "finance" in expected:
+        assert ("Financial IT / regulated-domain priority match" in row["match"]) is expected["finance"]
+    assert not any("Master CV" in note for note in row["match"] + row["gaps"])
+
+
+def test_web_needs_a_cv(spark):
+    with pytest.raises(ValueError, match="Source CV"):
+        web.evaluated(frame(spark, job()), "short", 7, 0)
