@@ -165,6 +165,13 @@ def decided(decisions: DataFrame, updates: DataFrame) -> DataFrame:
     return last.join(clears, "job_key", "left").where(F.col("cleared").isNull() | (F.col("at") > F.col("cleared"))).select("job_key", "change_id", "value")
 
 
+def as_changes(updates: DataFrame) -> DataFrame:
+    """Updates of decided() as rows of a change log: a clear is a tombstone of all items of its job key."""
+    clear = F.col("kind") == "clear"
+    value = F.when(F.col("kind") == "accept", "accepted").when(~clear, F.col("value"))
+    return updates.select(F.col("job_key").cast("string").alias("owner"), F.when(~clear, F.col("change_id").cast("string")).alias("item"), value.alias("value"), clear.alias("deleted"), F.col("at").cast("long").alias("at"))
+
+
 def reviewed(changes: DataFrame, decisions: DataFrame) -> DataFrame:
     """changes: job_key, change_id. How many of a job's changes have a decision."""
     own = changes.join(decisions.select("job_key", "change_id", F.lit(True).alias("done")), ["job_key", "change_id"], "left")

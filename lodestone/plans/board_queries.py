@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import multisource, records, review
 from lodestone.plans import duck
-from lodestone.plans.queries import DUCK_POSTINGS, _duck_clean, _duck_lines, query
+from lodestone.plans.queries import DUCK_POSTINGS, ORACLE, _duck_clean, _duck_lines, query
 from lodestone.sources import boards
 from lodestone.sources.postings import NOW, postings, table
+from lodestone.streaming import keyed
+from lodestone.streaming.changelog import ChangeLog
 
 # --- the multi-source search
 
@@ -282,10 +284,28 @@ c AS (SELECT job_key, max(tick) AS cleared FROM u WHERE kind = 'clear' GROUP BY
 s AS (SELECT job_key, change_id, arg_max(CASE WHEN kind = 'accept' THEN 'accepted' ELSE value END, tick) AS value, max(tick) AS tick FROM u WHERE kind <> 'clear' GROUP BY 1, 2)
 SELECT s.job_key, s.change_id, s.value FROM s LEFT JOIN c USING (job_key) WHERE cleared IS NULL OR s.tick > cleared""")
 def decisions_after_updates(spark, sf_dir):
+    updates = _updates(spark, sf_dir)
+    return records.decided(updates.select("job_key", "change_id", "value").limit(0), updates)
+
+
+def _updates(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "purchase", "clear").when(F.col("event_id") % 3 == 0, "accept").otherwise("set")
-    updates = events.select(F.col("user_id").alias("job_key"), (F.col("event_id") % 5).alias("change_id"), kind.alias("kind"), F.col("event_type").alias("value"), F.col("event_id").alias("at"))
-    return records.decided(updates.select("job_key", "change_id", "value").limit(0), updates)
+    return events.select(F.col("user_id").alias("job_key"), (F.col("event_id") % 5).alias("change_id"), kind.alias("kind"), F.col("event_type").alias("value"), F.col("event_id").alias("at"))
+
+
+@query("decision_log", ORACLE["decisions_after_updates"])
+def decision_log(spark, sf_dir):
+    """The same through the change log: a commit for each fifth of the updates, in order, and merges where a tier is full."""
+    updates = _updates(spark, sf_dir)
+    log = ChangeLog(spark, keyed.shared_folder(spark, "decisions"), "string", 8)
+    span = updates.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    part = F.floor((F.col("at") - (span["low"] or 0)) * 5 / ((span["high"] or 0) - (span["low"] or 0) + 1))
+    for i in range(5):
+        log.commit(records.as_changes(updates.where(part == i)), 2 * i)
+        log.merge(2 * i + 1)
+    kinds = updates.select("job_key", "change_id").schema
+    return log.current().select(F.col("owner").cast(kinds["job_key"].dataType).alias("job_key"), F.col("item").cast(kinds["change_id"].dataType).alias("change_id"), "value")
 
 
 # --- reviews

@@ -12,6 +12,8 @@ from lodestone.functions import parse, text
 from lodestone.operators import company, cv, evidence, identity, requirements, rules, score
 from lodestone.plans import duck, search
 from lodestone.sources.postings import CV, NOW, POSTINGS_SQL, job_postings, postings, table
+from lodestone.streaming import keyed
+from lodestone.streaming.changelog import ChangeLog
 from lodestone.streaming.history import replayed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -545,6 +547,52 @@ def stream_history_status(spark, sf_dir):
     return replayed(events, "user_id", "event_type", ["ts", "event_id"]).select("event_id", "history_status")
 
 
+_DELIVERIES = 3
+_ARRIVAL = "event_id long, user_id long, event_type string, ts timestamp, deadline timestamp"
+_DEADLINE = "make_timestamp(epoch_us(ts) + CAST(floor(value * 3600000000.0::DOUBLE) AS BIGINT))"
+
+
+def _streamed(spark, sf_dir, told, schema: str) -> DataFrame:
+    """``told`` of a stream of the events, which land in deliveries; the stream is started again after each."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    hours = F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") * F.lit(3600000000.0)).cast("long"))
+    events = events.select("event_id", "user_id", "event_type", "ts", hours.alias("deadline"))
+    folder, out, checkpoint = (keyed.shared_folder(spark, label) for label in ("arrivals", "told", "stream"))
+    session = keyed.state_session(spark)
+    for _ in keyed.landed_in_turn(events, "ts", folder, _DELIVERIES):
+        keyed.run(told(keyed.arrivals(session, folder, _ARRIVAL)), out, checkpoint)
+    return spark.read.schema(schema).parquet(out)
+
+
+@query("stream_keyed_history", ORACLE["stream_history_status"])
+def stream_keyed_history(spark, sf_dir):
+    """The stream itself, with its state in a store: what it tells equals the replay."""
+    told = lambda stream: keyed.classified(stream, "user_id", "event_type", "ts", "event_id")
+    return _streamed(spark, sf_dir, told, "key string, id long, history_status string").select(F.col("id").alias("event_id"), "history_status")
+
+
+@query("stream_deadlines", f"""WITH due AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, {_DEADLINE} AS deadline FROM events),
+told AS (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts, deadline) AS next FROM due)
+SELECT key, epoch_us(deadline) AS deadline_us, 'CLOSED' AS status FROM told WHERE (next IS NULL OR next > deadline) AND deadline <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""")
+def stream_deadlines(spark, sf_dir):
+    """Users are open until the deadline of their newest event; timers close them once the watermark has passed it."""
+    told = lambda stream: keyed.closed(stream, "user_id", "ts", "deadline", "24 hours")
+    rows = _streamed(spark, sf_dir, told, "key string, deadline timestamp, status string")
+    return rows.select("key", F.unix_micros("deadline").alias("deadline_us"), "status")
+
+
+@query("history_log", ORACLE["history_remember"])
+def history_log(spark, sf_dir):
+    """history_remember() through the change log: what was known is one commit, all arrivals are the next."""
+    jobs = postings(spark, sf_dir)
+    gone = jobs.select(F.concat(F.lit("gone"), F.col("pos").cast("string")).alias("fingerprint"), F.lit("h").alias("material_hash"), "source", "source_job_id")
+    log = ChangeLog(spark, keyed.shared_folder(spark, "history"), "struct<material_hash: string, source: string, source_job_id: string>")
+    for version, rows in enumerate((_history(jobs).unionByName(gone), _hashed(jobs))):
+        value = F.struct("material_hash", "source", "source_job_id").alias("value")
+        log.commit(rows.select(F.col("fingerprint").alias("owner"), F.lit("").alias("item"), value, F.lit(False).alias("deleted"), F.lit(0).cast("long").alias("at")), version)
+    return log.current().select(F.col("owner").alias("fingerprint"), "value.material_hash")
+
+
 _LD = """<html><script type="application/ld+json">{"@type": "JobPosting", "title": "T%s", "hiringOrganization": {"name": "C"}, "datePosted": "2026-08-01"}</script><script type="application/ld+json">{bad</script></html>"""
 
 
