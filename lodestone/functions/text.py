@@ -6,6 +6,8 @@ letters outside ASCII. Patterns stay literals: they are compiled once per task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,15 @@ TERM_LETTERS = "a-z0-9æøå"
 
 
 def pattern(regex: str) -> str:
-    return "(?s)" + regex.replace(r"\b", _BOUNDARY)
+    """A pattern whose ``\\b`` have their ASCII meaning. Before a letter or digit that is one look back instead of four."""
+    before_letter = re.sub(r"\\b(?=[A-Za-z0-9])", r"(?<![A-Za-z0-9_])", regex)
+    return "(?s)" + re.sub(r"\\b(?=\((?:\?:)?[A-Za-z0-9 &+/|-]+\))", _before_group, before_letter).replace(r"\b", _BOUNDARY)
+
+
+def _before_group(found: re.Match) -> str:
+    """The boundary before a plain group: a look back where each of its alternatives begins with a letter or digit."""
+    group = re.match(r"\((?:\?:)?([^)]*)\)", found.string[found.end() :])[1]
+    return r"(?<![A-Za-z0-9_])" if all(re.match("[A-Za-z0-9]", x) for x in group.split("|")) else r"\b"
 
 
 def matches(text: Column, *regexes: str) -> Column:
@@ -64,14 +74,10 @@ def identity(text: Column) -> Column:
 
 def normal_text(value: str) -> str:
     """normal() of a constant."""
-    import re
-
     return re.sub(" +", " ", re.sub("[^a-z0-9æøå+/# .&-]", " ", value.lower())).strip()
 
 
 def term_pattern(term: str) -> str:
-    import re
-
     return f"(?<![{TERM_LETTERS}]){re.escape(normal_text(term))}(?![{TERM_LETTERS}])"
 
 

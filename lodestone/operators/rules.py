@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicon as L
-from lodestone.functions.text import categories, collapsed, contains_any, count_contained, matches, normal, sentences, term_count
+from lodestone.functions.automaton import categories_of, frozen
+from lodestone.functions.text import collapsed, contains_any, count_contained, matches, normal, sentences, term_count
 
 
 def with_features(jobs: DataFrame) -> DataFrame:
@@ -15,12 +16,10 @@ def with_features(jobs: DataFrame) -> DataFrame:
         "title_n": normal(F.col("title")), "body_n": normal(F.col("description")),
         "text_n": normal(F.concat_ws(" ", "title", "description")),
     })
-    return jobs.withColumns({
-        "responsibilities": categories(F.col("text_n"), L.RESPONSIBILITY),
-        "technologies": categories(F.col("text_n"), L.TECHNOLOGY),
-        "body_technologies": categories(F.col("body_n"), L.TECHNOLOGY),
-        "evidence": categories(F.col("text_n"), L.EVIDENCE),
-    })
+    whole = categories_of(F.col("text_n"), frozen(responsibilities=L.RESPONSIBILITY, technologies=L.TECHNOLOGY, evidence=L.EVIDENCE))
+    body = categories_of(F.col("body_n"), frozen(technologies=L.TECHNOLOGY))
+    jobs = jobs.withColumns({"_whole": whole, "_body": body})
+    return jobs.select("*", "_whole.*", F.col("_body.technologies").alias("body_technologies")).drop("_whole", "_body")
 
 
 def discovered(title: Column, description: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import multisource, records, review
 from lodestone.plans import duck
 from lodestone.plans.queries import DUCK_POSTINGS, ORACLE, _duck_clean, _duck_lines, query
-from lodestone.sources import boards
+from lodestone.sources import boards, landed
 from lodestone.sources.postings import NOW, postings, table
 from lodestone.streaming import keyed
 from lodestone.streaming.changelog import ChangeLog
@@ -206,6 +206,20 @@ def rss_items(spark, sf_dir):
     return boards.feed(rows, NOW, 14).select("url", "company", "title", F.unix_timestamp("published_at").alias("published"), "status")
 
 
+_LANDED_AT = "CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'soon' ELSE concat('2026-07-', CAST(10 + page_id % 20 AS STRING), 'T06:00:00Z') END"
+
+
+@query("landed_pages", """SELECT page_id, length(html) AS chars FROM pages WHERE page_id % 5 > 1 AND page_id % 2 = 0 AND 10 + page_id % 20 >= 15""")
+def landed_pages(spark, sf_dir):
+    """Pages as ingestion lands them, read through the data source: board and freshness reach its listing."""
+    pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL AND html IS NOT NULL")
+    board = F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd")
+    folder = keyed.shared_folder(spark, "landed")
+    landed.land(pages.select(board.alias("board"), F.col("page_id").cast("string").alias("id"), F.expr(_LANDED_AT).alias("at"), F.col("html").alias("body")), folder)
+    rows = landed.landed(spark, folder).where((F.col("board") == "even") & (F.col("published_at") >= F.lit("2026-07-15").cast("timestamp")))
+    return rows.select(F.col("id").cast("long").alias("page_id"), F.length("body").alias("chars"))
+
+
 _CARD = """concat('<li class="x"><a class="c" href="https://www.board.example/jobs/view/lead-', CAST(1000000 + doc_id + {k} AS STRING), '?refId=1">go</a><h3 class="a base-search-card__title b"> Lead {k} &amp; ', coalesce(lang, ''), ' </h3><h4 class="base-search-card__subtitle">',
   coalesce(source, ''), '</h4><span class="job-search-card__location">Lyngby</span>', CASE WHEN doc_id % 2 = 0 THEN '<time class="t" datetime="2026-07-30">2 days ago</time>' ELSE '' END, '</li>')"""
 _CARDS = f"""CASE WHEN doc_id % 11 = 0 THEN '<html>Please solve the CAPTCHA</html>' WHEN doc_id % 13 = 0 THEN '<div><a href="/jobs/view/1234567">x</a></div>' WHEN doc_id % 17 = 0 THEN NULL

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicon as L
-from lodestone.functions.text import categories, clean_html_lines, contains_any, folded_dashes, matches, pattern
+from lodestone.functions.automaton import categories_of, frozen
+from lodestone.functions.text import clean_html_lines, contains_any, folded_dashes, matches, pattern
 from lodestone.operators import rules, score
 
 RESPONSIBILITY = L.RESPONSIBILITY | {"end_to_end": [L.WEB_END_TO_END, *L.RESPONSIBILITY["end_to_end"][1:]]}
@@ -32,9 +33,10 @@ WORDING = score.Wording(
 
 def with_features(jobs: DataFrame) -> DataFrame:
     jobs = jobs.withColumns({"title_n": web_text(F.col("title")), "body_n": web_text(F.col("description")), "text_n": web_text(F.concat_ws(" ", "title", "description"))})
-    return jobs.withColumns({
-        "responsibilities": categories(F.col("text_n"), RESPONSIBILITY), "technologies": categories(F.col("text_n"), L.TECHNOLOGY), "body_technologies": categories(F.col("body_n"), L.TECHNOLOGY),
-        "body_responsibilities": categories(F.col("body_n"), RESPONSIBILITY), "evidence": categories(F.col("text_n"), L.EVIDENCE)})
+    whole = categories_of(F.col("text_n"), frozen(responsibilities=RESPONSIBILITY, technologies=L.TECHNOLOGY, evidence=L.EVIDENCE))
+    body = categories_of(F.col("body_n"), frozen(technologies=L.TECHNOLOGY, responsibilities=RESPONSIBILITY))
+    jobs = jobs.withColumns({"_whole": whole, "_body": body})
+    return jobs.select("*", "_whole.*", *(F.col(f"_body.{c}").alias(f"body_{c}") for c in ("technologies", "responsibilities"))).drop("_whole", "_body")
 
 
 def exclusion_rule() -> Column:

@@ -7,7 +7,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import lexicon as L
 from lodestone.functions import parse, text
+from lodestone.functions.automaton import categories_of, frozen
 from lodestone.functions.literals import required
 from lodestone.operators import company, evidence, identity, rules, score
 from lodestone.plans import search, web
@@ -196,3 +198,25 @@ def test_web_scores_by_its_own_wording(spark, changes, expected):
 def test_web_needs_a_cv(spark):
     with pytest.raises(ValueError, match="Source CV"):
         web.evaluated(frame(spark, job()), "short", 7, 0)
+
+
+@pytest.mark.parametrize("regex, same", [(r"\bbudget(s)?\b", "(?<![A-Za-z0-9_])budget"), (r"\b(risk & x|it)\b", "(?<![A-Za-z0-9_])("), (r"\b(\w+|it)\b", "(?:(?<="), (r"\b(it|&c)\b", "(?:(?<=")])
+def test_boundaries_before_letters_are_one_look_back(regex, same):
+    assert text.pattern(regex).startswith("(?s)" + same)
+
+
+def test_one_pass_finds_what_each_pattern_finds(spark):
+    """Random texts of the lexicons' own words: the automaton, the column expressions and plain searches agree."""
+    import random
+    import re
+
+    chance = random.Random(3)
+    lexicons = {"responsibilities": L.RESPONSIBILITY, "technologies": L.TECHNOLOGY, "evidence": L.EVIDENCE, "odd": {"edge": [r"\bend\b", r"x.{0,3}y"], "loose": ["a.*z9"], "none": [r"\d{4}"], "long": [r"stop\b.{0,40}\bgo(es)?\b"]}}
+    words = sorted({w for lexicon in lexicons.values() for regexes in lexicon.values() for r in regexes for w in re.findall("[a-z]{2,}", r)}) + ["-", "&", "æ", "x", "y", "z9", "a", "2026", ".", "ends", "end_", "goes9"]
+    texts = ["".join(chance.choice(words) + chance.choice([" ", " ", " ", "", "-"]) for _ in range(chance.randrange(0, 120))) for _ in range(300)] + ["", None, "end", "xend", "stop " + "o" * 40 + "go", "stop it goes9 goes"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = frame.select("i", categories_of(F.col("t"), frozen(**lexicons)).alias("c"), *(text.categories(F.col("t"), v).alias(k) for k, v in lexicons.items())).collect()
+    for row in got:
+        for name, lexicon in lexicons.items():
+            want = [c for c, regexes in lexicon.items() if any(re.search(r, texts[row["i"]] or "", re.ASCII | re.DOTALL) for r in regexes)]
+            assert row["c"][name] == want and row[name] == want
