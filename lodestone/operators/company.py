@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clean_html
+from lodestone.operators import ranges
 
 # Industries that are sought, company types that are not, and free-mail hosts.
 TARGET_INDUSTRY = (
@@ -27,6 +28,14 @@ EXCLUDED_TYPE = (
 )
 FREE_MAIL = r"^(gmail|googlemail|hotmail|outlook|live|icloud|me|yahoo|protonmail|proton)\."
 RADIUS_STEPS = (10, 20, 30, 40)
+# Codes of municipalities, by the radius (km) from which each belongs to the search; each step also has those before it.
+MUNICIPALITIES = {
+    10: ("0230", "0223", "0173", "0157"),
+    20: ("0159", "0190", "0201", "0210", "0151", "0163"),
+    30: ("0101", "0147", "0219", "0240", "0217", "0175", "0165", "0169"),
+    40: ("0167", "0153", "0187", "0183", "0185", "0270", "0250"),
+    50: ("0155", "0253", "0269", "0265"),
+}
 
 
 def decision(branch: Column, employees: Column) -> Column:
@@ -46,6 +55,18 @@ def radius_step(km: Column) -> Column:
     return chain.otherwise(50)
 
 
+def municipalities(spark: SparkSession) -> DataFrame:
+    """code, low, high: the radii, in whole metres, whose search takes in a municipality."""
+    rows = [(code, 0 if step == 10 else (step - 10) * 1000 + 1, 1 << 40) for step, codes in MUNICIPALITIES.items() for code in codes]
+    return spark.createDataFrame(rows, "code string, low long, high long")
+
+
+def searched_municipalities(radii: DataFrame, km: str) -> DataFrame:
+    """Rows with a radius, one for each municipality (code) that it takes in. A part of a metre counts as a whole one; a radius below zero is the smallest."""
+    metres = radii.withColumn("_metres", F.greatest(F.lit(0), F.ceil(F.col(km) * 1000)).cast("long"))
+    return ranges.interval_join(metres, "_metres", municipalities(radii.sparkSession), "low", "high").drop("_metres", "low", "high")
+
+
 def corporate_domain(emails: Column) -> Column:
     """The first host with a dot that is not a free-mail host."""
     hosts = F.transform(emails, lambda e: F.regexp_replace(F.lower(F.regexp_extract(e, r"@([^\s>]+)$", 1)), r"[),.;]+$", ""))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import lexicon as L
 from lodestone.functions import parse, text
-from lodestone.operators import company, cv, evidence, identity, requirements, rules, score
+from lodestone.operators import company, cv, evidence, identity, ranges, requirements, rules, score
 from lodestone.plans import duck, search
 from lodestone.sources.postings import CV, NOW, POSTINGS_SQL, job_postings, postings, table
 from lodestone.streaming import keyed
@@ -533,6 +533,27 @@ def municipality_lookup(spark, sf_dir):
     return table(spark, sf_dir, "supplier").groupBy(company.radius_step(F.col("s_suppkey") % 60).alias("step")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_CODES = ", ".join(f"('{code}', {step})" for step, codes in company.MUNICIPALITIES.items() for code in codes)
+
+
+@query("municipality_codes", f"SELECT code, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer, (VALUES {_CODES}) m(code, step) WHERE abs(c_acctbal) / 200 > step - 10 OR step = 10 GROUP BY code")
+def municipality_codes(spark, sf_dir):
+    """The balance as a radius: every customer with the municipalities that its radius takes in."""
+    radii = table(spark, sf_dir, "customer").select("c_custkey", (F.abs("c_acctbal") / 200).alias("km"))
+    return company.searched_municipalities(radii, "km").groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+@query("events_in_sessions", """WITH s AS (SELECT event_id AS opened, user_id, epoch_us(ts) // 1000000 AS low, epoch_us(ts) // 1000000 + CAST(floor(value * 60) AS BIGINT) AS high FROM events WHERE event_type = 'signup'),
+e AS (SELECT event_id, epoch_us(ts) // 1000000 AS tick FROM events) SELECT opened, count(*) AS n FROM s JOIN e ON tick BETWEEN low AND high GROUP BY opened""")
+def events_in_sessions(spark, sf_dir):
+    """How many events, of anyone, fall into the minutes after each signup."""
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long")
+    events = table(spark, sf_dir, "events")
+    spans = events.where("event_type = 'signup'").select(F.col("event_id").alias("opened"), seconds.alias("low"), (seconds + F.floor(F.col("value") * 60).cast("long")).alias("high"))
+    met = ranges.interval_join(events.select("event_id", seconds.alias("at")), "at", spans, "low", "high")
+    return met.groupBy("opened").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("corporate_domain", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'firm' || CAST(s_suppkey % 3 AS VARCHAR) || '.dk' END AS domain FROM supplier")
 def corporate_domain(spark, sf_dir):
     key = F.col("s_suppkey")
