@@ -1,13 +1,15 @@
 """Review of a CV against a job: summary choice, rewrites, and the changes that are proposed.
 
 All of it is array expressions over one row per CV and job, so a summary's sentences are compared inside
-their own row and no join pairs them.
+their own row and no join pairs them. The choice among combinations of sentences is a branch and bound.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lodestone.functions.text import lines, matches, pattern
 from lodestone.operators import evidence, requirements
@@ -165,28 +167,84 @@ def candidate(sentence: Column, index: Column, required: Column, terms: Column)
     return F.struct(index.cast("int").alias("i"), score.alias("score"), words_in(sentence).alias("words"), is_proof(sentence).alias("proof"), capable.alias("capable"), reqs.alias("reqs"), own.alias("terms"), sentence.alias("sentence"))
 
 
-def combinations(values: str) -> Column:
-    """All combinations of one to four elements of an array of candidates, as arrays in order."""
-    one = F.transform(values, lambda x: F.array(x))
-    out, last = one, one
-    for _ in range(MOST_SENTENCES - 1):
-        last = F.flatten(F.transform(last, lambda c: F.transform(F.filter(values, lambda x: x["i"] > F.element_at(c, -1)["i"]), lambda x: F.concat(c, F.array(x)))))
-        out = F.concat(out, last)
-    return out
+class Pick:
+    """A partial combination of candidates, with what its score is made of."""
+
+    def __init__(self, own_words: int, picked: tuple = ()) -> None:
+        self.picked, self.words = picked, own_words + sum(c["words"] for c in picked)
+        self.reqs, self.terms = [r for c in picked for r in c["reqs"]], [t for c in picked for t in c["terms"]]
+        self.proof = any(c["proof"] for c in picked)
+
+    def score(self) -> float:
+        kinds, words = len(set(self.reqs)), self.words
+        bonus = 24 - abs(105 - words) * 0.35 if words >= 90 else -((90 - words) * 0.45)
+        base = sum(c["score"] for c in self.picked) + kinds * 8 + len(set(self.terms)) * 2 + (4 if self.proof else 0) - (len(self.reqs) - kinds) * 2
+        return base + bonus - max(0, len(self.picked) - 3) * 8
 
+    def order(self) -> list[int]:
+        return [c["i"] for c in self.picked]
 
-def total(values: Column, get) -> Column:
-    return F.aggregate(values, F.lit(0), lambda n, x: n + get(x))
 
+def worth(c: dict) -> int:
+    """The most that a candidate can add to a combination, but for its words and proof."""
+    return c["score"] + 8 * len(set(c["reqs"])) + 2 * len(set(c["terms"]))
 
-def combo_score(combo: Column, identity_words: Column) -> Column:
-    reqs, terms = F.flatten(F.transform(combo, lambda x: x["reqs"])), F.flatten(F.transform(combo, lambda x: x["terms"]))
-    kinds = F.size(F.array_distinct(reqs))
-    words = identity_words + total(combo, lambda x: x["words"])
-    bonus = F.when(words >= 90, 24 - F.abs(105 - words) * F.lit(0.35)).otherwise(-((90 - words) * F.lit(0.45)))
-    proof = F.when(F.exists(combo, lambda x: x["proof"]), 4).otherwise(0)
-    base = total(combo, lambda x: x["score"])
-    return base + kinds * 8 + F.size(F.array_distinct(terms)) * 2 + proof - (F.size(reqs) - kinds) * 2 + bonus - F.greatest(F.lit(0), F.size(combo) - 3) * 8
+
+def best_combination(candidates: list[dict], own_words: int, least: int, proven: bool) -> list[dict] | None:
+    """Of all combinations of ``least`` to four candidates within MOST_WORDS words (with proof, if ``proven``) the one with the greatest score, the first of equals in order of its sentences; None if there is none.
+
+    Branch and bound: a branch is left when what its candidates could add at most does not reach the best score. Of candidates
+    that count for the same only the first four are looked at, since the others could take part in no earlier combination.
+    """
+    alike: dict[tuple, int] = {}
+    held = []
+    for c in sorted(candidates, key=lambda c: c["i"]):
+        kind = (c["score"], c["words"], c["proof"], tuple(sorted(c["reqs"])), tuple(sorted(c["terms"])))
+        alike[kind] = alike.get(kind, 0) + 1
+        if alike[kind] <= MOST_SENTENCES:
+            held.append(c)
+    # the most that n further candidates, from the k-th on, can add
+    adds = [[0] * (MOST_SENTENCES + 1) for _ in range(len(held) + 1)]
+    for k in range(len(held) - 1, -1, -1):
+        for n in range(1, MOST_SENTENCES + 1):
+            adds[k][n] = max(adds[k + 1][n], worth(held[k]) + adds[k + 1][n - 1])
+    best: tuple | None = None
+
+    def walk(k: int, now: Pick) -> None:
+        nonlocal best
+        n = len(now.picked)
+        if n >= least and now.words <= MOST_WORDS and (now.proof or not proven):
+            found = (-now.score(), now.order(), now.picked)
+            best = min(best, found, key=lambda x: x[:2]) if best else found
+        if n == MOST_SENTENCES or k == len(held):
+            return
+        so_far = sum(c["score"] for c in now.picked) + 8 * len(set(now.reqs)) + 2 * len(set(now.terms)) - 2 * (len(now.reqs) - len(set(now.reqs)))
+        for j in range(k, len(held)):
+            if best and so_far + adds[j][MOST_SENTENCES - n] + 4 + 24 < -best[0] - 1e-6:
+                return  # and so for all candidates after it
+            if now.words + held[j]["words"] <= MOST_WORDS:
+                walk(j + 1, Pick(own_words, (*now.picked, held[j])))
+
+    greatest = sorted(held, key=lambda c: (-worth(c), c["i"]))
+    for n in range(1, MOST_SENTENCES + 1):  # a bound to begin with
+        walk(len(held), Pick(own_words, tuple(sorted(greatest[:n], key=lambda c: c["i"]))))
+    walk(0, Pick(own_words))
+    return None if best is None else list(best[2])
+
+
+def chosen_sentences(candidates: list[dict], own_words: int) -> list[int]:
+    """The indices of the best combination: of two to four with proof, else of any with proof, else of any; proof is asked for where any candidate has it."""
+    candidates = [{"i": c["i"], "score": c["score"], "words": c["words"], "proof": c["proof"], "reqs": list(c["reqs"]), "terms": list(c["terms"])} for c in candidates]
+    proof = any(c["proof"] for c in candidates)
+    for least, proven in ((min(2, len(candidates)), proof), (1, proof), (1, False)):
+        if picked := best_combination(candidates, own_words, max(1, least), proven):
+            return [c["i"] for c in picked]
+    return []
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def picked_sentences(candidates: pd.Series, own_words: pd.Series) -> pd.Series:
+    return pd.Series([chosen_sentences(list(c), int(n)) for c, n in zip(candidates, own_words, strict=True)])
 
 
 def tailored_summaries(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -201,13 +259,8 @@ def tailored_summaries(rows: DataFrame, keys: list[str]) -> DataFrame:
     out = out.withColumn("cands", F.transform("sentences", lambda s, i: candidate(s, i, F.col("required"), F.col("job_terms"))))
     out = out.withColumn("cands", F.filter("cands", lambda c: (c["i"] != F.col("at")) & (c["score"] > 0)))
     out = out.withColumn("own_words", words_in(F.col("identity")))
-    fits = F.filter(combinations("cands"), lambda c: F.col("own_words") + total(c, lambda x: x["words"]) <= MOST_WORDS)
-    out = out.withColumn("combos", F.transform(fits, lambda c: F.struct(combo_score(c, F.col("own_words")).alias("score"), F.transform(c, lambda x: x["i"]).alias("order"), c.alias("picked"))))
-    proven = lambda c: F.exists(c["picked"], lambda x: x["proof"]) | ~F.exists("cands", lambda x: x["proof"])
-    out = out.withColumns({"viable": F.filter("combos", lambda c: (F.size(c["picked"]) >= F.least(F.lit(2), F.size("cands"))) & proven(c)), "fallback": F.filter("combos", proven)})
-    pool = F.when(F.size("viable") > 0, F.col("viable")).when(F.size("fallback") > 0, F.col("fallback")).otherwise(F.col("combos"))
-    better = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0)
-    out = out.withColumn("picked", F.try_element_at(F.array_sort(pool, better), F.lit(1))["picked"])
+    out = out.withColumn("_at", picked_sentences(F.transform("cands", lambda c: c.dropFields("sentence", "capable")), F.col("own_words")))
+    out = out.withColumn("picked", F.filter("cands", lambda c: F.array_contains("_at", c["i"])))
     ranked = F.transform(F.coalesce("picked", F.array().cast(out.schema["cands"].dataType)), lambda x: F.struct((~x["capable"]).alias("a"), (~x["proof"]).alias("b"), (-x["score"]).alias("c"), x["i"].alias("d"), x["sentence"].alias("s")))
     chosen = F.concat(F.array("identity"), F.transform(F.array_sort(ranked), lambda x: x["s"]))
     out = out.withColumns({"updated": clean_source(F.array_join(chosen, " ")), "original": clean_source(F.col("summary"))})

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import multisource, records, review
+from lodestone.operators import multisource, observed, records, review
 from lodestone.plans import duck
 from lodestone.plans.queries import DUCK_POSTINGS, ORACLE, _duck_clean, _duck_lines, query
 from lodestone.sources import boards, landed
@@ -145,12 +145,15 @@ _OK_LINK = "CASE WHEN doc_id % 7 <> 0 THEN concat('https://board.example/', CAST
   CASE WHEN coalesce(published < {NOW - 15 * 86400}, false) THEN 'old' WHEN url IS NULL THEN 'no_link' WHEN length(body) < 120 THEN 'incomplete' ELSE 'ok' END AS status
   FROM (SELECT doc_id, source, {_OK_LINK} AS url, {_DUCK_SHORT} AS body, {_DATE_S} AS published FROM documents)""")
 def remote_ok_jobs(spark, sf_dir):
+    return _remote_ok(spark, sf_dir).select("source_job_id", "company", "location", "url", "description", F.unix_timestamp("published_at").alias("published"), "status")
+
+
+def _remote_ok(spark, sf_dir) -> DataFrame:
     rows = _built(spark, sf_dir, id="CAST(doc_id AS STRING)", date=_DATE, description=_SHORT, url="CASE WHEN doc_id % 7 <> 0 THEN concat('https://board.example/', CAST(doc_id AS STRING)) END",
                   apply_url="CASE WHEN doc_id % 14 = 7 THEN 'https://apply.example/' END", location="CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Nordics' END",
                   company="CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('<b>Firm</b> ', coalesce(source, '')) END", position="'Lead'")
     item = F.to_json(F.struct("id", "date", "description", "url", "apply_url", "location", "company", "position"))
-    out = boards.remote_ok(rows.select(F.concat(F.lit('[{"legal": "notice"}, '), item, F.lit("]")).alias("body")), NOW, 14)
-    return out.select("source_job_id", "company", "location", "url", "description", F.unix_timestamp("published_at").alias("published"), "status")
+    return boards.remote_ok(rows.select(F.concat(F.lit('[{"legal": "notice"}, '), item, F.lit("]")).alias("body")), NOW, 14)
 
 
 @query("jobnet_jobs", f"""SELECT CAST(doc_id AS VARCHAR) AS source_job_id, CASE WHEN doc_id % 3 = 0 THEN 'Later title' ELSE 'First title' END AS title, CASE WHEN doc_id % 4 = 3 OR doc_id % 5 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'Aarhus' ELSE 'Denmark' END ELSE 'Lyngby 2800' END AS location,
@@ -172,14 +175,17 @@ def jobnet_jobs(spark, sf_dir):
   CASE doc_id % 3 WHEN 0 THEN 'Aarhus Denmark' WHEN 1 THEN 'Remote, Denmark' ELSE 'Denmark' END AS location, CASE WHEN doc_id % 3 = 1 THEN 'remote' ELSE 'unknown' END AS remote_type, {_DUCK_SHORT} AS description,
   CASE WHEN doc_id % 5 = 0 THEN 'no_link' WHEN length({_DUCK_SHORT}) < 120 THEN 'incomplete' ELSE 'ok' END AS status FROM documents""")
 def hub_jobs(spark, sf_dir):
+    return _hub(spark, sf_dir).select("source_job_id", "title", "company", "location", "remote_type", "description", "status")
+
+
+def _hub(spark, sf_dir) -> DataFrame:
     rows = _built(spark, sf_dir, d=_SHORT, t="concat('Lead ', coalesce(lang, ''))", u="CASE WHEN doc_id % 5 <> 0 THEN 'https://hub.example/x' END")
     one = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("t").alias("title"), F.struct(F.concat(F.lit("Firm "), F.coalesce("source", F.lit(""))).alias("name")).alias("company"), F.expr("named_struct('city', 'Aarhus', 'country', 'Denmark')").alias("location"), F.col("d").alias("description"), F.col("u").alias("url")))
     two = F.to_json(F.struct(F.col("doc_id").cast("string").alias("_id"), F.col("t").alias("jobTitle"), F.lit("Plain Firm").alias("startup"), F.lit("Remote, Denmark").alias("jobLocation"), F.col("d").alias("content"), F.col("u").alias("link")))
     three = F.to_json(F.struct(F.col("doc_id").cast("string").alias("uuid"), F.col("t").alias("position"), F.lit("").alias("location"), F.col("d").alias("text"), F.col("u").alias("applyUrl")))
     kind = F.col("doc_id") % 3
     body = (F.when(kind == 0, F.concat(F.lit('{"meta": [1, 2], "data": {"items": ['), one, F.lit("]}}"))).when(kind == 1, F.concat(F.lit('[["x"], ['), two, F.lit("]]"))).otherwise(F.concat(F.lit("["), three, F.lit("]"))))
-    out = boards.the_hub(rows.select(body.alias("body")).unionByName(spark.createDataFrame([("not json",), (None,)], "body string")))
-    return out.select("source_job_id", "title", "company", "location", "remote_type", "description", "status")
+    return boards.the_hub(rows.select(body.alias("body")).unionByName(spark.createDataFrame([("not json",), (None,)], "body string")))
 
 
 _PAY = ("DKK 480,000 - 600,000 per annum", "50,000 DKK", "€60k - 70000 EUR", "competitive", "$100,000")
@@ -201,9 +207,33 @@ def remote_salaries(spark, sf_dir):
   CASE WHEN coalesce(published < {NOW - 15 * 86400}, false) THEN 'old' WHEN length({_DUCK_SHORT}) < 80 THEN 'incomplete' ELSE 'ok' END AS status
   FROM (SELECT *, concat('https://feed.example/', CAST(doc_id AS VARCHAR)) AS link, CASE doc_id % 3 WHEN 0 THEN 1785405600 WHEN 1 THEN 1777593600 END AS published FROM documents)""")
 def rss_items(spark, sf_dir):
+    return _feed(spark, sf_dir).select("url", "company", "title", F.unix_timestamp("published_at").alias("published"), "status")
+
+
+def _feed(spark, sf_dir) -> DataFrame:
     rows = _built(spark, sf_dir, link="concat('https://feed.example/', CAST(doc_id AS STRING))", title="CASE doc_id % 3 WHEN 0 THEN concat('Firm ', coalesce(source, ''), ': Lead: Platform') WHEN 1 THEN 'Firm: Lead' ELSE 'Lead' END",
                   description=_SHORT, pubDate="CASE doc_id % 3 WHEN 0 THEN 'Thu, 30 Jul 2026 10:00:00 +0000' WHEN 1 THEN 'Fri, 1 May 2026 02:00:00 +0200' ELSE 'never' END", creator="CASE WHEN doc_id % 3 = 1 THEN 'Creator' END", guid="''")
-    return boards.feed(rows, NOW, 14).select("url", "company", "title", F.unix_timestamp("published_at").alias("published"), "status")
+    return boards.feed(rows, NOW, 14)
+
+
+def _counters_of(source: str, oracle: str) -> str:
+    statuses = ", ".join(f"count_if(coalesce(status = '{s}', false))::BIGINT AS {s}" for s in observed.STATUSES)
+    return f"SELECT '{source}' AS source, count(*) AS rows, {statuses} FROM ({oracle})"
+
+
+_BOARDS = " UNION ALL ".join(_counters_of(source, ORACLE[name]) for source, name in (("Remote OK", "remote_ok_jobs"), ("The Hub", "hub_jobs"), ("We Work Remotely", "rss_items")))
+
+
+@query("source_counters", f"""SELECT *, CASE WHEN rows = ok THEN NULL WHEN ok = 0 THEN 'nothing could be used' ELSE concat(CAST(rows - ok AS VARCHAR), ' of ', CAST(rows AS VARCHAR), ' could not be used') END AS warning FROM ({_BOARDS})
+UNION ALL SELECT 'Gone', 0, {', '.join('0' for _ in observed.STATUSES)}, 'unavailable'""")
+def source_counters(spark, sf_dir):
+    """Three boards and one whose bodies never landed, gathered and written in one pass."""
+    gathered = observed.Gathered({
+        "Remote OK": lambda: _remote_ok(spark, sf_dir), "The Hub": lambda: _hub(spark, sf_dir), "We Work Remotely": lambda: _feed(spark, sf_dir),
+        "Gone": lambda: boards.remote_ok(spark.read.schema("body string").parquet(keyed.shared_folder(spark, "never-landed")), NOW, 14)})
+    gathered.rows.write.parquet(keyed.shared_folder(spark, "gathered"))
+    told = gathered.counters(spark)
+    return told.withColumn("warning", F.when(F.col("source") == "Gone", F.when(F.col("warning").isNotNull(), "unavailable")).otherwise(F.col("warning")))
 
 
 _LANDED_AT = "CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'soon' ELSE concat('2026-07-', CAST(10 + page_id % 20 AS STRING), 'T06:00:00Z') END"
@@ -324,6 +354,29 @@ def decision_log(spark, sf_dir):
 
 # --- reviews
 
+_PICKED = """WITH c AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS i, CAST(l_quantity AS INT) AS words, CAST(l_partkey % 13 + 1 AS INT) AS score, l_returnflag = 'R' AS proof, concat(l_linestatus, CAST(l_suppkey % 4 AS VARCHAR)) AS req, CAST(l_partkey % 3 AS VARCHAR) AS term FROM lineitem),
+g AS (SELECT l_orderkey, list({'i': i, 'words': words, 'score': score, 'proof': proof, 'req': req, 'term': term} ORDER BY i) AS cs FROM c GROUP BY l_orderkey),
+m AS (SELECT l_orderkey, cs, unnest(range(1, CAST(pow(2, len(cs)) AS BIGINT))) AS mask FROM g),
+p AS (SELECT l_orderkey, cs, list_filter(cs, lambda x: (mask >> x.i) & 1 = 1) AS picked FROM m WHERE bit_count(mask) <= 4),
+s AS (SELECT *, 40 + list_sum(list_transform(picked, lambda x: x.words)) AS words, len(list_distinct(list_transform(picked, lambda x: x.req))) AS kinds, len(list_distinct(list_transform(picked, lambda x: x.term))) AS terms,
+  len(list_filter(picked, lambda x: x.proof)) > 0 AS proven, len(list_filter(cs, lambda x: x.proof)) > 0 AS asked FROM p),
+f AS (SELECT *, (list_sum(list_transform(picked, lambda x: x.score)) + kinds * 8 + terms * 2 + CASE WHEN proven THEN 4 ELSE 0 END - (len(picked) - kinds) * 2)::DOUBLE
+  + CASE WHEN words >= 90 THEN 24::DOUBLE - abs(105 - words)::DOUBLE * 0.35::DOUBLE ELSE -((90 - words)::DOUBLE * 0.45::DOUBLE) END - greatest(0, len(picked) - 3)::DOUBLE * 8 AS score,
+  CASE WHEN proven OR NOT asked THEN CASE WHEN len(picked) >= least(2, len(cs)) THEN 0 ELSE 1 END ELSE 2 END AS pool FROM s WHERE words <= 120)
+SELECT l_orderkey, array_to_string(list_transform(picked, lambda x: x.i), ',') AS picked FROM f QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY pool, score DESC, list_transform(picked, lambda x: x.i)) = 1"""
+
+
+@query("summary_combos", _PICKED)
+def summary_combos(spark, sf_dir):
+    """The choice among combinations of sentences, with an order's lines in their place: words, score, proof, a requirement and a term each."""
+    lines = table(spark, sf_dir, "lineitem")
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    one = F.struct(at.alias("i"), (F.col("l_partkey") % 13 + 1).cast("int").alias("score"), F.col("l_quantity").cast("int").alias("words"), (F.col("l_returnflag") == "R").alias("proof"), F.array(F.concat("l_linestatus", (F.col("l_suppkey") % 4).cast("string"))).alias("reqs"), F.array((F.col("l_partkey") % 3).cast("string")).alias("terms"))
+    orders = lines.select("l_orderkey", one.alias("c")).groupBy("l_orderkey").agg(F.collect_list("c").alias("cs"))
+    picked = review.picked_sentences(F.col("cs"), F.lit(40))
+    return orders.select("l_orderkey", F.array_join(picked, ",").alias("picked")).where("picked <> ''")
+
+
 _CV = """concat('Jo Doe', chr(10), CASE WHEN doc_id % 4 = 3 THEN 'Tel 12345678' ELSE 'Profile' END, chr(10), 'Senior project lead ', left(regexp_replace(coalesce(lang, ''), '[^a-z]', ''), 9), ' with a record of delivery across many markets.', chr(10), 'Second line.', chr(10),
   CASE WHEN doc_id % 5 = 4 THEN 'Other' ELSE 'Experience' END, chr(10), 'Lead | Firm | 2019 - now')"""
 

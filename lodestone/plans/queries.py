@@ -299,6 +299,15 @@ def stage_stats(spark, sf_dir):
     return search.stage_stats(jobs, _history(jobs))
 
 
+@query("stage_counters", ORACLE["stage_stats"])
+def stage_counters(spark, sf_dir):
+    """stage_stats() as counters of the search that writes the best postings."""
+    jobs = postings(spark, sf_dir)
+    told = search.searched(jobs, _history(jobs), keyed.shared_folder(spark, "best"), days=10_000)
+    names = ("fetched", "full_jd_verified", "deduplicated", "cheap_filter_passed", "full_jd_evaluated", "worthwhile")
+    return spark.createDataFrame([tuple(told[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 @query("detail_left_join", """SELECT d.doc_id, CASE WHEN p.page_id IS NULL THEN 'failed' WHEN length(p.html) < 1000 THEN 'incomplete' ELSE 'ok' END AS status, coalesce(p.url, d.source) AS origin
 FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id""")
 def detail_left_join(spark, sf_dir):

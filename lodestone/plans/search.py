@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import identity, rules, score
+from lodestone.operators.observed import counted
 from lodestone.sources.postings import CV, NOW
 
 
@@ -77,3 +78,21 @@ def stage_stats(jobs: DataFrame, history: DataFrame, most: int = 10, days: int =
     worth = F.col("discovered") & F.col("rule").isNull() & (F.col("verdict") != "Poor fit") & (F.col("history_status") != "SEEN")
     late = found.agg(F.count(F.lit(1)).alias("deduplicated"), n(F.col("discovered")).alias("cheap_filter_passed"), F.least(n(worth), F.lit(most)).alias("worthwhile"))
     return raw.crossJoin(late).select("fetched", "full_jd_verified", "deduplicated", "cheap_filter_passed", F.col("cheap_filter_passed").alias("full_jd_evaluated"), "worthwhile")
+
+
+def searched(jobs: DataFrame, history: DataFrame, out: str, most: int = 10, only_new: bool = True, days: int = 14, cv_text: str = CV) -> dict[str, int]:
+    """The best postings, written to ``out``, and the counters of the stages that they came through: one pass over the postings for both."""
+    verified = F.col("full_jd_verified") & (F.col("description") != "")
+    n = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    jobs, raw = counted(jobs, fetched=F.count(F.lit(1)), full_jd_verified=n(verified))
+    found, kept = counted(staged(jobs, SERVICE, days), deduplicated=F.count(F.lit(1)), cheap_filter_passed=n(F.col("discovered")))
+    found = found.withColumn("rule", F.when(F.col("discovered"), rules.exclusion_rule()))
+    found = identity.history_status(score.with_scores(found, cv_text), history)
+    worth = F.col("discovered") & F.col("rule").isNull() & (F.col("verdict") != "Poor fit")
+    worth = worth & (F.col("history_status") != "SEEN") if only_new else worth
+    new_first = F.when(F.col("history_status") == "NEW", 1).otherwise(0)
+    best = found.where(worth).orderBy(F.desc("total"), new_first.desc(), F.col("published_at").desc_nulls_last(), "pos").limit(most)
+    best, last = counted(best.select("pos", "fingerprint", "material_hash", "total", "verdict", "action", "history_status"), worthwhile=F.count(F.lit(1)))
+    best.write.mode("overwrite").parquet(out)
+    told = raw.get | kept.get | last.get
+    return told | {"full_jd_evaluated": told["cheap_filter_passed"]}

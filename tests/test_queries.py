@@ -10,7 +10,7 @@ import pytest
 from lodestone.plans import queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("customer", "nation", "orders", "part", "supplier", "events", "documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("customer", "lineitem", "nation", "orders", "part", "supplier", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
 
 @pytest.fixture(scope="module")

@@ -162,3 +162,33 @@ def test_snapshots(spark, tmp_path):
     for version in (1, 2, 10):
         history.snapshot(spark.createDataFrame([(str(version),)], "k string"), f"{tmp_path}/s", version)
     assert [r["k"] for r in history.latest_snapshot(spark, f"{tmp_path}/s", "k string").collect()] == ["10"]
+
+
+def _candidates(chance, n, kinds):
+    pool = [{"score": chance.randrange(1, 14), "words": chance.randrange(4, 45), "proof": chance.random() < 0.15, "reqs": chance.sample("abcdefgh", chance.randrange(0, 4)), "terms": chance.sample("tuvwxyz", chance.randrange(0, 3))} for _ in range(kinds)]
+    return [chance.choice(pool) | {"i": i} for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_combination_equals_all_of_them(seed):
+    import random
+
+    chance = random.Random(seed)
+    for _ in range(40):
+        cands = _candidates(chance, chance.randrange(0, 13), chance.choice([2, 40]))
+        words = chance.choice([10, 30, 100, 119, 130])
+        every = [review.Pick(words, c) for k in range(1, 5) for c in itertools.combinations(cands, k)]
+        every = [p for p in every if p.words <= review.MOST_WORDS]
+        proven = [p for p in every if p.proof or not any(c["proof"] for c in cands)]
+        pool = [p for p in proven if len(p.picked) >= min(2, len(cands))] or proven or every
+        want = min(pool, key=lambda p: (-p.score(), p.order())).order() if pool else []
+        assert review.chosen_sentences(cands, words) == want
+
+
+def test_best_combination_of_many_sentences():
+    """65 million combinations of 200 sentences: alike ones, and different ones."""
+    import random
+
+    for seed, kinds in ((1, 1), (2, 12), (3, 200)):
+        picked = review.chosen_sentences(_candidates(random.Random(seed), 200, kinds), 20)
+        assert 1 <= len(picked) <= review.MOST_SENTENCES
