@@ -8,13 +8,8 @@ a posting are the same for all readers: ``POSTING``.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from lodestone.functions import parse
 from lodestone.functions.text import clean_basic, clean_html, clean_html_lines, unescaped
@@ -94,34 +89,42 @@ def remote_ok(responses: DataFrame, now: int, days: int) -> DataFrame:
         status=F.when(is_old(F.col("published"), now, days), "old").when(link.isNull(), "no_link").when(F.length(body) < LEAST_JSON, "incomplete").otherwise("ok"))
 
 
-def listed(payload: object) -> Iterator[list]:
-    """All lists of a JSON value, depth first."""
-    if isinstance(payload, list):
-        yield payload
-    for item in payload if isinstance(payload, list) else payload.values() if isinstance(payload, dict) else ():
-        yield from listed(item)
-
+#: All lists and objects of JSON bodies, level by level. A path is the places from the outside in, members in the order in which they are written; texts that look like JSON stay texts.
+_WALK = """
+WITH RECURSIVE walk(id, path, json, kind) AS (
+  SELECT id, CAST(array() AS array<int>), body, left(schema_of_variant(try_parse_json(body)), 5) FROM {bodies}
+  UNION ALL
+  SELECT w.id, concat(w.path, array(c.pos)), c.col.json, left(schema_of_variant(c.col.v), 5)
+  FROM walk w, LATERAL posexplode(CASE
+    WHEN w.kind = 'ARRAY' THEN arrays_zip(from_json(w.json, 'array<string>'), from_json(w.json, 'array<variant>'))
+    ELSE arrays_zip(map_values(from_json(w.json, 'map<string, string>')), map_values(from_json(w.json, 'map<string, variant>'))) END) AS c
+  WHERE w.kind IN ('ARRAY', 'OBJEC') AND left(schema_of_variant(c.col.v), 5) IN ('ARRAY', 'OBJEC'))
+SELECT id, path, from_json(json, 'array<string>') AS texts, transform(from_json(json, 'array<variant>'), v -> left(schema_of_variant(v), 5) = 'OBJEC') AS objects,
+  from_json(json, 'array<variant>') AS items FROM walk WHERE kind = 'ARRAY'"""
 
-@F.pandas_udf(ArrayType(StringType()))
-def titled_rows(bodies: pd.Series) -> pd.Series:
-    """The objects of the first list of objects that have titles, each as JSON; unreadable bodies have none."""
 
-    def rows(body: str | None) -> list[str]:
-        try:
-            payload = json.loads(body or "null")
-        except ValueError:
-            return []
-        for items in listed(payload):
-            if items and all(isinstance(x, dict) for x in items[:3]) and any(isinstance(x, dict) and any(k in x for k in TITLE_KEYS) for x in items[:10]):
-                return [json.dumps(x) for x in items if isinstance(x, dict)]
-        return []
+def titled_rows(responses: DataFrame) -> DataFrame:
+    """responses: body. json: the objects of each body's first list of objects that have titles, wherever it stands; unreadable bodies have none.
 
-    return bodies.map(rows)
+    Lists are tried from the outside in and in the order in which they are written. The first three items have
+    to be objects, and one of the first ten has to have a title.
+    """
+    spark = responses.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # bodies are finite; rows are not to be cut
+    bodies = responses.select(F.monotonically_increasing_id().alias("id"), "body")
+    # zipped columns are named by their place
+    lists = spark.sql(_WALK.replace("c.col.json", "c.col.`0`").replace("c.col.v", "c.col.`1`"), bodies=bodies)
+    titled = lambda v: F.array_contains(F.array(*(F.try_variant_get(v, f"$.{k}", "variant").isNotNull() for k in TITLE_KEYS)), True)
+    named = F.exists(F.slice("items", 1, 10), titled)
+    fit = lists.where((F.size("items") > 0) & F.forall(F.slice("objects", 1, 3), lambda x: x) & named)
+    first = fit.groupBy("id").agg(F.min_by(F.struct("texts", "objects"), "path").alias("x"))
+    whole = F.filter(F.arrays_zip(F.col("x.texts").alias("json"), F.col("x.objects").alias("there")), lambda x: x["there"])
+    return first.select(F.explode(whole).alias("r")).select("r.json")
 
 
 def the_hub(responses: DataFrame) -> DataFrame:
     """responses: body; pages whose list of jobs may stand anywhere and whose fields have several names."""
-    rows = responses.select(F.explode(titled_rows("body")).alias("json")).withColumn("v", F.try_parse_json("json"))
+    rows = titled_rows(responses).withColumn("v", F.try_parse_json("json"))
     get = lambda *paths: first_of(*(F.try_variant_get("v", f"$.{p}", "string") for p in paths))
     title = clean_html(get(*TITLE_KEYS))
     company = clean_html(first_of(*(get(f"{o}.name", f"{o}.companyName") for o in ("company", "startup", "organization")), *(F.when(~x.startswith("{"), x) for x in (get("company"), get("startup"), get("organization"))), get("companyName"), F.lit("Employer")))

@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.sources import landed
+from lodestone.sources import boards, landed
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +65,43 @@ def test_what_is_landed_is_read(spark, tmp_path):
     landed.land(spark.createDataFrame(rows, "board string, id string, at string, body string"), f"file://{tmp_path}/x")
     assert sorted((r["id"], r["body"]) for r in landed.landed(spark, f"file://{tmp_path}/x").collect()) == [("1", "b"), ("2", None)]
     assert landed.landed(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def _plain_rows(body):
+    """The same by a plain walk."""
+
+    def lists(x):
+        if isinstance(x, list):
+            yield x
+        for item in x if isinstance(x, list) else x.values() if isinstance(x, dict) else ():
+            yield from lists(item)
+
+    try:
+        payload = json.loads(body or "null")
+    except ValueError:
+        return []
+    for items in lists(payload):
+        if items and all(isinstance(x, dict) for x in items[:3]) and any(isinstance(x, dict) and set(x) & set(boards.TITLE_KEYS) for x in items[:10]):
+            return [x for x in items if isinstance(x, dict)]
+    return []
+
+
+def test_recursive_finder_equals_a_plain_walk(spark):
+    import random
+
+    chance = random.Random(5)
+
+    def value(depth):
+        kind = chance.random()
+        if depth == 0 or kind < 0.25:
+            return chance.choice([1, None, True, "t", '[{"title": 1}]', "[1]", "{}", 2.5])
+        if kind < 0.6:
+            return [value(depth - 1) for _ in range(chance.randrange(5))]
+        return {k: value(depth - 1) for k in chance.sample(["zz", "title", "position", "a", "items", "name", "data"], chance.randrange(4))}
+
+    bodies = [json.dumps(value(5)) for _ in range(150)] + ["not json", None, "", "[]", '{"z": [{"title": null}], "a": [{"title": 2}]}', '[{"x": 1}, {"title": 1}, 3]', '[{"x": 1}, {"x": 2}, {"title": 3}, 4]']
+    for lot in (bodies[:80], bodies[80:]):
+        got = [json.loads(r["json"]) for r in boards.titled_rows(spark.createDataFrame([(b,) for b in lot], "body string")).collect()]
+        want = [x for b in lot for x in _plain_rows(b)]
+        key = lambda x: json.dumps(x, sort_keys=True)
+        assert sorted(map(key, got)) == sorted(map(key, want)) and want
