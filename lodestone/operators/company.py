@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clean_html
 from lodestone.operators import ranges
+from lodestone.operators.records import profession
+from lodestone.sources.boards import absolute
 
 # Industries that are sought, company types that are not, and free-mail hosts.
 TARGET_INDUSTRY = (
@@ -88,3 +92,33 @@ def page_links(pages: DataFrame, key: str, html: str) -> DataFrame:
     href = F.regexp_extract("tag", r"""(?is)href=["']([^"']+)["']""", 1)
     label = clean_html(F.regexp_extract("tag", r"(?is)^<a\b[^>]*>(.*?)</a>", 1))
     return out.select(key, "at", href.alias("href"), label.alias("label"))
+
+
+# What a link to an employer's openings says, and how many links are followed.
+CAREER = r"(careers?|jobs?|karriere|ledige[- ]?stillinger|vacancies|open[- ]?positions|join[- ]?us|work[- ]?with[- ]?us)"
+MOST_CAREER_LINKS, MOST_JOB_LINKS, LEAST_DESCRIPTION, MOST_DESCRIPTION = 8, 20, 500, 30_000
+
+
+def site_links(pages: DataFrame, key: str, base: str, html: str, keep: Callable[[Column, Column], Column], most: int) -> DataFrame:
+    """key, at, url, label: of the absolute links that ``keep`` (label, url) takes, each url of a page once, the first ``most``."""
+    links = page_links(pages.select(key, html), key, html).join(pages.select(key, F.col(base).alias("_base")), key)
+    links = links.select(key, "at", absolute(F.col("href"), F.col("_base")).alias("url"), "label").where(F.col("url").isNotNull() & keep(F.col("label"), F.col("url")))
+    first = links.groupBy(key, "url").agg(F.min("at").alias("at"), F.min_by("label", "at").alias("label"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("at"))
+    return first.withColumn("_n", place).where(F.col("_n") <= most).select(key, "at", "url", "label")
+
+
+def career_links(pages: DataFrame, key: str, base: str, html: str) -> DataFrame:
+    return site_links(pages, key, base, html, lambda label, url: F.concat_ws(" ", label, url).rlike("(?i)" + CAREER), MOST_CAREER_LINKS)
+
+
+def job_links(pages: DataFrame, key: str, base: str, html: str) -> DataFrame:
+    """Links whose label or address names a profession that is sought."""
+    spoken = lambda url: F.regexp_replace(F.coalesce(F.try_url_decode(url), url), "[-_/]+", " ")
+    return site_links(pages, key, base, html, lambda label, url: profession(label) | profession(spoken(url)), MOST_JOB_LINKS)
+
+
+def full_description(html: Column) -> Column:
+    """A page's text where it is long enough for a job description, cut at its greatest length; else ''."""
+    text = clean_html(html)
+    return F.when(F.length(text) >= LEAST_DESCRIPTION, F.left(text, F.lit(MOST_DESCRIPTION))).otherwise("")

@@ -714,4 +714,4 @@ def analysis_contract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", requirements.analysis_fault(text_).alias("fault"))
 
 
-from lodestone.plans import board_queries, web_queries  # noqa: E402, F401  these register their queries here
+from lodestone.plans import board_queries, record_queries, web_queries  # noqa: E402, F401  these register their queries here

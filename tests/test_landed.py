@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.sources import boards, landed
+from lodestone.operators import company
+from lodestone.sources import boards, cvs, landed
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +107,23 @@ def test_recursive_finder_equals_a_plain_walk(spark):
         want = [x for b in lot for x in _plain_rows(b)]
         key = lambda x: json.dumps(x, sort_keys=True)
         assert sorted(map(key, got)) == sorted(map(key, want)) and want
+
+
+def test_cv_files(spark, tmp_path):
+    body = "Jo Doe\r\nDelivery   lead\t of many projects.\n\n\n\n" + "Owned budgets and releases across regions. " * 4
+    for name, data in {"a cv.TXT": body.encode(), "short.txt": b"hello", "b.pdf": b"%PDF", "c.doc": b"x", "big.txt": b"x" * (cvs.MOST_BYTES + 1)}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = {r["file_name"]: r for r in cvs.scan(spark, f"file://{tmp_path}").collect()}
+    good = rows["a cv.TXT"]
+    assert good["fault"] is None and good["cv_text"].startswith("Jo Doe\n\nDelivery lead of many projects.\n\nOwned") and good["chars"] == len(good["cv_text"])
+    assert good["source_version"] == "sha256:" + hashlib.sha256(body.encode()).hexdigest() and good["file_type"] == "text/plain"
+    assert "8 MB" in rows["big.txt"]["fault"] and rows["big.txt"]["source_version"] is None
+    assert rows["b.pdf"]["fault"] == "not decoded" and "Legacy" in rows["c.doc"]["fault"] and "enough text" in rows["short.txt"]["fault"]
+
+
+def test_employer_links(spark):
+    html = "".join(f'<a href="{h}">{t}</a>' for h, t in [("/careers", "Work here"), ("careers", "again"), ("/careers#x", "Jobs"), ("mailto:jobs@x.dk", "Jobs"), ("/it-project-manager_2", "Open"), ("/x", "Delivery <b>Manager</b>"), ("/y", "Cook")] + [(f"/jobs/{i}", "j") for i in range(30)])
+    pages = spark.createDataFrame([(1, "https://firm.example/", html), (2, "https://firm.example/", None)], "id int, url string, html string")
+    career = company.career_links(pages, "id", "url", "html").orderBy("at").collect()
+    assert len(career) == company.MOST_CAREER_LINKS and career[0]["url"] == "https://firm.example/careers" and career[0]["label"] == "Work here"
+    assert [r["url"] for r in company.job_links(pages, "id", "url", "html").orderBy("at").collect()] == ["https://firm.example/it-project-manager_2", "https://firm.example/x"]
