@@ -264,3 +264,16 @@ def with_details(rows: DataFrame, details: DataFrame) -> DataFrame:
     out = rows.join(named, F.col("id") == F.col("_id"), "left")
     fresh = {c: F.coalesce(F.nullif(f"_{c}", F.lit("")), F.col(c)) for c in ("jd", "url", "location", "country", "deadline")}
     return out.withColumns(fresh).drop("_id", *(f"_{c}" for c in fresh))
+
+
+def local_board(rows: DataFrame, details: DataFrame, roles: list[str], now: int, days: int) -> DataFrame:
+    """rows: id and a posting's columns. The rows whose details are worth fetching, with what their details (id, pos of the row, jd, url, location, country, deadline) say.
+
+    The chosen rows are MOST_DETAILS at most, so both joins have a small side whose size Spark knows or finds out.
+    """
+    picked = worth_details(rows, roles, now, days).select("id", "pos")
+    full = rows.join(picked, ["id", "pos"])
+    own = details.join(picked, ["id", "pos"]).drop("pos")
+    missing = [c for c in ("url", "deadline") if c not in full.columns]
+    full = full.withColumns({c: F.lit(None).cast(details.schema[c].dataType) for c in missing})
+    return with_details(full, own).drop("id", *missing)

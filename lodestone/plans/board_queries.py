@@ -64,15 +64,22 @@ _EXCLUDED = " OR ".join([
     f"({_any(_low('title'), r'\b(coordinator|assistant)\b')} AND NOT {_any(_low('title'), r'\bmanager\b')})", " AND ".join(f"contains({_low(_TEXT)}, '{w}')" for w in ("scientific", "research", "discovery"))])
 _PLACE_OK = f"""CASE WHEN remote THEN {_any(_low('location'), r'\b(worldwide|anywhere|global)\b', r'\b(europe|european|emea|eu\b|denmark|nordic|scandinavia|cet|cest)\b', r'\bdenmark|copenhagen|danmark\b')}
   ELSE {_any("coalesce(country, '')", '^$|danmark|denmark')} END"""
-_MULTI = f"""WITH jobs AS ({_JOBS.format(jobs=DUCK_POSTINGS)}),
-aged AS (SELECT *, coalesce(greatest(0.0::DOUBLE, ({NOW} - posted_at)::DOUBLE / 86400.0::DOUBLE), 999.0::DOUBLE) AS age, {", ".join(f"{_fit(r)} AS f{i}" for i, r in enumerate(_ROLES))},
+
+
+def _judged_sql(jobs: str, x: str = "") -> str:
+    """Common table expressions that judge ``jobs``, up to named; ``x`` sets their names apart."""
+    return f"""jobs{x} AS ({jobs}),
+aged{x} AS (SELECT *, coalesce(greatest(0.0::DOUBLE, ({NOW} - posted_at)::DOUBLE / 86400.0::DOUBLE), 999.0::DOUBLE) AS age, {", ".join(f"{_fit(r)} AS f{i}" for i, r in enumerate(_ROLES))},
   CASE WHEN salary_currency <> 'DKK' OR salary_max_monthly IS NULL THEN 'unknown' WHEN salary_max_monthly < 65000 THEN 'below' WHEN coalesce(salary_min_monthly >= 65000, false) THEN 'pass' ELSE 'possible' END AS salary_status,
-  NOT remote AND ({" OR ".join(f"contains({_low('location')}, '{p}') OR contains('{p}', {_low('location')})" for p in ("lyngby", "copenhagen"))}) AS preferred FROM jobs),
-best AS (SELECT *, greatest({", ".join(f"f{i}" for i in range(len(_ROLES)))}) AS role_score FROM aged),
-named AS (SELECT *, CASE WHEN role_score = 0 THEN NULL {" ".join(f"WHEN f{i} = role_score THEN {duck.text(r)}" for i, r in enumerate(_ROLES))} END AS matched_role,
+  NOT remote AND ({" OR ".join(f"contains({_low('location')}, '{p}') OR contains('{p}', {_low('location')})" for p in ("lyngby", "copenhagen"))}) AS preferred FROM jobs{x}),
+best{x} AS (SELECT *, greatest({", ".join(f"f{i}" for i in range(len(_ROLES)))}) AS role_score FROM aged{x}),
+named{x} AS (SELECT *, CASE WHEN role_score = 0 THEN NULL {" ".join(f"WHEN f{i} = role_score THEN {duck.text(r)}" for i, r in enumerate(_ROLES))} END AS matched_role,
   CASE WHEN age > 14.25 THEN 'freshness' WHEN role_score < 45 THEN 'role' WHEN NOT {_PLACE_OK} THEN 'geography' WHEN {_EXCLUDED} THEN 'exclusion' WHEN salary_status = 'below' THEN 'salary' END AS reject,
   CAST(greatest(0, least(100, floor(role_score * 0.55::DOUBLE + CASE WHEN remote OR preferred THEN 20 ELSE 14 END + greatest(0, floor(15 - age / 14.0::DOUBLE * 10 + 0.5::DOUBLE))
-    + CASE salary_status WHEN 'pass' THEN 10 WHEN 'possible' THEN 7 WHEN 'unknown' THEN 4 ELSE 6 END + 0.5::DOUBLE))) AS INT) AS search_score FROM best)"""
+    + CASE salary_status WHEN 'pass' THEN 10 WHEN 'possible' THEN 7 WHEN 'unknown' THEN 4 ELSE 6 END + 0.5::DOUBLE))) AS INT) AS search_score FROM best{x})"""
+
+
+_MULTI = "WITH " + _judged_sql(_JOBS.format(jobs=DUCK_POSTINGS))
 
 
 @query("role_fit_argmax", f"{_MULTI} SELECT pos, matched_role AS role, role_score AS score FROM named")
@@ -109,6 +116,27 @@ def details_worth_fetching(spark, sf_dir):
     return multisource.worth_details(rows, _ROLES, NOW, 14).select("id", "pos")
 
 
+_HERE = """SELECT * FROM named0 WHERE NOT remote QUALIFY row_number() OVER (PARTITION BY pos % 1000 ORDER BY pos) = 1 AND age <= 14.25 AND role_score >= 45 ORDER BY role_score DESC, posted_at DESC, pos LIMIT 18"""
+_DETAILED = """SELECT pos, title, company, CASE WHEN pos % 3 = 0 THEN 'Kongens Lyngby' ELSE location END AS location, country, CASE WHEN pos % 4 = 3 THEN jd ELSE concat('Full text. ', jd) END AS jd, remote, posted_at, salary_currency, salary_min_monthly, salary_max_monthly FROM here"""
+
+
+@query("multi_source_search", f"""WITH {_judged_sql(_JOBS.format(jobs=DUCK_POSTINGS), "0")}, here AS ({_HERE}), {_judged_sql(f"SELECT pos, title, company, location, country, jd, remote, posted_at, salary_currency, salary_min_monthly, salary_max_monthly FROM jobs0 WHERE remote UNION ALL {_DETAILED}")}
+SELECT pos, location, left(jd, 10) AS opening, search_score FROM named WHERE reject IS NULL ORDER BY search_score DESC, posted_at DESC NULLS LAST, pos LIMIT 30""")
+def multi_source_search(spark, sf_dir):
+    """A local board, of which the best rows get their details, and a remote one; one board that is not there is reported and missed by no other."""
+    rows = _leg(spark, sf_dir)
+    keyed_rows = rows.withColumn("id", (F.col("pos") % 1000).cast("string"))
+    local = keyed_rows.where("NOT remote")
+    detail = F.when(F.col("pos") % 4 != 3, F.concat(F.lit("Full text. "), "jd")).otherwise("")
+    details = local.select(F.col("id"), "pos", detail.alias("jd"), F.lit(None).cast("string").alias("url"), F.when(F.col("pos") % 3 == 0, "Kongens Lyngby").alias("location"), F.lit("").alias("country"), F.lit(None).cast("timestamp").alias("deadline"))
+    sources = {
+        "local": lambda: multisource.local_board(local, details, multisource.role_list(PROFILE.roles), NOW, PROFILE.days),
+        "remote": lambda: rows.where("remote"), "gone": lambda: spark.read.schema(rows.schema).parquet(keyed.shared_folder(spark, "never-landed"))}
+    gathered = observed.Gathered({name: (lambda read=read: read().withColumn("status", F.lit("ok"))) for name, read in sources.items()})
+    found = multisource.results(multisource.judged(gathered.rows, PROFILE, NOW))
+    return found.select("pos", "location", F.left("jd", F.lit(10)).alias("opening"), "search_score")
+
+
 @query("combined_fit", f"""SELECT doc_id, score, CASE WHEN score >= 82 THEN 'STRONG FIT' WHEN score >= 68 THEN 'GOOD FIT' ELSE 'POSSIBLE FIT' END AS label FROM (SELECT doc_id, CAST(floor(0.68::DOUBLE * (n_chars % 101) + 0.32::DOUBLE * m + 0.5::DOUBLE) AS INT) AS score FROM (
   SELECT doc_id, n_chars, CASE WHEN n_chars % 6 = 0 THEN 50 ELSE greatest(35, least(98, CAST(floor(35 + 63 * (least(n_chars % 4, n_chars % 6)::DOUBLE / (n_chars % 6)::DOUBLE) + 0.5::DOUBLE) AS INT))) END AS m FROM documents))""")
 def combined_fit(spark, sf_dir):
