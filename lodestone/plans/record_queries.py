@@ -94,6 +94,30 @@ def lenient_json(spark, sf_dir):
     return docs.select("doc_id", F.try_variant_get(records.lenient_json(body), "$.t", "string").alias("text"))
 
 
+_LETTERS = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' '{g}))"
+#: What a model makes of a fact: shortened by half, with a number of its own, hardly changed, or in other words.
+_UPDATED = """CASE doc_id % 4 WHEN 0 THEN left(fact, CAST(floor(length(fact) * 0.5) AS INT)) WHEN 1 THEN concat(fact, ' in 777 days') WHEN 2 THEN concat(fact, ' too')
+  ELSE concat('delivered measurable results, namely ', trim(substr(fact, 21))) END"""
+_WORDS = "list_distinct(regexp_extract_all({x}, '[a-z0-9][a-z0-9+.#/-]{{2,}}'))"
+_A, _B = _WORDS.format(x="original"), _WORDS.format(x="updated")
+
+
+@query("accepted_changes", f"""WITH facts AS (SELECT doc_id, trim(left({_LETTERS.format(g=", 'g'")}, CAST(60 + doc_id % 140 AS INT))) AS fact FROM documents),
+made AS (SELECT doc_id, fact AS original, trim({_UPDATED}) AS updated FROM facts WHERE length(fact) >= 30),
+judged AS (SELECT *, len(list_intersect({_A}, {_B})) AS shared, len(list_distinct(list_concat({_A}, {_B}))) AS either, len(list_filter({_B}, lambda w: NOT list_contains({_A}, w) AND w IN ('delivered', 'measurable'))) AS fresh FROM made)
+SELECT doc_id, original, updated || '.' AS updated FROM judged WHERE doc_id % 4 <> 1 AND updated <> '' AND original <> updated AND length(updated) >= greatest(35, length(original) * 0.55::DOUBLE) AND length(updated) <= length(original) * 1.8::DOUBLE
+  AND (CASE WHEN either = 0 THEN 1.0 ELSE shared::DOUBLE / either END < 0.88::DOUBLE OR fresh >= 2)""")
+def accepted_changes(spark, sf_dir):
+    """Of every document a fact and a model's answer about it, in a fenced block: the changes that are grounded and mean something."""
+    rows = _built(spark, sf_dir, clean=_LETTERS.format(g="")).withColumn("fact", F.trim(F.expr("left(clean, CAST(60 + doc_id % 140 AS INT))"))).withColumn("updated", F.expr(_UPDATED))
+    change = F.struct(F.lit("FACT-001").alias("sourceId"), "updated", F.lit("").alias("why"), F.array(F.lit("delivery")).alias("termsAligned"))
+    unknown = F.struct(F.lit("FACT-009").alias("sourceId"), "updated", F.lit("").alias("why"), F.array(F.lit("delivery")).alias("termsAligned"))
+    body = F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct(F.array(unknown, change).alias("changes"))), F.lit("\n```"))
+    responses = rows.select("doc_id", F.lit("measurable work is delivered").alias("jd"), body.alias("body"))
+    facts = rows.select("doc_id", F.lit("FACT-001").alias("fact_id"), "fact", F.lit(1).alias("number"))
+    return records.accepted_changes(responses, facts, ["doc_id"]).select("doc_id", "original", "updated")
+
+
 # --- the searched flow
 
 _NOTICE = "CASE WHEN doc_id % 9 = 0 THEN '<b>No longer accepting applications</b>' ELSE '' END"
