@@ -6,6 +6,7 @@ uses them, and nothing is read again to be counted.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
@@ -22,6 +23,11 @@ def counted(frame: DataFrame, /, **counts: Column) -> tuple[DataFrame, Observati
     return frame.observe(seen, *(c.alias(name) for name, c in counts.items())), seen
 
 
+def fenced(frame: DataFrame) -> DataFrame:
+    """The same rows, with a counter below which no filter is pushed and into which no expression is drawn: what made their columns runs once, and where it stands."""
+    return frame.observe(f"fence-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 class Gathered:
     """Postings of several sources as one relation, with counters and a warning for each.
 

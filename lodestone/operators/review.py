@@ -15,6 +15,7 @@ from lodestone.functions.text import lines, matches, pattern
 from lodestone.operators import evidence, requirements
 from lodestone.operators.cv import SUMMARY_HEADING
 from lodestone.operators.evidence import clean_source
+from lodestone.operators.observed import fenced
 
 # Where a summary ends, what opens a sentence, what counts as proof, and the rewrites.
 SUMMARY_STOP = r"^(professional\s+experience|work\s+experience|experience|employment|career\s+history|skills|core\s+competenc(?:e|es|ies)|key\s+skills|technical\s+skills|education|certifications?|courses?)$"
@@ -259,7 +260,7 @@ def tailored_summaries(rows: DataFrame, keys: list[str]) -> DataFrame:
     out = out.withColumn("cands", F.transform("sentences", lambda s, i: candidate(s, i, F.col("required"), F.col("job_terms"))))
     out = out.withColumn("cands", F.filter("cands", lambda c: (c["i"] != F.col("at")) & (c["score"] > 0)))
     out = out.withColumn("own_words", words_in(F.col("identity")))
-    out = out.withColumn("_at", picked_sentences(F.transform("cands", lambda c: c.dropFields("sentence", "capable")), F.col("own_words")))
+    out = fenced(out.withColumn("_at", picked_sentences(F.transform("cands", lambda c: c.dropFields("sentence", "capable")), F.col("own_words"))))
     out = out.withColumn("picked", F.filter("cands", lambda c: F.array_contains("_at", c["i"])))
     ranked = F.transform(F.coalesce("picked", F.array().cast(out.schema["cands"].dataType)), lambda x: F.struct((~x["capable"]).alias("a"), (~x["proof"]).alias("b"), (-x["score"]).alias("c"), x["i"].alias("d"), x["sentence"].alias("s")))
     chosen = F.concat(F.array("identity"), F.transform(F.array_sort(ranked), lambda x: x["s"]))

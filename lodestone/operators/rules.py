@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import lexicon as L
 from lodestone.functions.automaton import categories_of, frozen
 from lodestone.functions.text import collapsed, contains_any, count_contained, matches, normal, sentences, term_count
+from lodestone.operators.observed import fenced
 
 
 def with_features(jobs: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def with_features(jobs: DataFrame) -> DataFrame:
     })
     whole = categories_of(F.col("text_n"), frozen(responsibilities=L.RESPONSIBILITY, technologies=L.TECHNOLOGY, evidence=L.EVIDENCE))
     body = categories_of(F.col("body_n"), frozen(technologies=L.TECHNOLOGY))
-    jobs = jobs.withColumns({"_whole": whole, "_body": body})
+    jobs = fenced(jobs.withColumns({"_whole": whole, "_body": body}))
     return jobs.select("*", "_whole.*", F.col("_body.technologies").alias("body_technologies")).drop("_whole", "_body")
 
 

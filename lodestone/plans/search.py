@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import identity, rules, score
-from lodestone.operators.observed import counted
+from lodestone.operators.observed import counted, fenced
 from lodestone.sources.postings import CV, NOW
 
 
@@ -43,10 +43,10 @@ def staged(jobs: DataFrame, policy: Policy = SERVICE, days: int = 14, now: int =
 
 def evaluated(jobs: DataFrame, cv_text: str = CV, policy: Policy = SERVICE) -> DataFrame:
     """Every discovered posting with rule, scores and verdict; an excluded one scores zero."""
-    # counted: a filter is not pushed below a counter, so the patterns that made a column do not run again to filter on it
-    found = counted(staged(jobs, policy), rows=F.count(F.lit(1)))[0]
+    # fenced, so that the patterns that made a column do not run again to filter on it
+    found = fenced(staged(jobs, policy))
     out = found.where("discovered").withColumn("rule", rules.exclusion_rule())
-    out = counted(score.with_scores(out, cv_text).drop("description", "title_n", "body_n", "text_n"), rows=F.count(F.lit(1)))[0]
+    out = fenced(score.with_scores(out, cv_text).drop("description", "title_n", "body_n", "text_n"))
     gone = F.col("rule").isNotNull()
     zero = {c: F.when(gone, 0).otherwise(F.col(c)) for c in ("responsibility", "experience", "geography", "career", "total")}
     out = out.withColumns(zero)
@@ -86,7 +86,7 @@ def searched(jobs: DataFrame, history: DataFrame, out: str, most: int = 10, only
     jobs, raw = counted(jobs, fetched=F.count(F.lit(1)), full_jd_verified=n(verified))
     found, kept = counted(staged(jobs, SERVICE, days), deduplicated=F.count(F.lit(1)), cheap_filter_passed=n(F.col("discovered")))
     found = found.withColumn("rule", F.when(F.col("discovered"), rules.exclusion_rule()))
-    found = counted(identity.history_status(score.with_scores(found, cv_text), history), scored=F.count(F.lit(1)))[0]
+    found = fenced(identity.history_status(score.with_scores(found, cv_text), history))
     worth = F.col("discovered") & F.col("rule").isNull() & (F.col("verdict") != "Poor fit")
     worth = worth & (F.col("history_status") != "SEEN") if only_new else worth
     new_first = F.when(F.col("history_status") == "NEW", 1).otherwise(0)

@@ -15,6 +15,7 @@ from lodestone.functions import lexicon as L
 from lodestone.functions.automaton import categories_of, frozen
 from lodestone.functions.text import clean_html_lines, contains_any, folded_dashes, matches, pattern
 from lodestone.operators import rules, score
+from lodestone.operators.observed import fenced
 
 RESPONSIBILITY = L.RESPONSIBILITY | {"end_to_end": [L.WEB_END_TO_END, *L.RESPONSIBILITY["end_to_end"][1:]]}
 MOST_DETAILS, MOST_RESULTS, LEAST_CV = 24, 10, 100
@@ -35,7 +36,7 @@ def with_features(jobs: DataFrame) -> DataFrame:
     jobs = jobs.withColumns({"title_n": web_text(F.col("title")), "body_n": web_text(F.col("description")), "text_n": web_text(F.concat_ws(" ", "title", "description"))})
     whole = categories_of(F.col("text_n"), frozen(responsibilities=RESPONSIBILITY, technologies=L.TECHNOLOGY, evidence=L.EVIDENCE))
     body = categories_of(F.col("body_n"), frozen(technologies=L.TECHNOLOGY, responsibilities=RESPONSIBILITY))
-    jobs = jobs.withColumns({"_whole": whole, "_body": body})
+    jobs = fenced(jobs.withColumns({"_whole": whole, "_body": body}))
     return jobs.select("*", "_whole.*", *(F.col(f"_body.{c}").alias(f"body_{c}") for c in ("technologies", "responsibilities"))).drop("_whole", "_body")
 
 
@@ -67,8 +68,8 @@ def evaluated(jobs: DataFrame, cv: str, days: int, now: int) -> DataFrame:
         raise ValueError("Source CV text is required for evaluation.")
     kept = with_features(jobs.where(F.coalesce(F.col("published_at") >= now - days * 86400 - 21600, F.lit(True))))
     found = contains_any(F.col("title_n"), dict.fromkeys(w.lower() for w in L.DISCOVERY_TITLES)) | ((F.size("body_technologies") >= 2) & (F.size("body_responsibilities") >= 2))
-    kept = kept.withColumns({"found": found, "rule": exclusion_rule()}).where("found").withColumn("reason", rules.reason(F.col("rule")))
-    out = score.match_and_gaps(score.with_scores(kept, cv, WORDING), WORDING)
+    kept = fenced(kept.withColumns({"found": found, "rule": exclusion_rule()})).where("found").withColumn("reason", rules.reason(F.col("rule")))
+    out = fenced(score.match_and_gaps(score.with_scores(kept, cv, WORDING), WORDING))
     gone = F.col("rule").isNotNull()
     out = out.withColumns({c: F.when(gone, 0).otherwise(F.col(c)) for c in ("responsibility", "experience", "geography", "career", "total")})
     return out.withColumns({"verdict": score.verdict(F.col("total"), 1), "action": score.verdict(F.col("total"), 2)})
