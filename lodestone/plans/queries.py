@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import lexicon as L
 from lodestone.functions import parse, text
+from lodestone.functions.automaton import categories_of, frozen
 from lodestone.operators import company, cv, evidence, identity, ranges, requirements, rules, score
 from lodestone.plans import duck, search
 from lodestone.sources.postings import CV, NOW, POSTINGS_SQL, job_postings, postings, table
@@ -96,7 +97,10 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flagship_topk", WITH + f"SELECT pos, CAST({_RESPONSIBILITY} AS DOUBLE) / 10.0 AS score FROM features ORDER BY {_RESPONSIBILITY} DESC, pos LIMIT 10")
 def flagship_topk(spark, sf_dir):
-    scored = features(spark, sf_dir).select("pos", score.responsibility().alias("tenths"))
+    # of the features only what is ranked by
+    jobs = postings(spark, sf_dir).select("pos", text.normal(F.concat_ws(" ", "title", "description")).alias("text_n"))
+    found = jobs.select("pos", categories_of(F.col("text_n"), frozen(responsibilities=L.RESPONSIBILITY)).alias("found")).select("pos", "found.*")
+    scored = found.select("pos", score.responsibility().alias("tenths"))
     return scored.orderBy(F.desc("tenths"), "pos").limit(10).select("pos", score.points(F.col("tenths")).alias("score"))
 
 
