@@ -5,15 +5,16 @@ are removed. Sparse suffix arrays do the search. Each window's suffix is taken a
 place in the window where the hash of 16 bytes is least (leftmost of equals), which depends on the
 window's bytes alone, so equal windows have anchors at equal distances. Of a window's bytes, at
 least half lie after its anchor or at least half before it; an anchor is therefore filed twice, by
-the ``HALF`` bytes that follow and, for the reversed text, by the ``HALF`` bytes before. A suffix
-array is a stored table of these entries in suffix order: by their first sixteen bytes, suffixes that
-agree in those by the hash of all ``HALF``, and equal ones by their place. Suffixes with a common prefix
-of ``HALF`` bytes are therefore neighbours, and one that a third of all rows share spreads over partitions.
-
-The corpus comes in batches (by a hash of the row; a few more the larger it is). Each gets its suffix
-array, which is merge-scanned with every level of the family (``Family``) in one ordered pass that looks
-at neighbours; levels of equal size merge, so a corpus of n batches has at most log2(n) + 1 levels and an
-entry is rewritten as often. A later session can open the family and scan further batches against it.
+the ``HALF`` bytes that follow and, for the reversed text, by the ``HALF`` bytes before. Entries stand in suffix
+order: by their first sixteen bytes, suffixes that agree in those by the hash of all ``HALF``, and equal ones by
+their place. Suffixes with a common prefix of ``HALF`` bytes are therefore neighbours, and one that a third of all
+rows share spreads over partitions. A suffix array is a stored table of the distinct keys in that order, in packed segments.
+
+The corpus comes in batches (by a hash of the row; a few more the larger it is). Each is sorted once, in a pass that
+decides which of its own entries have neighbours. Its suffix array is then merge-scanned with every level of the
+family (``Family``): segments that overlap are searched in each other, so no entry of an old level is sorted or dealt
+out again. Levels of equal size merge by one streaming merge of their segments, so a corpus of n batches has at
+most log2(n) + 1 levels and an entry is rewritten as often. A later session can open the family and scan further batches.
 Anchors that the scans find mark the windows to be confirmed. Where the bytes of all windows of an anchor
 occur again as a whole, they all are; the windows of other anchors go by the hash of all their bytes
 through the packed search of positions.py, against one anchor for each context that occurs again.
@@ -127,63 +128,124 @@ def in_order(entries: DataFrame) -> DataFrame:
     return entries.repartitionByRange(shuffle_partitions(entries.sparkSession), *ORDER).sortWithinPartitions(*ORDER)
 
 
-MET, EDGE, OPEN = 0, 1, 2
+MET, EDGE, OPEN, KEYS = 0, 1, 2, 3
+SEGMENT_COLUMNS = "part int, n int, first binary, last binary, packed binary"
+SCANNED = f"kind int, {ENTRY}, {SEGMENT_COLUMNS}"
+SEGMENT, LEAST_PART, MOST_PARTS, MANY = 1 << 14, 2048, 1 << 12, -1
+NAME = "S24"
+
+
+def names_of(one: np.ndarray, two: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Suffix keys as 24 bytes that compare as the three numbers do."""
+    out = np.empty((len(one), 24), np.uint8)
+    for i, part in enumerate((one, two, key)):
+        out[:, 8 * i : 8 * i + 8] = (part.view(np.uint64) ^ _U(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.reshape(-1).view(NAME)
+
+
+def told(kind: int, part: pa.RecordBatch) -> pa.RecordBatch:
+    n = part.num_rows
+    empty = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *part.columns, *empty], ["kind", *ORDER, "part", "n", "first", "last", "packed"])
 
 
 class Group:
-    """The group that a partition's scan stands in: how many entries, whether one is new, and those not yet told."""
+    """The group that a partition's scan stands in: how many entries, and the one not yet told."""
 
     def __init__(self, at_start: bool):
-        self.n, self.new, self.at_start, self.held = 0, False, at_start, []
+        self.n, self.at_start, self.held = 0, at_start, []
 
     def take(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         self.n += part.num_rows
-        self.new |= bool(pc.max(part.column("new")).as_py())
         self.held.append(part)
-        if self.n > 1:  # decided; several old ones have met each other when the later one was new
-            if self.new:
-                yield from (told(MET, x) for x in self.held)
+        if self.n > 1:
+            yield from (told(MET, x) for x in self.held)
             self.held = []
 
     def close(self, last: pa.RecordBatch, at_end: bool) -> Iterator[pa.RecordBatch]:
         if self.at_start or at_end:
-            yield told(EDGE, last.slice(last.num_rows - 1).set_column(last.num_columns - 1, "new", pa.array([int(self.new)], pa.int32())))
+            yield told(EDGE, last.slice(last.num_rows - 1))
             yield from (told(OPEN, x) for x in self.held)
 
 
-def told(kind: int, part: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, kind, np.int32)), *part.columns], ["kind", *ORDER, "new"])
+class Segments:
+    """Distinct keys that come in order, packed into segments that end at the bounds of parts.
+
+    A key with one entry goes with its place, a key with more with MANY: its entries have met.
+    """
 
+    def __init__(self, bounds: np.ndarray, size: int):
+        self.bounds, self.size, self.chunks, self.n = bounds, size, [], 0
 
-def scan(pool: DataFrame) -> DataFrame:
-    """One pass over entries (and new: 1 or 0) in suffix order: rid, place of those that share a long prefix with a neighbour, where a new one takes part.
+    def add(self, names: np.ndarray, rid: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
+        if self.chunks and len(names) and self.chunks[-1][0][-1] == names[0]:  # goes on
+            self.chunks[-1][2][-1] = MANY
+            names, rid, place = names[1:], rid[1:], place[1:]
+        if len(names):
+            self.chunks.append((names, rid, place.copy()))
+            self.n += len(names)
+        if self.n >= self.size:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple]:
+        """part, n, first, last, packed of each segment."""
+        if not self.chunks:
+            return
+        names, rid, place = (np.concatenate(x) for x in zip(*self.chunks, strict=True))
+        self.chunks, self.n = [], 0
+        part = np.searchsorted(self.bounds, names, "right")
+        cuts = np.union1d(np.flatnonzero(part[1:] != part[:-1]) + 1, np.arange(0, len(names), self.size)).tolist()
+        for i, j in zip(cuts, [*cuts[1:], len(names)], strict=True):
+            # byte by byte, so that what neighbours share is packed well
+            planes = names[i:j].view(np.uint8).reshape(-1, 24).T.tobytes()
+            yield int(part[i]), j - i, bytes(names[i]), bytes(names[j - 1]), planes + rid[i:j].astype("<i8").tobytes() + place[i:j].astype("<i4").tobytes()
+
+
+def unpacked(raw: pa.Buffer, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    names = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 24 * n).reshape(24, n).T).reshape(-1).view(NAME)
+    return names, np.frombuffer(raw, "<i8", n, 24 * n), np.frombuffer(raw, "<i4", n, 32 * n)
+
+
+def segment_rows(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    for values in found:
+        columns = [pa.array([KEYS], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.int32()), *(pa.array([v], t) for v, t in zip(values, types, strict=True))]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", *ORDER, "part", "n", "first", "last", "packed"])
+
+
+def scan(batch: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """One pass over a batch's entries in suffix order: those that met a neighbour (MET), what the partitions' ends leave open (EDGE, OPEN), and the distinct keys (KEYS), a suffix array in packed segments.
 
     Neighbours that agree in 16 bytes and in the hash of ``HALF`` have a common prefix of ``HALF`` bytes or
     more and form a group. A group inside a partition is decided there. The groups at its two ends may go
     on in the next partition: their keys are gathered, two rows a partition, and a single entry waits for
-    the answer. No more than a batch is held, however long a group is.
+    the answer. No more than a batch of rows and a segment are held, however long a group is.
     """
+    most = SEGMENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, last = None, None
+        group, last, before, segments = None, None, None, Segments(bounds, most)
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            other = np.zeros(batch.num_rows, bool)
-            for c in ("one", "two", "key"):
-                values = batch.column(c).to_numpy()
-                other[1:] |= values[1:] != values[:-1]
-                other[0] |= group is None or last.column(c)[last.num_rows - 1].as_py() != values[0]
+            one, two, key, rid, place = (batch.column(c).to_numpy() for c in ORDER)
+            names = names_of(one, two, key)
+            other = np.ones(n, bool)
+            other[1:] = names[1:] != names[:-1]
+            other[0] = group is None or names[0] != before
             head = np.flatnonzero(other)
-            cut = int(head[0]) if len(head) else batch.num_rows
+            runs = head if other[0] else np.concatenate([[0], head])
+            lengths = np.diff(np.append(runs, n))
+            yield from segment_rows(segments.add(names[runs], rid[runs], np.where(lengths > 1, MANY, place[runs]).astype(np.int32)))
+            cut = int(head[0]) if len(head) else n
             if cut:
                 yield from group.take(batch.slice(0, cut))
             if len(head):
                 if group is not None:
                     yield from group.close(batch.slice(0, cut) if cut else last, False)
-                size = np.diff(np.append(head, batch.num_rows))
-                new = batch.column("new").to_numpy()
-                good = (size > 1) & (np.maximum.reduceat(new, head) > 0)
+                size = np.diff(np.append(head, n))
+                good = size > 1
                 good[-1] = False  # may go on
                 start = 0
                 if group is None and len(head) > 1:  # the partition's first group ends here
@@ -191,33 +253,103 @@ def scan(pool: DataFrame) -> DataFrame:
                     yield from opening.take(batch.slice(0, int(head[1])))
                     yield from opening.close(batch.slice(0, int(head[1])), False)
                     good[0], start = False, 1
-                inner = np.flatnonzero(np.repeat(good, size)) + int(head[0])
+                inner = np.flatnonzero(np.repeat(good, size)) + cut
                 if len(inner):
                     yield told(MET, batch.take(pa.array(inner)))
                 group = Group(group is None and not start)
                 yield from group.take(batch.slice(int(head[-1])))
-            last = batch
+            last, before = batch, names[-1]
         if group is not None:
             yield from group.close(last, True)
+        yield from segment_rows(segments.flush())
+
+    return in_order(batch.select(*ORDER)).mapInArrow(run, SCANNED)
 
-    seen = written(in_order(pool.select(*ORDER, "new")).mapInArrow(run, f"kind int, {ENTRY}, new int"), "suffix-scan")
-    # a key at an edge is met if two partitions have it, one of them with a new entry; two rows a partition are few enough to broadcast
-    edges = seen.where(F.col("kind") == EDGE).groupBy("one", "two", "key").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("any_new"))
-    edges = edges.where("n > 1 AND any_new > 0").select("one", "two", "key")
+
+def met_inside(seen: DataFrame) -> DataFrame:
+    """rid, place of the entries of scan() that share a long prefix with another of their batch."""
+    # a key at an edge is met if two partitions have it; two rows a partition are few enough to broadcast
+    edges = seen.where(F.col("kind") == EDGE).groupBy("one", "two", "key").agg(F.count(F.lit(1)).alias("ends"))
+    edges = edges.where("ends > 1").select("one", "two", "key")
     waiting = seen.where(F.col("kind") == OPEN).join(F.broadcast(edges), ["one", "two", "key"], "left_semi")
     return seen.where(F.col("kind") == MET).select("rid", "place").unionByName(waiting.select("rid", "place"))
 
 
+def met_between(fresh: DataFrame, levels: DataFrame) -> DataFrame:
+    """rid, place of the single entries of either side whose key the other has.
+
+    Segments of one part whose ranges overlap are merge-scanned; both are stored in order, so no entry is moved or sorted again.
+    """
+    ours, theirs = (side.select("part", *(F.col(c).alias(f"{c}{i}") for c in ("n", "first", "last", "packed"))) for i, side in ((1, fresh), (2, levels)))
+    pairs = theirs.join(ours.hint("shuffle_hash"), "part").where("first1 <= last2 AND first2 <= last1").select("n1", "packed1", "n2", "packed2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n1, raw1, n2, raw2 in zip(*batch.columns, strict=True):
+                one, two = unpacked(raw1.as_buffer(), n1.as_py()), unpacked(raw2.as_buffer(), n2.as_py())
+                for (names, rid, place), others in ((one, two[0]), (two, one[0])):
+                    at = np.minimum(np.searchsorted(others, names), len(others) - 1)
+                    hit = np.flatnonzero((others[at] == names) & (place != MANY))
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([pa.array(rid[hit]), pa.array(place[hit])], ["rid", "place"])
+
+    return pairs.mapInArrow(run, "rid long, place int")
+
+
+def merged(segments: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """The segments of several levels as those of one. Segments come by their first keys; keys before the next first are final."""
+    most = SEGMENT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, out = None, None, Segments(bounds, most)
+
+        def settled(upto: int) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            names, rid, place = (x[:upto] for x in held)
+            held = tuple(x[upto:] for x in held)
+            if upto:
+                other = np.concatenate([[True], names[1:] != names[:-1]])
+                head = np.flatnonzero(other)
+                many = np.diff(np.append(head, upto)) > 1
+                yield from segment_rows(out.add(names[head], rid[head], np.where(many, MANY, place[head]).astype(np.int32)))
+
+        for batch in batches:
+            for own, n, first, raw in zip(*(batch.column(c) for c in ("part", "n", "first", "packed")), strict=True):
+                if held is not None:
+                    yield from settled(int(np.searchsorted(held[0], np.array([first.as_py()], NAME))[0]) if own.as_py() == part else len(held[0]))
+                part, more = own.as_py(), unpacked(raw.as_buffer(), n.as_py())
+                both = more if held is None else tuple(np.concatenate(x) for x in zip(held, more, strict=True))
+                order = np.argsort(both[0], kind="stable")  # two runs in order: one merge
+                held = tuple(x[order] for x in both)
+        if held is not None:
+            yield from settled(len(held[0]))
+        yield from segment_rows(out.flush())
+
+    rows = segments.repartition(shuffle_partitions(segments.sparkSession), "part").sortWithinPartitions("part", "first")
+    return rows.select("part", "n", "first", "packed").mapInArrow(run, SCANNED)
+
+
+def bounds_of(entries: DataFrame) -> np.ndarray:
+    """Where the parts of a family end: every eighth of a hash sample of some 8 * MOST_PARTS distinct keys at most."""
+    parts = min(MOST_PARTS, (n := entries.count()) // LEAST_PART)
+    if parts < 2:
+        return np.zeros(0, NAME)
+    sample = entries.where(F.pmod(F.xxhash64("one", "two", "key"), F.lit(max(1, n // (8 * parts)))) == 0).select("one", "two", "key").distinct().collect()
+    columns = [np.array([r[i] for r in sample], np.int64) for i in range(3)]
+    return np.sort(names_of(*columns))[4::8]
+
+
 class Family:
-    """A logarithmic family of suffix arrays in a folder: levels of stored, ordered entries, at most one of each size but the newest.
+    """A logarithmic family of suffix arrays in a folder: levels of packed, ordered segments of distinct keys, at most one of each size but the newest.
 
     A new batch gets its suffix array, is merge-scanned against all levels, and becomes a level; levels of
-    equal size merge first. The list of levels is a small table of its own for each state, written last, so
-    that ``Family.open`` finds the newest whole state, in this session or a later one.
+    equal size merge first. Segments end at the bounds of parts, which the first batch sets, so that a batch's
+    segments meet those of the same part only, and what is in order stays so. The list of levels is a small table
+    of its own for each state, written last, so that ``Family.open`` finds the newest whole state, in this session or a later one.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, levels: list[tuple[int, str]], state: int):
-        self.spark, self.folder, self.levels, self.state = spark, folder, levels, state
+    def __init__(self, spark: SparkSession, folder: str, levels: list[tuple[int, str]], state: int, bounds: np.ndarray | None = None):
+        self.spark, self.folder, self.levels, self.state, self.bounds = spark, folder, levels, state, bounds
 
     @classmethod
     def new(cls, spark: SparkSession, folder: str | None = None) -> Family:
@@ -229,29 +361,34 @@ class Family:
         states = spark.read.parquet(f"{folder}/states/*")
         state = states.agg(F.max("state")).first()[0]
         rows = states.where(F.col("state") == state).orderBy("at").collect()  # a row for each level
-        return cls(spark, folder, [(r["size"], r["path"]) for r in rows], state)
+        return cls(spark, folder, [(r["size"], r["path"]) for r in rows], state, np.frombuffer(bytes(rows[0]["bounds"]), NAME))
 
-    def _stored(self, entries: DataFrame) -> str:
+    def _stored(self, rows: DataFrame) -> str:
         path = f"{self.folder}/level-{uuid.uuid4().hex}"
-        in_order(entries).write.option("compression", "zstd").parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
         return path
 
     def level(self, path: str) -> DataFrame:
-        return self.spark.read.schema(ENTRY).parquet(path)
+        return self.spark.read.schema(SCANNED).parquet(path).where(F.col("kind") == KEYS).select("part", "n", "first", "last", "packed")
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Merge-scan the entries of a batch against all levels, then take them in. rid, place of those that met, old ones too."""
+        if self.bounds is None:
+            self.bounds = bounds_of(batch)
         levels = list(self.levels)
         while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
             (n, one), (m, two) = levels.pop(), levels.pop()
-            levels.append((n + m, self._stored(self.level(one).unionByName(self.level(two)))))
-        fresh = self._stored(batch)
-        pool = self.level(fresh).withColumn("new", F.lit(1))
-        for _, path in levels:
-            pool = pool.unionByName(self.level(path).withColumn("new", F.lit(0)))
-        found = written(scan(pool).distinct(), "suffix-found")
+            levels.append((n + m, self._stored(merged(self.level(one).unionByName(self.level(two)), self.bounds))))
+        fresh = self._stored(scan(batch, self.bounds))
+        found = met_inside(self.spark.read.schema(SCANNED).parquet(fresh))
+        if levels:
+            known = self.level(levels[0][1])
+            for _, path in levels[1:]:
+                known = known.unionByName(self.level(path))
+            found = found.unionByName(met_between(self.level(fresh), known))
+        found = written(found.distinct(), "suffix-found")
         levels.append((1, fresh))
-        state = self.spark.createDataFrame([(self.state + 1, i, n, path) for i, (n, path) in enumerate(levels)], "state int, at int, size int, path string")
+        state = self.spark.createDataFrame([(self.state + 1, i, n, path, self.bounds.tobytes()) for i, (n, path) in enumerate(levels)], "state int, at int, size int, path string, bounds binary")
         state.coalesce(1).write.parquet(f"{self.folder}/states/{self.state + 1}")
         self.levels, self.state = levels, self.state + 1
         return found

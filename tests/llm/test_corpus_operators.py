@@ -147,27 +147,39 @@ def test_suffix_levels_are_exact(spark, batches):
     assert sorted(map(tuple, got), key=str) == sorted(((d, *w) for (d, _), w in zip(rows, want, strict=True)), key=str)
 
 
-def test_merge_scan_finds_groups_over_partitions(spark):
-    """Keys with one row, several, and very many, new and old, cut anywhere by the partitions."""
+def test_merge_scan_finds_groups_over_partitions(spark, monkeypatch):
+    """Keys with one row, several, and very many, in one batch and over batches, cut anywhere by partitions, segments and parts."""
     rng = np.random.default_rng(3)
-    keys = [*range(60), *rng.integers(60, 90, 300).tolist(), *[95] * 700, *range(100, 130)]
-    rows = [(k // 50, k // 10, k, i, 1, int(k not in (95,) and rng.random() < 0.4)) for i, k in enumerate(keys)]
-    rows += [(1, 9, 95, 10_000, 1, 1), (2, 12, 125, 10_001, 1, 1)]
-    pool = spark.createDataFrame(rows, "one long, two long, key long, rid long, place int, new int")
-    count, fresh = Counter(r[2] for r in rows), {r[2] for r in rows if r[5]}
-    met = {r[3] for r in rows if count[r[2]] > 1 and r[2] in fresh}
-    old = {r[3] for r in rows if not r[5] and sum(1 for x in rows if x[2] == r[2] and not x[5]) > 1}  # these have met before
+    keys = [*range(60), *rng.integers(60, 90, 300).tolist(), *[95] * 700, *range(100, 130), 97, 97, 125]
+    batch = rng.integers(0, 5, len(keys)).tolist()
+    rows = [(k // 50 - 1, -(k // 10), k - 64, i, i % 7, batch[i]) for i, k in enumerate(keys)]
+    pool = spark.createDataFrame(rows, "one long, two long, key long, rid long, place int, batch int")
+    count = Counter(keys)
+    met = {(i, i % 7) for i, k in enumerate(keys) if count[k] > 1}
+    monkeypatch.setattr(suffix_index, "SEGMENT", 16)
+    monkeypatch.setattr(suffix_index, "LEAST_PART", 20)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
         for parts in (1, 4, 13):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            got = {r["rid"] for r in suffix_index.scan(pool).collect()}
-            assert got <= met and met - got <= old
+            family, got = suffix_index.Family.new(spark), set()
+            for b in range(5):
+                got |= set(map(tuple, family.add(pool.where(f"batch = {b}").drop("batch")).collect()))
+            assert got == met and [n for n, _ in family.levels] == [4, 1] and len(family.bounds) > 1
+            held = [r["n"] for _, path in family.levels for r in family.level(path).collect()]
+            assert len(set(keys)) <= sum(held) <= 2 * len(set(keys)) + 26 and max(held) <= 16
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_old_levels_are_not_sorted_again(spark):
+    """The plans of a merge scan and of a merge have no sort of entries, and none of any kind in a scan."""
+    level = spark.createDataFrame([(0, 1, b"a", b"b", b"")], suffix_index.SEGMENT_COLUMNS)
+    plan = suffix_index.met_between(level, level)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan and "rangepartitioning" not in plan
+
+
 def test_suffix_family_is_opened_again(spark, tmp_path):
     """Batches that come one by one to a family on disk find what all batches at once hold."""
     rows = corpus()
