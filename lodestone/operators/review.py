@@ -48,7 +48,8 @@ def replaced(text: Column, regex: str, by: str, once: bool = True) -> Column:
 
 
 def ended(text: Column) -> Column:
-    return F.when((text == "") | text.rlike("[.!?]$"), text).otherwise(F.concat(text, F.lit(".")))
+    # in an array of one, so that what makes the text stands in the expression once
+    return F.transform(F.array(text), lambda t: F.when((t == "") | t.rlike("[.!?]$"), t).otherwise(F.concat(t, F.lit("."))))[0]
 
 
 def conservative(text: Column) -> Column:
@@ -91,7 +92,7 @@ def bullet_changes(facts: DataFrame, keys: list[str], wanted: str = "wanted") ->
 
     The rewrites follow one another in the order of the catalogue, each on what the last has left.
     """
-    rows = facts.withColumns({"original": clean_source(F.col("fact")), "shown": requirements.shown_by(F.col("fact"))})
+    rows = fenced(facts.withColumns({"original": clean_source(F.col("fact")), "shown": requirements.shown_by(F.col("fact")), "tight": conservative(F.col("fact"))}))
     names = F.filter(F.array(*map(F.lit, LABELS)), lambda n: F.array_contains(wanted, n) & F.array_contains("shown", n))
 
     def step(done: Column, name: Column) -> Column:
@@ -102,14 +103,15 @@ def bullet_changes(facts: DataFrame, keys: list[str], wanted: str = "wanted") ->
         # an array of one, so that the rewrite stands in the expression once
         return F.transform(F.array(chain), lambda after: F.struct(after.alias("text"), F.when(after != text, F.concat(done["applied"], F.array(name))).otherwise(done["applied"]).alias("applied")))[0]
 
-    start = F.struct(conservative(F.col("fact")).alias("text"), F.array().cast("array<string>").alias("applied"))
+    start = F.struct(F.col("tight").alias("text"), F.array().cast("array<string>").alias("applied"))
     labels = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
 
     def finish(done: Column) -> Column:
         tidy = ended(F.trim(F.regexp_replace(F.regexp_replace(done["text"], r"\s+,", ","), r"\s+", " ")))
         return F.struct(tidy.alias("updated"), F.transform(done["applied"], lambda n: F.element_at(labels, n)).alias("requirements"))
 
-    out = rows.withColumn("change", F.aggregate(names, start, step, finish)).select(*keys, "original", "change.*")
+    # fenced, or the filter below would make the change again
+    out = fenced(rows.withColumn("change", F.aggregate(names, start, step, finish))).select(*keys, "original", "change.*")
     return out.where(F.col("updated") != ended(F.col("original")))
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import company, records
-from lodestone.plans import flow
+from lodestone.operators import company, records, review
+from lodestone.plans import duck, flow
 from lodestone.plans.board_queries import _CARDS, _PLAIN, _any, _basic, _built
-from lodestone.plans.queries import DUCK_POSTINGS, _duck_clean, _duck_lines, query
+from lodestone.plans.queries import DUCK_POSTINGS, _duck_catalog, _duck_clean, _duck_lines, query
 from lodestone.sources.postings import CV, NOW, postings, table
 
 # --- employers
@@ -118,6 +118,63 @@ def accepted_changes(spark, sf_dir):
     return records.accepted_changes(responses, facts, ["doc_id"]).select("doc_id", "original", "updated")
 
 
+# --- rewrites of facts
+
+#: What is put before a text, so that each rewrite has something to do.
+_OPENINGS = (
+    "Led the delivery of tools, worked closely with teams in order to help", "Managed integration and vendor dependencies in the delivery lifecycle", "Owned release readiness and production cutover",
+    "Ran international project teams across Denmark and India", "Kept risks, dependencies; risk, dependencies", "Drove program delivery governance helping to maintain scope", "Programme backlog governance and regulatory reporting",
+    "Agile/Hybrid execution of a full lifecycle", "release readiness for go-live , delivery risks and dependencies", "Handled API integration and dependency risk in distributed international teams",
+)
+_OPENED = "concat(" + duck.cases([(f"doc_id % {len(_OPENINGS)} = {i}", duck.text(o)) for i, o in enumerate(_OPENINGS)]) + ", ' ', {letters})"
+
+
+def _rewrites_sql() -> str:
+    """The rewrites of bullets one after the other, each a step over the rows that the last has left."""
+    has = lambda *regexes: " AND ".join(f"regexp_matches(text, {duck.text('(?is)' + r)})" for r in regexes)
+    no = lambda regex: f"NOT {has(regex)}"
+    by = lambda regex, to, of="text": f"regexp_replace({of}, {duck.text(regex)}, {duck.text(to)}, 'i')"
+    programme = r"\b(programme|program)\b"
+    abroad = f"(({has('denmark.*india|india.*poland')}) AND {has('international (project |engineering )?teams?')})"
+    steps = {
+        "end_to_end": ((f"{has('delivery lifecycle')} AND {no('end[- ]to[- ]end')}", by("delivery lifecycle", "end-to-end delivery lifecycle")), (f"{has('full lifecycle')} AND {no('end[- ]to[- ]end')}", by("full lifecycle", "end-to-end lifecycle"))),
+        "distributed": ((f"{abroad} AND {has('international (project |engineering )?teams')} AND {no('distributed')}", by("(international (project |engineering )?teams)", "distributed \\1")),),
+        "release": ((has("release readiness for go-live"), by("release readiness for go-live", "release and go-live readiness")), (f"{has('release readiness', 'go-live|rfs|production')} AND {no('release and go-live readiness')}", by("release readiness", "release and go-live readiness"))),
+        "risk_dependency": ((has("risk,? dependenc(y|ies)"), by("risk,? dependenc(y|ies)", "risk and dependency management")), (has("delivery risks? and dependenc(y|ies)"), by("delivery risks? and dependenc(y|ies)", "delivery risk and dependency management"))),
+        "integration": ((f"{has(r'\b(managed|owned|resolved|handled|coordinated)\b', 'integration', 'dependenc')} AND {no('integration dependency management')}", by("integration[^,.;]*dependenc(y|ies)", "integration dependency management")),),
+        "governance": ((f"{has(programme, 'delivery governance')} AND {no('programme delivery governance')}", by("delivery governance", "programme delivery governance")), (f"{has(programme, 'backlog governance')} AND {no('programme-level backlog governance')}", by("backlog governance", "programme-level backlog governance"))),
+        "regulatory": ((f"{has('regulatory', 'delivery|reporting|compliance')} AND {no('regulated */ *regulatory')}", by("regulatory", "regulated / regulatory")),),
+        "agile": ((has("agile/hybrid execution"), by("Agile/Hybrid execution", "Agile/Hybrid delivery execution")),),
+    }
+    tight = "fact"
+    for regex, to in ((r"\bLed the delivery of\b", "Led delivery of"),):
+        tight = by(regex, to, tight)
+    for regex, to in (("worked closely with", "collaborated with"), ("helping to maintain", "supporting"), ("helping maintain", "supporting"), ("in order to", "to")):
+        tight = f"regexp_replace({tight}, {duck.text(rf'\b{regex}\b')}, {duck.text(to)}, 'gi')"
+    ended = lambda x: f"CASE WHEN {x} = '' OR regexp_matches({x}, '[.!?]$') THEN {x} ELSE {x} || '.' END"
+    sql = f"""WITH f AS (SELECT doc_id, trim({_OPENED.format(letters=_LETTERS.format(g=", 'g'"))}) AS fact FROM documents),
+s AS (SELECT *, {_duck_catalog('fact', 2)} AS shown, regexp_replace({tight}, '\\s+,', ',', 'g') AS tight FROM f),
+step0 AS (SELECT doc_id, fact, list_filter(shown, lambda n: doc_id % 3 <> 0 OR n NOT IN ('agile', 'release')) AS names, {ended('tight')} AS text, ''::VARCHAR AS applied FROM s)"""
+    for i, (name, rules) in enumerate(steps.items()):
+        chain = " ".join(f"WHEN {test} THEN {to}" for test, to in rules)
+        sql += f""",
+step{i + 1} AS (SELECT doc_id, fact, names, after AS text, CASE WHEN after <> text THEN applied || {duck.text(review.LABELS[name] + ';')} ELSE applied END AS applied
+  FROM (SELECT *, CASE WHEN NOT list_contains(names, '{name}') THEN text {chain} ELSE text END AS after FROM step{i}))"""
+    return sql + f""",
+told AS (SELECT doc_id, fact, applied AS requirements, trim(regexp_replace(regexp_replace(text, '\\s+,', ',', 'g'), '\\s+', ' ', 'g')) AS tidy FROM step{len(steps)})
+SELECT doc_id, {ended('tidy')} AS updated, requirements FROM told WHERE {ended('tidy')} <> {ended('fact')}"""
+
+
+@query("bullet_rewrites", _rewrites_sql())
+def bullet_rewrites(spark, sf_dir):
+    """Every whole text as a fact behind one of some openings: the facts whose wording changes for what a job asks for."""
+    rows = _built(spark, sf_dir, fact=_OPENED.format(letters=_LETTERS.format(g="")))
+    some = F.array(*(F.lit(n) for n in review.LABELS if n not in ("agile", "release")))
+    facts = rows.select("doc_id", F.trim("fact").alias("fact"), F.when(F.col("doc_id") % 3 != 0, F.array(*map(F.lit, review.LABELS))).otherwise(some).alias("wanted"))
+    out = review.bullet_changes(facts, ["doc_id"])
+    return out.select("doc_id", "updated", F.array_join(F.transform("requirements", lambda r: F.concat(r, F.lit(";"))), "").alias("requirements"))
+
+
 # --- the searched flow
 
 _NOTICE = "CASE WHEN doc_id % 9 = 0 THEN '<b>No longer accepting applications</b>' ELSE '' END"
