@@ -12,8 +12,8 @@ rows share spreads over partitions. A suffix array is a stored table of the dist
 
 The corpus comes in batches (by a hash of the row; a few more the larger it is). Each is sorted once, in a pass that
 decides which of its own entries have neighbours. Its suffix array is then merge-scanned with every level of the
-family (``Family``): segments that overlap are searched in each other, so no entry of an old level is sorted or dealt
-out again. Levels of equal size merge by one streaming merge of their segments, so a corpus of n batches has at
+family (``Family``): segments that overlap are searched in each other, so old levels are dealt
+out by packed segments and none of their entries is sorted again. Levels of equal size merge by one streaming merge of their segments, so a corpus of n batches has at
 most log2(n) + 1 levels and an entry is rewritten as often. A later session can open the family and scan further batches.
 Anchors that the scans find mark the windows to be confirmed. Where the bytes of all windows of an anchor
 occur again as a whole, they all are; the windows of other anchors go by the hash of all their bytes
@@ -278,7 +278,7 @@ def met_inside(seen: DataFrame) -> DataFrame:
 def met_between(fresh: DataFrame, levels: DataFrame) -> DataFrame:
     """rid, place of the single entries of either side whose key the other has.
 
-    Segments of one part whose ranges overlap are merge-scanned; both are stored in order, so no entry is moved or sorted again.
+    Segments of one part whose ranges overlap are merge-scanned; both are stored in order, so segments are dealt out by part as they are and no entry is sorted again.
     """
     ours, theirs = (side.select("part", *(F.col(c).alias(f"{c}{i}") for c in ("n", "first", "last", "packed"))) for i, side in ((1, fresh), (2, levels)))
     pairs = theirs.join(ours.hint("shuffle_hash"), "part").where("first1 <= last2 AND first2 <= last1").select("n1", "packed1", "n2", "packed2")
