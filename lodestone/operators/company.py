@@ -40,6 +40,8 @@ MUNICIPALITIES = {
     40: ("0167", "0153", "0187", "0183", "0185", "0270", "0250"),
     50: ("0155", "0253", "0269", "0265"),
 }
+#: A radius in metres, beyond the last step, from which on all are alike: it keeps the levels of the interval join few.
+WIDEST = (1 << 16) - 1
 
 
 def decision(branch: Column, employees: Column) -> Column:
@@ -61,13 +63,14 @@ def radius_step(km: Column) -> Column:
 
 def municipalities(spark: SparkSession) -> DataFrame:
     """code, low, high: the radii, in whole metres, whose search takes in a municipality."""
-    rows = [(code, 0 if step == 10 else (step - 10) * 1000 + 1, 1 << 40) for step, codes in MUNICIPALITIES.items() for code in codes]
+    rows = [(code, 0 if step == 10 else (step - 10) * 1000 + 1, WIDEST) for step, codes in MUNICIPALITIES.items() for code in codes]
     return spark.createDataFrame(rows, "code string, low long, high long")
 
 
 def searched_municipalities(radii: DataFrame, km: str) -> DataFrame:
     """Rows with a radius, one for each municipality (code) that it takes in. A part of a metre counts as a whole one; a radius below zero is the smallest."""
-    metres = radii.withColumn("_metres", F.greatest(F.lit(0), F.ceil(F.col(km) * 1000)).cast("long"))
+    metres = F.ceil(F.least(F.lit(float(WIDEST)), F.greatest(F.lit(0.0), F.col(km) * 1000))).cast("long")
+    metres = radii.withColumn("_metres", F.when(F.col(km).isNull(), 0).otherwise(metres))
     return ranges.interval_join(metres, "_metres", municipalities(radii.sparkSession), "low", "high").drop("_metres", "low", "high")
 
 

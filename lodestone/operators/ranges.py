@@ -5,6 +5,9 @@ whole numbers is cut into its dyadic blocks (2 for each power of two at most, no
 block that it lies in on every level that occurs, and block and level are the key of an ordinary join: shuffled,
 spilled, and dealt anew by adaptive execution where many points share a block. A point meets each interval that holds
 it once, and no row has to be checked again. Intervals may be of any length, overlap and nest.
+
+Spark sizes a side by its files, before points are repeated for each level, and would broadcast the points of a table
+that is small on disk. So the join is named here: a few blocks of intervals are broadcast, more are merged.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_LEVELS = 62
+#: Blocks of intervals that are sent to every executor; more are shuffled.
+MOST_SENT = 10_000
 
 
 def dyadic_blocks(low: Column, high: Column) -> Column:
@@ -39,7 +44,8 @@ def dyadic_blocks(low: Column, high: Column) -> Column:
 def interval_join(points: DataFrame, value: str, intervals: DataFrame, low: str, high: str) -> DataFrame:
     """The rows of ``points`` with those of ``intervals`` whose low..high (whole numbers, both included) holds their value; columns of both, which must differ."""
     cut = intervals.withColumn("_cut", F.explode(dyadic_blocks(F.col(low), F.col(high)))).select(*intervals.columns, F.col("_cut.level").alias("_level"), F.col("_cut.block").alias("_block"))
-    levels = [r["_level"] for r in cut.select("_level").distinct().collect()]  # MOST_LEVELS + 1 at most
+    held = {r["_level"]: r["count"] for r in cut.groupBy("_level").count().collect()}  # MOST_LEVELS + 1 at most
+    levels = list(held)
     named = points.withColumn("_at", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(F.col(value).cast("long"), k).alias("block")) for k in levels)))) if levels else points.withColumn("_at", F.lit(None).cast("struct<level: int, block: long>"))
     named = named.select(*points.columns, F.col("_at.level").alias("_level"), F.col("_at.block").alias("_block"))
-    return named.join(cut, ["_level", "_block"]).drop("_level", "_block")
+    return named.join(cut.hint("broadcast" if sum(held.values()) <= MOST_SENT else "merge"), ["_level", "_block"]).drop("_level", "_block")

@@ -42,3 +42,28 @@ def test_radius_takes_in_municipalities(spark):
     rows = spark.createDataFrame([(1, 10.0), (2, 10.0001), (3, 40.0), (4, 99.0), (5, -3.0)], "id int, km double")
     got = {r["id"]: r["count"] for r in company.searched_municipalities(rows, "km").groupBy("id").count().collect()}
     assert got == {1: 4, 2: 10, 3: 25, 4: 29, 5: 4}
+
+
+def test_points_are_never_broadcast(spark, tmp_path, monkeypatch):
+    # small on disk, and one row for each level in the join
+    spark.range(2000).selectExpr("id", "abs(id % 60) / 1.0D AS km").write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    got = company.searched_municipalities(points, "km")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "parquet" not in plan.split("BroadcastExchange")[1]
+    levels = [r["_level"] for r in ranges_blocks(spark).select("_level").distinct().collect()]
+    assert max(levels) <= 16
+    monkeypatch.setattr(ranges, "MOST_SENT", 3)
+    merged = company.searched_municipalities(points, "km")
+    assert "BroadcastExchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, got.collect()))
+
+
+def ranges_blocks(spark):
+    return company.municipalities(spark).select(F.explode(ranges.dyadic_blocks(F.col("low"), F.col("high"))).alias("b")).select(F.col("b.level").alias("_level"))
+
+
+def test_radii_out_of_the_ordinary(spark):
+    rows = spark.createDataFrame([(1, None), (2, float("inf")), (3, float("nan")), (4, 1e300), (5, 65.535), (6, 65.536)], "id int, km double")
+    got = {r["id"]: r["count"] for r in company.searched_municipalities(rows, "km").groupBy("id").count().collect()}
+    assert got == {1: 4, 2: 29, 3: 29, 4: 29, 5: 29, 6: 29}
