@@ -6,6 +6,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,43 @@ def test_deadlines_close_once_whatever_the_batches(spark, tmp_path, size):
     assert sorted(got) == sorted(want) and len(want) > 5
 
 
+def test_a_key_has_one_timer_at_a_time():
+    class Handle:
+        def __init__(self):
+            self.timers, self.held = [], []
+
+        def getListState(self, *_):  # noqa: N802
+            return self
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def get(self):
+            return iter(self.held)
+
+        def put(self, held):
+            self.held = held
+
+        def clear(self):
+            self.held = []
+
+    class Watermark:
+        at = 0
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+    handle, processor = Handle(), keyed.Deadlines()
+    processor.init(handle)
+    rows = pd.DataFrame({"at_us": [i * 1000 for i in range(1, 101)], "deadline": [i * 1000 + 500 for i in range(1, 101)]})
+    told = [r for frame in processor.handleInputRows(("k",), iter([rows]), Watermark()) for r in frame["deadline"]]
+    assert told == [] and handle.timers == [2] and len(handle.held) == 100
+    while handle.held:
+        Watermark.at = max(handle.timers[-1], Watermark.at + 30)
+        told += [r for frame in processor.handleExpiredTimer(("k",), Watermark(), None) for r in frame["deadline"]]
+    assert told == rows["deadline"].tolist() and len(handle.timers) <= 5
+
+
 # --- the change log
 
 
