@@ -1,15 +1,20 @@
 """Review of a CV against a job: summary choice, rewrites, and the changes that are proposed.
 
 All of it is array expressions over one row per CV and job, so a summary's sentences are compared inside
-their own row and no join pairs them. The choice among combinations of sentences is a branch and bound.
+their own row and no join pairs them. The choice among combinations of sentences is a branch and bound, or for few
+sentences a look at all of them in arrays over many rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import lru_cache
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from lodestone.functions.text import lines, matches, pattern
 from lodestone.operators import evidence, requirements
@@ -34,6 +39,8 @@ LABELS = {
     "integration": "Integration dependencies", "governance": "Programme / delivery governance", "regulatory": "Regulatory / compliance delivery", "agile": "Agile / hybrid delivery",
 }
 MOST_WORDS, MOST_SENTENCES = 120, 4
+#: Candidates of a row up to which all their combinations are looked at, together with those of other rows.
+MOST_AT_ONCE = 8
 
 
 def finds(text: Column, regex: str) -> Column:
@@ -245,9 +252,74 @@ def chosen_sentences(candidates: list[dict], own_words: int) -> list[int]:
     return []
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def picked_sentences(candidates: pd.Series, own_words: pd.Series) -> pd.Series:
-    return pd.Series([chosen_sentences(list(c), int(n)) for c, n in zip(candidates, own_words, strict=True)])
+@lru_cache(maxsize=MOST_AT_ONCE)
+def all_combinations(n: int) -> np.ndarray:
+    """The combinations of one to four of n places, in order; n stands for no further place."""
+    found = sorted(c for k in range(1, MOST_SENTENCES + 1) for c in combinations(range(n), k))
+    return np.array([(*c, *[n] * (MOST_SENTENCES - len(c))) for c in found])
+
+
+def kinds_as_bits(lists: pa.Array, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of each list as bits, which count within its row, and how many different strings each row has."""
+    items, owner = pc.dictionary_encode(lists.flatten(), null_encoding="encode"), np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    size = max(1, len(items.dictionary))
+    kinds, place = np.unique(row[owner] * size + items.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    bit = np.arange(len(kinds)) - np.searchsorted(kinds // size, kinds // size)
+    out = np.zeros(len(lists), np.uint64)
+    np.bitwise_or.at(out, owner, np.uint64(1) << np.minimum(bit, 63)[place].astype(np.uint64))
+    return out, np.bincount(kinds // size, minlength=rows)
+
+
+def best_of_all(n: int, own_words: np.ndarray, c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """chosen_sentences() of rows of n candidates, in order of their sentences: places (n for none), and whether there is any combination."""
+    table = all_combinations(n)
+    c = {k: np.concatenate([v, np.zeros((len(v), 1), v.dtype)], axis=1)[:, table] for k, v in c.items()}
+    words, size = own_words[:, None] + c["words"].sum(axis=2), (table < n).sum(axis=1)
+    kinds, terms = (np.bitwise_count(np.bitwise_or.reduce(c[k], axis=2)).astype(np.int64) for k in ("reqs", "terms"))
+    proof = c["proof"].any(axis=2)
+    bonus = np.where(words >= 90, 24 - np.abs(105 - words) * 0.35, -((90 - words) * 0.45))
+    base = c["score"].sum(axis=2) + kinds * 8 + terms * 2 + np.where(proof, 4, 0) - (c["n_reqs"].sum(axis=2) - kinds) * 2
+    score = base + bonus - np.maximum(0, size - 3) * 8
+    fit = proof | ~proof.any(axis=1)[:, None]
+    pool = np.where(words > MOST_WORDS, 3, np.where(fit, np.where(size >= min(2, n), 0, 1), 2))
+    first = pool.min(axis=1)
+    return table[np.where(pool == first[:, None], score, -np.inf).argmax(axis=1)], first < 3
+
+
+def chosen_in_batch(candidates: pa.Array, own_words: pa.Array) -> pa.Array:
+    """chosen_sentences() of each row. Rows of few candidates are looked at together, all combinations of each; the others, and rows with nulls, one by one."""
+    rows = len(candidates)
+    n = pc.fill_null(pc.list_value_length(candidates), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    structs, row = candidates.flatten(), np.repeat(np.arange(rows), n)
+    held = {f.name: col for f, col in zip(structs.type, structs.flatten(), strict=True)}
+    odd = np.isin(np.arange(rows), row[pc.is_null(structs).to_numpy(zero_copy_only=False)]) | pc.is_null(own_words).to_numpy(zero_copy_only=False) | pc.is_null(candidates).to_numpy(zero_copy_only=False)
+    for name in ("i", "score", "words", "proof", "reqs", "terms"):
+        odd[row[pc.is_null(held[name]).to_numpy(zero_copy_only=False)]] = True
+    flat = {k: pc.fill_null(held[k], 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("i", "score", "words")} | {"proof": pc.fill_null(held["proof"], False).to_numpy(zero_copy_only=False)}
+    flat["n_reqs"] = pc.fill_null(pc.list_value_length(held["reqs"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for name in ("reqs", "terms"):
+        flat[name], kinds = kinds_as_bits(held[name], row, rows)
+        odd |= kinds > 64
+    order = np.lexsort((flat["i"], row))
+    flat = {k: v[order] for k, v in flat.items()}
+    odd[row[1:][(row[1:] == row[:-1]) & (flat["i"][1:] == flat["i"][:-1])]] = True
+    out: list[list[int]] = [[] for _ in range(rows)]
+    start, words = np.cumsum(n) - n, pc.fill_null(own_words, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for size in range(1, MOST_AT_ONCE + 1):
+        alike = np.flatnonzero((n == size) & ~odd)
+        for some in np.array_split(alike, -(-len(alike) // 1_000)) if len(alike) else []:
+            c = {k: v[start[some][:, None] + np.arange(size)] for k, v in flat.items()}
+            places, there = best_of_all(size, words[some], c)
+            named = np.take_along_axis(np.concatenate([c["i"], np.full((len(some), 1), -1)], axis=1), places, axis=1)
+            for at, picked, many, any_ in zip(some.tolist(), named.tolist(), (places < size).sum(axis=1).tolist(), there.tolist(), strict=True):
+                out[at] = picked[:many] if any_ else []
+    for at in np.flatnonzero(odd | (n > MOST_AT_ONCE)).tolist():
+        out[at] = chosen_sentences(list(candidates[at].as_py()), int(own_words[at].as_py()))
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def picked_sentences(candidates: Column, own_words: Column) -> Column:
+    return F.arrow_udf(chosen_in_batch, "array<int>")(candidates, own_words)
 
 
 def tailored_summaries(rows: DataFrame, keys: list[str]) -> DataFrame:

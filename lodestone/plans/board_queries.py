@@ -402,7 +402,8 @@ def summary_combos(spark, sf_dir):
     one = F.struct(at.alias("i"), (F.col("l_partkey") % 13 + 1).cast("int").alias("score"), F.col("l_quantity").cast("int").alias("words"), (F.col("l_returnflag") == "R").alias("proof"), F.array(F.concat("l_linestatus", (F.col("l_suppkey") % 4).cast("string"))).alias("reqs"), F.array((F.col("l_partkey") % 3).cast("string")).alias("terms"))
     orders = lines.select("l_orderkey", one.alias("c")).groupBy("l_orderkey").agg(F.collect_list("c").alias("cs"))
     picked = review.picked_sentences(F.col("cs"), F.lit(40))
-    return orders.select("l_orderkey", F.array_join(picked, ",").alias("picked")).where("picked <> ''")
+    # fenced, so that the choice is not made again to filter on it
+    return observed.fenced(orders.select("l_orderkey", F.array_join(picked, ",").alias("picked"))).where("picked <> ''")
 
 
 _CV = """concat('Jo Doe', chr(10), CASE WHEN doc_id % 4 = 3 THEN 'Tel 12345678' ELSE 'Profile' END, chr(10), 'Senior project lead ', left(regexp_replace(coalesce(lang, ''), '[^a-z]', ''), 9), ' with a record of delivery across many markets.', chr(10), 'Second line.', chr(10),

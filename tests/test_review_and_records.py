@@ -192,3 +192,32 @@ def test_best_combination_of_many_sentences():
     for seed, kinds in ((1, 1), (2, 12), (3, 200)):
         picked = review.chosen_sentences(_candidates(random.Random(seed), 200, kinds), 20)
         assert 1 <= len(picked) <= review.MOST_SENTENCES
+
+
+def test_a_batch_of_choices_equals_each_alone():
+    import random
+
+    import pyarrow as pa
+
+    chance = random.Random(7)
+    rows = []
+    for _ in range(600):
+        cands = _candidates(chance, chance.randrange(0, 11), chance.choice([2, 3, 40]))
+        for c in cands:
+            if chance.random() < 0.05:
+                c["reqs"] = [*c["reqs"], *c["reqs"], *(f"r{k}" for k in range(chance.choice([0, 40])))]
+        chance.shuffle(cands)
+        rows.append((cands, chance.choice([0, 10, 30, 100, 119, 130])))
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("score", pa.int32()), ("words", pa.int32()), ("proof", pa.bool_()), ("reqs", pa.list_(pa.string())), ("terms", pa.list_(pa.string()))]))
+    got = review.chosen_in_batch(pa.array([c for c, _ in rows], kind).slice(5), pa.array([w for _, w in rows], pa.int32()).slice(5)).to_pylist()
+    assert got == [review.chosen_sentences(*row) for row in rows[5:]]
+    assert review.chosen_in_batch(pa.array([], kind), pa.array([], pa.int32())).to_pylist() == []
+
+
+def test_the_choice_is_made_once(spark, tmp_path):
+    from lodestone.plans import queries  # noqa: F401
+    from lodestone.plans.board_queries import summary_combos
+
+    spark.sql("SELECT 1L AS l_orderkey, 1 AS l_linenumber, 2L AS l_partkey, 3L AS l_suppkey, 4.0D AS l_quantity, 'R' AS l_returnflag, 'O' AS l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = summary_combos(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
