@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicon as L
-from lodestone.functions import parse, text
+from lodestone.functions import automaton, parse, text
 from lodestone.functions.automaton import categories_of, frozen
 from lodestone.functions.literals import required
 from lodestone.operators import company, evidence, identity, rules, score
@@ -220,3 +222,15 @@ def test_one_pass_finds_what_each_pattern_finds(spark):
         for name, lexicon in lexicons.items():
             want = [c for c, regexes in lexicon.items() if any(re.search(r, texts[row["i"]] or "", re.ASCII | re.DOTALL) for r in regexes)]
             assert row["c"][name] == want and row[name] == want
+
+
+def test_a_batch_of_texts_is_not_held_as_strings():
+    find = automaton.finder(frozen(a={"x": ["needle"], "y": ["pin"]}, b={"z": ["needle"]}))
+    texts = pa.array(["a needle " + "hay " * 25_000] * 200 + [None, "", "pin needle"])  # 20 MB
+    find(texts.slice(200))
+    tracemalloc.start()
+    got = find(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000
+    assert got.slice(199).to_pylist() == [{"a": ["x"], "b": ["z"]}, {"a": [], "b": []}, {"a": [], "b": []}, {"a": ["x", "y"], "b": ["z"]}]
