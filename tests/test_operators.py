@@ -234,3 +234,12 @@ def test_a_batch_of_texts_is_not_held_as_strings():
     tracemalloc.stop()
     assert peak < 1_000_000
     assert got.slice(199).to_pylist() == [{"a": ["x"], "b": ["z"]}, {"a": [], "b": []}, {"a": [], "b": []}, {"a": ["x", "y"], "b": ["z"]}]
+
+
+def test_texts_are_collapsed_once_for_the_gate(spark):
+    rows = [("Delivery Lead", ""), ("Cook", "Software  platform;\n ownership of the ROADMAP"), ("Cook", None), (None, "Soft ware")]
+    jobs = spark.createDataFrame(rows, "title string, description string").withColumn("old", rules.discovered(F.col("title"), F.col("description")))
+    assert all(r["old"] == r["discovered"] for r in rules.with_gate(jobs).collect())
+    staged = search.staged(spark.createDataFrame([], SCHEMA)).where("discovered")
+    lines = staged._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert 1 <= max(line.count("[\\s\u00a0]+") for line in lines) <= 2
