@@ -5,11 +5,12 @@ group counts, and the overlap of two sets is at most the sum over the groups of
 count. Two documents link when 100 * overlap >= 75 * union, so they need an overlap of at least
 75 / 175 of the sum of their sizes. The tree is laid out over Spark's partitions, from the top:
 
-* Branches. With groups as fine as the shingle hash, a document hangs under its rarest
+* Branches. With groups as fine as 48 bits of the shingle hash, a document hangs under its rarest
   coordinates: the first n - ceil(0.75 n) + 1 of them in a global order. If two points share
   none of those, the minima of all other coordinates cannot sum to the needed overlap. The order
-  is by the document counts of ``DF_GROUPS`` coarse groups (a table of fixed size, summed over
-  all documents), then by hash, so passages that many documents share come last.
+  is by how many points have the coordinate, counted exactly (in packed shuffles, see
+  ``branches``), then by hash. So coordinates of one point alone come first and make no row,
+  and passages that many documents share come last, however many documents there are.
 * Pages. Under a branch, entries are sorted by size and cut into pages of ``PAGE`` entries with
   bounding boxes: least and greatest size, the most that can still follow the branch's place in
   the order, and the greatest count in each group. Pages whose boxes' minima fall short are not
@@ -31,6 +32,7 @@ besides doc_id and text are left alone. Shingles and sets are compared by 64-bit
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import numbered, table, written
+from lodestone.llm.common import numbered, shuffle_partitions, table, written
 from lodestone.llm.components import components
+from lodestone.llm.positions import pack_keys, pack_places, slice_name, unpack_keys, unpack_places
 from lodestone.llm.words import mix, rolling, words
 
 SHINGLE = 5
-DF_GROUPS = 1 << 16
+SLICE = 1 << 20
+KEY_BYTES = 6
+KEY = np.uint64((1 << 8 * KEY_BYTES) - 1)
 LEAST_VECTOR, MOST_VECTOR = 16, 4096
 PAGE, BOX = 128, 32
 
@@ -70,7 +75,7 @@ def node_of(found: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(found))], np.uint64))[0] >> np.uint64(1))
 
 
-def needed(n: int) -> int:
+def needed(n):
     """The least overlap with a set of any size, and so the length of the prefix is n - needed(n) + 1."""
     return -(-75 * n // 100)
 
@@ -91,75 +96,153 @@ def read_vector(raw: bytes, n: int) -> np.ndarray:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, txt, n, node, vec) and, with ``df`` set, each task's document counts by group. txt: a hash of the text."""
+    """A row for each document (doc_id, txt, n, node, vec, coarse). txt: a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, names = np.zeros(DF_GROUPS, np.uint32), ["doc_id", "txt", "n", "node", "vec", "coarse", "df"]
-        kind = None
         for batch in batches:
-            ids = batch.column("doc_id")
-            kind = ids.type
-            held = []
-            for _, found in shingle_sets(batch.column("text")):
-                groups = (found >> np.uint64(48)).astype(np.int64)
-                np.add.at(total, groups, 1)
-                held.append((len(found), node_of(found), vector(found), coarse_vector(found)))
+            held = [(len(found), node_of(found), vector(found), coarse_vector(found)) for _, found in shingle_sets(batch.column("text"))]
             n, node, vec, coarse = zip(*held, strict=True) if held else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([ids, batch.column("txt"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(vec, pa.binary()), pa.array(coarse, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
-        if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("txt"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(vec, pa.binary()), pa.array(coarse, pa.binary())],
+                ["doc_id", "txt", "n", "node", "vec", "coarse"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("txt")).mapInArrow(run, f"doc_id {kind}, txt long, n long, node long, vec binary, coarse binary, df binary")
-
-
-def group_counts(digested: DataFrame) -> np.ndarray:
-    """Documents (counted once for each shingle) by group: DF_GROUPS numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DF_GROUPS, np.int64)
-        for batch in batches:
-            for raw in batch.column("df"):
-                total += np.frombuffer(raw.as_buffer(), np.uint32)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["g", "n"])
-
-    rows = digested.where(F.col("df").isNotNull()).select("df").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    out = np.zeros(DF_GROUPS, np.int64)
-    for row in rows.toLocalIterator():
-        out[row["g"]] = row["n"]
-    return out
-
-
-def branches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """key, node, n, rem: each class under its rarest coordinates; rem: how many of its coordinates are not before the key."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("txt")).mapInArrow(run, f"doc_id {kind}, txt long, n long, node long, vec binary, coarse binary")
+
+
+PROBES, FOUND, AGAIN, ROWS = 0, 1, 2, 3
+_NAMES = ["to", "kind", "slice", "keys", "places", "counts"]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_SCHEMA = "to int, kind int, slice long, keys binary, places binary, counts binary"
+
+
+def _record(*values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _KINDS, strict=True)], _NAMES)
+
+
+def _home(name: int, partitions: int) -> int:
+    return int(mix(np.array([name], np.uint64))[0] % np.uint64(partitions))
+
+
+def probes(name: int, partitions: int, held: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+    """The rows that a slice of sets sends. To each partition of keys: each of the slice's keys once, with the first
+    set that has it and how many have it. To its home: the sets' names and sizes, and the other sets of such keys."""
+    home, sizes = _home(name, partitions), np.array([len(x) for x in held])
+    yield _record(home, ROWS, name, np.array(nodes, "<i8").tobytes(), None, sizes.astype("<i8").tobytes())
+    keys, row = np.concatenate(held) & KEY, np.repeat(np.arange(len(held)), sizes)
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    counts = np.zeros(len(keys), "<u4")
+    counts[order[head]] = np.diff(np.append(head, len(keys)))
+    rest = np.flatnonzero(counts == 0)
+    if len(rest):
+        yield _record(home, AGAIN, name, pack_keys(keys[rest], KEY_BYTES), pack_places(row[rest]), None)
+    first = np.flatnonzero(counts)
+    to = ((keys[first] >> np.uint64(24)) % np.uint64(partitions)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    edge = np.searchsorted(to[order], np.arange(partitions + 1))
+    for p in range(partitions):
+        mine = first[order[edge[p] : edge[p + 1]]]
+        if len(mine):
+            many = None if counts[mine].max() == 1 else counts[mine].tobytes()
+            yield _record(p, PROBES, name, pack_keys(keys[mine], KEY_BYTES), pack_places(row[mine]), many)
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch], partitions: int) -> Iterator[pa.RecordBatch]:
+    """Of a partition of keys those that several sets have, sent to the homes of their slices with the number of these sets."""
+    keys, counts, names, places = [], [], [], []
+    for batch in batches:
+        probe = batch.column("kind").to_numpy() == PROBES
+        if not probe.all():
+            yield batch.filter(pa.array(~probe))
+        for i in np.flatnonzero(probe).tolist():
+            keys.append(unpack_keys(batch.column("keys")[i].as_buffer(), KEY_BYTES))
+            many = batch.column("counts")[i].as_py()
+            counts.append(np.ones(len(keys[-1]), "<u4") if many is None else np.frombuffer(many, "<u4"))
+            names.append(batch.column("slice")[i].as_py())
+            places.append(batch.column("places")[i].as_py())
+    if not keys:
+        return
+    ends = np.cumsum([0] + [len(k) for k in keys])
+    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
+    keys.clear(), counts.clear()
+    order = np.argsort(all_keys)
+    ranked = all_keys[order]
+    head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    total = np.empty(len(order), np.int64)
+    total[order] = np.repeat(np.add.reduceat(all_counts[order], head, dtype=np.int64), np.diff(np.append(head, len(order))))
+    hit = np.flatnonzero(total > 1)
+    edge = np.searchsorted(hit, ends)
+    for i, name in enumerate(names):
+        mine = hit[edge[i] : edge[i + 1]]
+        if len(mine):
+            yield _record(_home(name, partitions), FOUND, name, pack_keys(all_keys[mine], KEY_BYTES), pack_places(unpack_places(places[i])[mine - ends[i]]), total[mine].astype("<i8").tobytes())
+
+
+def rarest(nodes: np.ndarray, sizes: np.ndarray, keys: np.ndarray, row: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """The branches of a slice's sets. keys, row, count: the keys that other sets have too; a set's other keys come before them."""
+    order = np.lexsort((keys, count, row))
+    keys, row = keys[order], row[order]
+    per = np.bincount(row, minlength=len(sizes))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(sizes - per, per)
+    kept = place < np.repeat(sizes - needed(sizes) + 1, per)
+    row = row[kept]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys[kept].view(np.int64)), pa.array(nodes[row]), pa.array(sizes[row].astype(np.int32)), pa.array((sizes[row] - place[kept]).astype(np.int32))],
+        ["key", "node", "n", "rem"])
+
+
+def branches(docs: DataFrame) -> DataFrame:
+    """key, node, n, rem: each class under those of its rarest coordinates that others have too; rem: how many of its coordinates are not before the key.
+
+    A map task works in slices of some ``SLICE`` coordinates. They meet in partitions by key, packed,
+    and those that several sets have come back to their slice's home with their count.
+    """
+    partitions = shuffle_partitions(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, met = shared.value, set()
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, held, nodes, number, total = set(), [], [], 0, 0
         for batch in batches:
-            keys, nodes, sizes, places = [], [], [], []
             for _, found in shingle_sets(batch.column("text")):
-                n = len(found)
-                node = node_of(found) if n else 0
-                if not n or node in met:  # copies within a task say nothing new
+                node = node_of(found) if len(found) else 0
+                if not len(found) or node in met:  # copies within a task say nothing new
                     continue
                 met.add(node)
-                p = n - needed(n) + 1
-                rare = count[(found >> np.uint64(48)).astype(np.int64)]
-                keys.append(found[np.lexsort((found, rare))[:p]])
+                held.append(found)
                 nodes.append(node)
-                sizes.append(n)
-                places.append(p)
-            if not nodes:
-                continue
-            per = np.array(places)
-            rem = np.repeat(sizes, per) - (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), per)), pa.array(np.repeat(np.array(sizes, np.int32), per)), pa.array(rem.astype(np.int32))],
-                ["key", "node", "n", "rem"])
-
-    return docs.select("text").mapInArrow(run, "key long, node long, n int, rem int")
+                total += len(found)
+                if total >= SLICE:
+                    yield from probes(slice_name(number), partitions, held, nodes)
+                    held, nodes, number, total = [], [], number + 1, 0
+        if held:
+            yield from probes(slice_name(number), partitions, held, nodes)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, again, rows = defaultdict(list), {}, {}
+        for batch in batches:
+            for i, kind in enumerate(batch.column("kind").to_pylist()):
+                name, keys, places, counts = (batch.column(c)[i].as_py() for c in ("slice", "keys", "places", "counts"))
+                if kind == ROWS:
+                    rows[name] = np.frombuffer(keys, "<i8"), np.frombuffer(counts, "<i8")
+                elif kind == AGAIN:
+                    again[name] = keys, places
+                else:
+                    found[name].append((keys, places, counts))
+        for name in list(found):
+            raw = found.pop(name)
+            keys, row = np.concatenate([unpack_keys(k, KEY_BYTES) for k, _, _ in raw]), np.concatenate([unpack_places(p) for _, p, _ in raw])
+            count = np.concatenate([np.frombuffer(c, "<i8") for _, _, c in raw])
+            if name in again:
+                other = unpack_keys(again[name][0], KEY_BYTES)
+                order = np.argsort(keys)
+                count = np.concatenate([count, count[order[np.searchsorted(keys[order], other)]]])
+                keys, row = np.concatenate([keys, other]), np.concatenate([row, unpack_places(again.pop(name)[1])])
+            yield rarest(*rows.pop(name), keys, row, count)
+
+    sent = docs.select("text").mapInArrow(send, _SCHEMA).repartitionById(partitions, "to")
+    counted = sent.mapInArrow(lambda batches: shared_keys(batches, partitions), _SCHEMA).repartitionById(partitions, "to")
+    return counted.mapInArrow(gather, "key long, node long, n int, rem int")
 
 
 def may_link(n1, rem1, n2, rem2):
@@ -275,11 +358,9 @@ def opened_pages(entries: DataFrame, page: int = PAGE) -> DataFrame:
 
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    digested = written(digests(docs), "ngram-digests")
-    rows = digested.where(F.col("df").isNull())
-    counts = group_counts(digested)
-    own = Window.partitionBy("key").orderBy("n", "node")
-    hung = branches(docs, counts).withColumns({"prior": F.lag("node").over(own), "prior_n": F.lag("n").over(own), "prior_rem": F.lag("rem").over(own), "after": F.lead("node").over(own), "top": F.first("node").over(own)})
+    rows = written(digests(docs), "ngram-digests")
+    own = Window.partitionBy("key").orderBy("n", "node", F.desc("rem"))
+    hung = branches(docs).withColumns({"prior": F.lag("node").over(own), "prior_n": F.lag("n").over(own), "prior_rem": F.lag("rem").over(own), "after": F.lead("node").over(own), "top": F.first("node").over(own)})
     # a class that several tasks met is there several times, side by side
     hung = hung.where(F.coalesce(F.col("prior") != F.col("node"), F.lit(True)) & ((F.col("top") != F.col("node")) | (F.col("after").isNotNull())))
     hung = written(hung.drop("after", "top"), "ngram-branches")

@@ -93,6 +93,19 @@ def test_ngram_join_pages_lose_nothing(spark):
     assert got == joined(rows)
 
 
+def test_ngram_join_compares_nothing_for_shared_passages(spark, monkeypatch):
+    """Texts that share no more than a passage are not compared, however many other texts hide how often it occurs."""
+    rng = np.random.default_rng(31)
+    passages = [prose(40, rng) for _ in range(500)]
+    rows = [(i, prose(160, rng) + " " + passages[i % 500]) for i in range(1500)]
+    made = []
+    whole = ngram_join.small_branches
+    monkeypatch.setattr(ngram_join, "small_branches", lambda entries: made.append(entries.count()) or whole(entries))
+    got = ngram_join.join_components(documents(spark, rows)).collect()
+    assert {d: c for d, _, c in got} == {d: d for d, _ in rows}
+    assert made == [0]
+
+
 def test_ngram_join_of_null_and_repeated_ids(spark):
     rng = np.random.default_rng(12)
     a, b, c = (prose(150, rng) for _ in range(3))
